@@ -14,9 +14,10 @@ BUCKETS = 1024
 
 @dataclass(frozen=True)
 class Placement:
-    """Where the rows of each key go. heavy: key hash -> the tasks of its shards; buckets: the task of each bucket of other keys."""
+    """Where the rows of each key go. total: rows counted, exact. heavy: key hash -> the tasks of its shards; buckets: the task of each bucket of other keys."""
 
     tasks: int
+    total: int
     heavy: dict[int, list[int]]
     buckets: list[int]
     loads: list[int]
@@ -67,7 +68,7 @@ def plan(df: DataFrame, keys: list[str], tasks: int) -> Placement:
         else:
             heavy[key].append(t)
         heapq.heappush(heap, (load + n, t))
-    return Placement(tasks, heavy, place, [n for n, _ in sorted(heap, key=lambda x: x[1])])
+    return Placement(tasks, total, heavy, place, [n for n, _ in sorted(heap, key=lambda x: x[1])])
 
 
 def fragment(df: DataFrame, keys: list[str], p: Placement, spread: list[str], task: str) -> DataFrame:
@@ -95,9 +96,9 @@ def balanced_join(big: DataFrame, side: DataFrame, keys: list[str], spread: list
     return fragment(big, keys, p, spread, t).join(replicate(side, keys, p, t), [t, *keys], how).drop(t)
 
 
-def balanced_aggregate(df: DataFrame, keys: list[str], spread: list[str], tasks: int, partial: list[Column], merge: list[Column]) -> DataFrame:
+def balanced_aggregate(df: DataFrame, keys: list[str], spread: list[str], tasks: int, partial: list[Column], merge: list[Column], placement: Placement | None = None) -> DataFrame:
     """Per-key results in balanced tasks. partial: aliased aggregates of a key's rows within a task; merge: aliased aggregates of the partial
-    results by their aliases. Null keys form a group of their own. An empty df gives no rows."""
-    p = plan(df, keys, tasks)
+    results by their aliases. Null keys form a group of their own. An empty df gives no rows. placement: a plan of df made before."""
+    p = placement or plan(df, keys, tasks)
     parts = fragment(df, keys, p, spread, "__task").groupBy("__task", *keys).agg(*partial)
     return parts.groupBy(*keys).agg(*merge)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.model import has_key, key_hex, normal_namespace
-from stratalog.operators.balance import balanced_aggregate, balanced_join
+from stratalog.operators.balance import balanced_aggregate, balanced_join, plan
 from stratalog.operators.change_feed import DeleteVectorTable
 from stratalog.operators.copy_diff import copy_diff
 from stratalog.operators.history import history
@@ -90,20 +90,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return range_lookup(found, ranges, "namespace", "key", "min_key", "max_key", "range_id").select("range_id", "namespace", key_hex().alias("key_hex"), "field")
 
 
-def _per_key(spark: SparkSession, d: str) -> DataFrame:
-    log = entries(spark, d).select("namespace", "key", "ts", "log_seq")
-    return balanced_aggregate(log, ["namespace", "key"], ["log_seq"], shuffle_tasks(spark), [F.count(F.lit(1)).alias("n"), F.max("ts").alias("newest")], [F.sum("n").alias("n"), F.max("newest").alias("newest")])
+def _per_key(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Entries and newest ts of each key, and the number of all entries."""
+    log, tasks = entries(spark, d).select("namespace", "key", "ts", "log_seq"), shuffle_tasks(spark)
+    p = plan(log, ["namespace", "key"], tasks)
+    partial, merge = [F.count(F.lit(1)).alias("n"), F.max("ts").alias("newest")], [F.sum("n").alias("n"), F.max("newest").alias("newest")]
+    return balanced_aggregate(log, ["namespace", "key"], ["log_seq"], tasks, partial, merge, p), p.total
 
 
 @R.query("p6_found", f"with e as ({KEYED}) select namespace, lower(hex(key)) as key_hex from e group by namespace, key having count(*) >= 0.01 * (select count(*) from e)")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    total = entries(spark, d).agg(F.count(F.lit(1)).alias("total"))  # one row
-    return _per_key(spark, d).join(F.broadcast(total), F.col("n") * 100 >= F.col("total")).select("namespace", key_hex().alias("key_hex"))
+    per_key, total = _per_key(spark, d)
+    return per_key.where(F.col("n") * 100 >= total).select("namespace", key_hex().alias("key_hex"))
 
 
 @R.query("p6_per_key", f"select namespace, lower(hex(key)) as key_hex, count(*) as n, max(ts) as newest from ({KEYED}) e group by namespace, key")
 def p6_per_key(spark: SparkSession, d: str) -> DataFrame:
-    return _per_key(spark, d).select("namespace", key_hex().alias("key_hex"), "n", "newest")
+    return _per_key(spark, d)[0].select("namespace", key_hex().alias("key_hex"), "n", "newest")
 
 
 @R.query(
