@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.operators.ordered import following, global_row_number
 from stratalog.scratch import staged
 
 
@@ -23,46 +24,26 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], attrs: l
     return out.select(*(F.when(side, F.col(f"ak{i}")).otherwise(F.col(f"bk{i}")).alias(k) for i, k in enumerate(keys)), "change", "before", "after")
 
 
-def _ordinals(df: DataFrame, key: str, at: str, width: int, name: str) -> DataFrame:
-    """df with the place of each row in its key's order of ``at`` (bigint, unique in a key), from 0.
-
-    Places are counted in slices of ``width`` units and offset by the sizes of the slices before, so a key that holds a third of all
-    rows is ranked by many tasks; what a task sorts is one key's rows of one slice, and what is summed up is one row a slice."""
-    cut = df.withColumn("__slice", F.expr(f"floor({at} / {width})"))
-    sizes = cut.groupBy(key, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select(key, "__slice", (F.sum("__n").over(Window.partitionBy(key).orderBy("__slice")) - F.col("__n")).alias("__before"))
-    ranked = cut.withColumn("__rn", F.row_number().over(Window.partitionBy(key, "__slice").orderBy(at)))
-    return ranked.join(before, [key, "__slice"]).withColumn(name, F.col("__before") + F.col("__rn") - 1).drop("__slice", "__rn", "__before")
-
-
-def history(observed: DataFrame, key: str, at: str, attrs: list[str], prefer: list[Column], width: int = 86_400_000_000) -> DataFrame:
+def history(observed: DataFrame, key: str, at: str, attrs: list[str], prefer: list[Column]) -> DataFrame:
     """Periods of unchanged attributes of each key: key, attrs, valid_from, valid_to (null while valid).
 
     observed: any number of rows a key in any order. at: a bigint column of the time an observation holds from. prefer: of rows with
     one (key, at) the greatest by these columns counts; equal ones are copies. Rows with a null key or time are dropped; null
     attributes are values of their own. An empty input gives no rows. Other columns are left out.
 
-    Each key's k-th observation is the snapshot k of that key. Snapshot k is set against k - 1 by a null-safe full outer join on (key,
-    place), which classes it as inserted (no earlier one), changed, unchanged, or deleted (nothing follows); inserted and changed
-    ones are the events, and ``lead`` over the events gives the end of each period. No step sees all rows of a key in one task but
-    in slices of ``width`` time units, see _ordinals; the last lead runs over events, sliced likewise."""
+    Observations are numbered in order of (key, time); each is a snapshot of its key. Every snapshot is set against the one before by a
+    null-safe full outer join on (key, number), which classes it as inserted (no earlier one), changed, unchanged, or deleted
+    (nothing follows); inserted and changed ones are the events, and ``lead`` over the events gives the end of each period.
+    Numbering and lead run over range partitions of (key, time) and the join on single numbers, so the rows of a key that has a third of
+    the table are spread over tasks like any others."""
     rows = observed.where(F.col(key).isNotNull() & F.col(at).isNotNull())
     best = rows.groupBy(F.col(key).alias("k"), F.col(at).alias("at")).agg(F.max(F.struct(*(c.alias(f"p{i}") for i, c in enumerate(prefer)), F.struct(*attrs).alias("a"))).alias("best")).select("k", "at", F.col("best.a").alias("a"))
-    snaps = staged(_ordinals(best, "k", "at", width, "n"), "snapshots")
+    snaps = staged(global_row_number(best, ["k", "at"], "n"), "snapshots")
     after = snaps.select("k", "n", "at", "a")
     before = snaps.select(F.col("k").alias("bk"), (F.col("n") + 1).alias("bn"), F.col("a").alias("was"))
     pairs = after.join(before, F.col("k").eqNullSafe(F.col("bk")) & F.col("n").eqNullSafe(F.col("bn")), "full")
     change = F.when(F.col("bk").isNull(), "inserted").when(F.col("k").isNull(), "deleted").when(~F.col("a").eqNullSafe(F.col("was")), "changed")
     # the join holds all consecutive pairs at once, so this is the union of their change events
-    events = staged(pairs.where(change.isin("inserted", "changed")).select("k", "at", "a"), "events")
-    return _with_lead(events, width).select(F.col("k").alias(key), *(F.col("a")[a].alias(a) for a in attrs), F.col("at").alias("valid_from"), F.col("next_at").alias("valid_to"))
-
-
-def _with_lead(events: DataFrame, width: int) -> DataFrame:
-    """events with next_at: the lead of ``at`` within k. Within a slice it is a window; the last event of a slice takes the first of the
-    next slice that has any, found over one row a slice."""
-    cut = events.withColumn("s", F.expr(f"floor(at / {width})"))
-    firsts = cut.groupBy("k", "s").agg(F.min("at").alias("first"))
-    following = firsts.select("k", "s", F.lead("first").over(Window.partitionBy("k").orderBy("s")).alias("following"))
-    led = cut.withColumn("inner", F.lead("at").over(Window.partitionBy("k", "s").orderBy("at")))
-    return led.join(following, ["k", "s"]).select("k", "at", "a", F.coalesce("inner", "following").alias("next_at"))
+    events = pairs.where(change.isin("inserted", "changed")).select("k", "at", "a")
+    led = following(events, ["k", "at"], "next")
+    return led.select(F.col("k").alias(key), *(F.col("a")[a].alias(a) for a in attrs), F.col("at").alias("valid_from"), F.when(F.col("next.k") == F.col("k"), F.col("next.at")).alias("valid_to"))
