@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalog.model import fresh
+
 BLOCK = 32_768
 BLOCK_BYTES = BLOCK // 8
 
@@ -71,7 +73,7 @@ def _live_filter(dv: str, shards: int):
                 if where.get_file_info(folder).type == fs.FileType.Directory:
                     t = ds.dataset(folder, filesystem=where, format="parquet").to_table(filter=ds.field("fid") == fid)
                     for b, bits in zip(t["block"].to_pylist(), t["bits"].to_pylist(), strict=True):
-                        held[fid][b] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+                        held[fid][b] = np.frombuffer(bits, np.uint8)
             return held[fid]
 
         for fids, positions in batches:
@@ -83,7 +85,8 @@ def _live_filter(dv: str, shards: int):
                 for b in np.unique(block):
                     if (dead := known.get(int(b))) is not None:
                         at = np.flatnonzero(block == b)
-                        keep[a + at] = ~dead[p[a:z][at] % BLOCK]
+                        i = p[a:z][at] % BLOCK
+                        keep[a + at] = (dead[i >> 3] >> (i & 7) & 1) == 0
             yield pd.Series(keep)
 
     return live
@@ -105,37 +108,36 @@ class DeleteVectorTable:
         """The newest finished version, -1 for a table without any."""
         return max(_numbers(self.spark, f"{self.root}/log", "version"), default=-1)
 
-    def _data(self, batches: list[int]) -> DataFrame:
+    def _data(self, batches: list[int]) -> tuple[DataFrame, str, str]:
+        """The images of batches with file id and position, and the names of these two columns."""
         df = self.spark.read.parquet(*(f"{self.root}/data/batch={b}" for b in batches))
-        meta = df.metadataColumn("_metadata")
-        return df.select(df["*"], F.xxhash64(meta["file_path"]).alias("__fid"), meta["row_index"].alias("__pos"))
+        meta, (fid, pos) = df.metadataColumn("_metadata"), fresh(df, "fid", "pos")
+        return df.select(df["*"], F.xxhash64(meta["file_path"]).alias(fid), meta["row_index"].alias(pos)), fid, pos
 
     def apply(self, changes: DataFrame) -> int:
-        """Appends one batch of changes; returns the version that holds it.
-
-        The columns of the first batch are those of the table. Names that start with ``__`` and clash with the table's own (``__fid``,
-        ``__pos``) are refused."""
-        if clash := {"__fid", "__pos"} & {c.lower() for c in changes.columns}:
-            raise ValueError(f"reserved column names: {sorted(clash)}")
+        """Appends one batch of changes; returns the version that holds it. The columns of the first batch are those of the table, whatever
+        their names; an empty batch makes a version without changes."""
         done = self.version
         n, old = done + 1, list(range(done + 1))
         # a batch that was cut off by a failure is written again; nothing refers to its leftovers
         changes.write.mode("overwrite").parquet(f"{self.root}/data/batch={n}")
 
-        entry = F.struct(F.col(self.ts).alias("ts"), (~F.coalesce(self.deleted, F.lit(False))).alias("live"), F.col("__fid").alias("fid"), F.col("__pos").alias("pos"))
-        fresh = self._data([n]).groupBy(*self.keys).agg(F.max(entry).alias("e"))
+        data, fid, pos = self._data([n])
+        entry = F.struct(F.col(self.ts).alias("ts"), (~F.coalesce(self.deleted, F.lit(False))).alias("live"), F.col(fid).alias("fid"), F.col(pos).alias("pos"))
+        k = [f"k{i}" for i in range(len(self.keys))]
+        new = data.groupBy(*(F.col(c).alias(a) for c, a in zip(self.keys, k, strict=True))).agg(F.max(entry).alias("e"))
         if old:
             # only the index rows of keys in this batch meet it; the rest of the index isn't touched
-            same = [F.col(f"i.{k}").eqNullSafe(F.col(f"f.{k}")) for k in self.keys]
-            index = self.spark.read.parquet(*(f"{self.root}/index/batch={b}" for b in old)).groupBy(*self.keys).agg(F.max("e").alias("e"))
-            both = fresh.alias("f").join(index.alias("i"), same, "left").select(*(F.col(f"f.{k}") for k in self.keys), F.col("f.e").alias("e"), F.col("i.e").alias("was"))
+            index = self.spark.read.parquet(*(f"{self.root}/index/batch={b}" for b in old)).groupBy(*k).agg(F.max("e").alias("e"))
+            both = new.alias("f").join(index.alias("i"), [F.col(f"i.{c}").eqNullSafe(F.col(f"f.{c}")) for c in k], "left").select(*(F.col(f"f.{c}") for c in k), F.col("f.e").alias("e"), F.col("i.e").alias("was"))
         else:
-            both = fresh.withColumn("was", F.lit(None).cast(fresh.schema["e"].dataType))
+            both = new.withColumn("was", F.lit(None).cast(new.schema["e"].dataType))
         wins = F.col("was").isNull() | (F.col("e") > F.col("was"))
         path = f"{self.root}/merge/batch={n}"
-        both.select("*", wins.alias("wins")).write.mode("overwrite").parquet(path)
-        both = self.spark.read.parquet(path)
-        both.where("wins").select(*self.keys, "e").write.mode("overwrite").parquet(f"{self.root}/index/batch={n}")
+        both = both.select("*", wins.alias("wins"))
+        both.write.mode("overwrite").parquet(path)
+        both = self.spark.read.schema(both.schema).parquet(path)
+        both.where("wins").select(*k, "e").write.mode("overwrite").parquet(f"{self.root}/index/batch={n}")
 
         def bitmap(df: DataFrame) -> DataFrame:
             return df.groupBy("fid", F.expr(f"pos div {BLOCK}").alias("block")).agg(F.bitmap_construct_agg(F.col("pos") % BLOCK).alias("bits"))
@@ -144,19 +146,23 @@ class DeleteVectorTable:
         dv = born
         if old:
             died = bitmap(both.where("wins and was.live").select("was.fid", "was.pos"))
-            kept = self.spark.read.parquet(f"{self.root}/dv/version={done}").select("fid", "block", "bits")
+            kept = self._bitmaps(done)
             # a block without a bitmap is dead already, and only blocks with a live row can lose one: so died adds no block
             dv = kept.unionByName(died).groupBy("fid", "block").agg(F.bitmap_or_agg("bits").alias("bits")).unionByName(born)
-        shard = F.pmod("fid", F.lit(self.shards)).alias("shard")
+        shard = F.pmod("fid", F.lit(self.shards)).cast("int").alias("shard")
         dv.select("fid", "block", "bits", shard).repartition("shard").sortWithinPartitions("shard", "fid").write.mode("overwrite").partitionBy("shard").parquet(f"{self.root}/dv/version={n}")
         self.spark.range(1).select(F.lit(n).alias("version"), F.lit(n).alias("batch")).coalesce(1).write.mode("overwrite").json(f"{self.root}/log/version={n}")
         return n
 
+    def _bitmaps(self, version: int) -> DataFrame:
+        return self.spark.read.schema("fid bigint, block bigint, bits binary, shard int").parquet(f"{self.root}/dv/version={version}").select("fid", "block", "bits")
+
     def read(self, *columns: str, version: int | None = None) -> DataFrame:
         """The live rows as of a version, the newest by default: columns, or all columns of the table."""
         v = self.version if version is None else version
         if v < 0:
             raise ValueError("the table has no version yet")
-        df = self._data(list(range(v + 1)))
-        cols = list(columns) or [c for c in df.columns if c not in ("__fid", "__pos")]
-        return df.select(*cols, "__fid", "__pos").where(_live_filter(f"{self.root}/dv/version={v}", self.shards)("__fid", "__pos")).select(*cols)
+        df, fid, pos = self._data(list(range(v + 1)))
+        cols = list(columns) or [c for c in df.columns if c not in (fid, pos)]
+        wanted = [F.col(f"`{c}`") for c in cols]
+        return df.select(*wanted, fid, pos).where(_live_filter(f"{self.root}/dv/version={v}", self.shards)(fid, pos)).select(*wanted)
