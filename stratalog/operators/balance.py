@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.model import fresh
+
 #: Keys that aren't heavy are placed by hash bucket; so many buckets, whatever the data.
 BUCKETS = 1024
 
@@ -92,7 +94,7 @@ def balanced_join(big: DataFrame, side: DataFrame, keys: list[str], spread: list
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     p = plan(big, keys, tasks)
-    t = "__task"
+    (t,) = fresh(big.select(*big.columns, *(F.lit(0).alias(c) for c in side.columns if c not in big.columns)), "task")
     return fragment(big, keys, p, spread, t).join(replicate(side, keys, p, t), [t, *keys], how).drop(t)
 
 
@@ -100,5 +102,6 @@ def balanced_aggregate(df: DataFrame, keys: list[str], spread: list[str], tasks:
     """Per-key results in balanced tasks. partial: aliased aggregates of a key's rows within a task; merge: aliased aggregates of the partial
     results by their aliases. Null keys form a group of their own. An empty df gives no rows. placement: a plan of df made before."""
     p = placement or plan(df, keys, tasks)
-    parts = fragment(df, keys, p, spread, "__task").groupBy("__task", *keys).agg(*partial)
+    (t,) = fresh(df, "task")
+    parts = fragment(df, keys, p, spread, t).groupBy(t, *keys).agg(*partial)
     return parts.groupBy(*keys).agg(*merge)
