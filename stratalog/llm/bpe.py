@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -32,8 +33,10 @@ class Vocabulary:
     """Merges of a byte-level BPE as arrays; about a megabyte, whatever the corpus."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        with open(path, "rb") as f:
+            data = f.read()
+        self.key = hashlib.sha256(data).hexdigest()
+        model = json.loads(data)["model"]
         vocab = model["vocab"]
         self.size = max(vocab.values()) + 1
         self.of_byte = np.array([vocab[s] for s in byte_signs()], np.int32)

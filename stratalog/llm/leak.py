@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +17,9 @@ from pyspark.sql import functions as F
 from stratalog.llm.mime import text_parts
 from stratalog.llm.scan import Words, class_table, identities, padded, text_bytes, word_spans
 
-#: Words of test passages that one automaton holds; further passages take another pass over the corpus.
-MAX_WORDS = 2_000_000
+#: Words of test passages that one automaton holds (about 100 bytes a word in each reader, ten times that while the driver builds it); further
+#: passages take another pass over the corpus.
+MAX_WORDS = 300_000
 #: Bytes of normalised text that are scanned at once.
 CHUNK = 2 << 20
 
@@ -35,90 +40,99 @@ def _spans(texts: Iterable[str], table: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Automaton:
-    """A generalised suffix automaton over the words of passages.
+    """A generalised suffix automaton over the words of passages, held in arrays.
 
-    states: dicts from word to state; length and link as usual. items[s] are the passages that hold the words of state s; report[s] is the
-    state of the last ``least`` words, for states that are that long: its items hold at least so many words that end here."""
+    A state stands for the word sequences that end at the same places of the passages; ``link`` leads to the state of their longest proper
+    suffix elsewhere. report[s] is the state of the last ``least`` words where s is that long, else -1; its items are the
+    passages that hold at least so many words that end here."""
 
     def __init__(self, passages: list[str], least: int):
         self.least, self.table = least, class_table()
         k, k2, first, _ = _spans(map(normalised, passages), self.table)
-        self.words = Words()
-        number = self.words.find(k, k2)
         _, at, back = np.unique(np.stack([k, k2]), axis=1, return_index=True, return_inverse=True) if len(k) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.words = Words()
         number = self.words.add(k[at], k2[at])[back]
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
         strings = [number[first[i] : first[i + 1]].tolist() for i in range(len(passages))]
+
+        nxt: list[dict[int, int]] = [{}]
+        link, length = [-1], [0]
         for s in strings:
             last = 0
             for w in s:
-                last = self._extend(last, w)
-        seen: list[set[int]] = [set() for _ in self.next]
+                last = self._extend(nxt, link, length, last, w)
+        order = sorted(range(len(nxt)), key=length.__getitem__)
+        report = [-1] * len(nxt)
+        for s in order:
+            if length[s] >= least:
+                report[s] = report[link[s]] if length[link[s]] >= least else s
+        holds: list[set[int]] = [set() for _ in nxt]
         for i, s in enumerate(strings):
             at_state = 0
             for w in s:
-                at_state = self.next[at_state][w]
+                at_state = nxt[at_state][w]
                 p = at_state
-                while p > 0 and i not in seen[p]:
-                    seen[p].add(i)
-                    p = self.link[p]
-        self.items = seen
-        order = sorted(range(len(self.next)), key=self.length.__getitem__)
-        self.report = [-1] * len(order)
-        for s in order:
-            if self.length[s] >= least:
-                up = self.link[s]
-                self.report[s] = self.report[up] if self.length[up] >= least else s
+                while p > 0 and length[p] >= least and i not in holds[p]:
+                    holds[p].add(i)
+                    p = link[p]
+
         n = self.words.n
+        moves = np.array(sorted((s * n + w, t) for s, d in enumerate(nxt) for w, t in d.items()), np.int64).reshape(-1, 2)
+        self.move, self.target = array("q", moves[:, 0].tolist()), array("i", moves[:, 1].tolist())
+        self.link, self.length, self.report = array("i", link), array("i", length), array("i", report)
+        self.item_at = array("i", np.cumsum([0, *map(len, holds)]).tolist())
+        self.item = array("i", [i for h in holds for i in sorted(h)])
         pairs = [np.array(s[:-1], np.int64) * n + np.array(s[1:], np.int64) for s in strings if len(s) > 1]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
 
-    def _extend(self, last: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if (q := nxt[last].get(w)) is not None and length[q] == length[last] + 1:
-            return q
-        split_only = q is not None
-        if not split_only:
+    @staticmethod
+    def _extend(nxt: list[dict[int, int]], link: list[int], length: list[int], last: int, w: int) -> int:
+        """The state of the current passage's words up to w, given that of the words before it. Its transition may exist from an earlier
+        passage: then that state is taken, or split if it also stands for longer sequences."""
+        cur, p = -1, last
+        if w not in nxt[last]:
             cur = len(nxt)
             nxt.append({})
             length.append(length[last] + 1)
             link.append(0)
-            p = last
             while p >= 0 and w not in nxt[p]:
                 nxt[p][w] = cur
                 p = link[p]
             if p < 0:
                 return cur
-            q = nxt[p][w]
-            if length[q] == length[p] + 1:
-                link[cur] = q
-                return cur
-        else:
-            p, cur = last, -1
-        clone = len(nxt)
-        nxt.append(dict(nxt[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
-        while p >= 0 and nxt[p].get(w) == q:
-            nxt[p][w] = clone
-            p = link[p]
-        link[q] = clone
-        if split_only:
-            return clone
-        link[cur] = clone
+        q = nxt[p][w]
+        if length[q] != length[p] + 1:
+            clone = len(nxt)
+            nxt.append(dict(nxt[q]))
+            length.append(length[p] + 1)
+            link.append(link[q])
+            while p >= 0 and nxt[p].get(w) == q:
+                nxt[p][w] = clone
+                p = link[p]
+            link[q] = q = clone
+        if cur < 0:
+            return q
+        link[cur] = q
         return cur
 
+    def step(self, state: int, w: int) -> int:
+        """The state after one more word, -1 if there is none."""
+        k = state * self.words.n + w
+        i = bisect_left(self.move, k)
+        return self.target[i] if i < len(self.move) and self.move[i] == k else -1
+
+    def items(self, state: int) -> array:
+        return self.item[self.item_at[state] : self.item_at[state + 1]]
+
     def scan(self, words: list[int]) -> Iterator[tuple[int, int, int]]:
-        """At each word from which on at least ``least`` words match: (its place, the matched length, the state to report)."""
+        """Where at least ``least`` words up to here match: (the last word's place, the longest matching length, the state to report)."""
         state, n = 0, 0
-        nxt, link, length = self.next, self.link, self.length
         for i, w in enumerate(words):
-            while state and w not in nxt[state]:
-                state = link[state]
-                n = length[state]
-            to = nxt[state].get(w)
-            if to is None:
+            to = self.step(state, w)
+            while to < 0 and state:
+                state = self.link[state]
+                n = self.length[state]
+                to = self.step(state, w)
+            if to < 0:
                 n = 0
                 continue
             state, n = to, n + 1
@@ -159,7 +173,7 @@ def find_spans(texts: list[str | None], a: Automaton) -> Iterator[tuple[int, int
                         yield *owner[t], start + end - n + 1, n, got
                     got = set()
                 end, n = i, m
-                got |= a.items[r]
+                got.update(a.items(r))
             if end >= 0:
                 yield *owner[t], start + end - n + 1, n, got
 
@@ -191,29 +205,32 @@ def _passes(items: DataFrame, item_id: str, passage: str, least: int) -> Iterato
         yield Automaton(list(held), least), list(held.values())
 
 
-def _over(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least: int, schema: str, rows: Callable[[list, Iterator, list[list[int]]], Iterator[tuple]]) -> DataFrame:
+def _over(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least: int, schema: str, rows: Callable[[list, list, Iterator, list[list[int]]], Iterator[tuple]]) -> DataFrame:
+    """The rows of all passes over docs. rows: from the ids and texts of a batch, its spans and the passages' items."""
     spark = docs.sparkSession
-    out = spark.createDataFrame([], schema)
-    names = out.schema.names
-    types = [{"bigint": pa.int64(), "int": pa.int32()}[t] for _, t in out.dtypes]
     read = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t"))
-    for automaton, owners in _passes(items, item_id, passage, least):
+    empty = spark.range(0).select(*(F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in schema.split(", "))))
+    kinds = pa.schema([(n, {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[t]) for n, t in (x.split() for x in schema.split(", "))])
+
+    def one(automaton: Automaton, owners: list[list[int]]) -> DataFrame:
         b = spark.sparkContext.broadcast((automaton, owners))
 
-        def run(batches: Iterator[pa.RecordBatch], b=b) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, own = b.value
             for batch in batches:
-                got = list(rows(batch.column("d").to_pylist(), find_spans(batch.column("t").to_pylist(), a), own))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True) if got else [[]] * len(names), types, strict=True)], names=names)
+                ids, texts = batch.column("d").to_pylist(), batch.column("t").to_pylist()
+                got = list(rows(ids, texts, find_spans(texts, a), own))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
-        found = read.mapInArrow(run, schema)
-        out = found if out.isLocal() else out.unionByName(found)
-    return out
+        return read.mapInArrow(run, schema)
+
+    passes = [one(*p) for p in _passes(items, item_id, passage, least)]
+    return reduce(DataFrame.unionByName, passes) if passes else empty
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least: int = 12) -> DataFrame:
     """One row for each document and item of whose passage at least ``least`` words in a row stand in one text part of the message:
-    doc_id, item_id, longest (words of the longest match that holds words of this passage).
+    doc_id, item_id, longest (words of the longest match with passages of which this is one).
 
     Words are longest runs of letters and digits, compared without case in composed form, after transfer encoding, HTML and quote marks
     are undone. Null and empty texts and passages match nothing, nor do passages of fewer words; null ids never come out of items.
@@ -222,7 +239,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     The passages' automaton is broadcast: its size is bounded by MAX_WORDS, and more passages mean more passes. Texts stream by in
     batches; only the pairs found are shuffled."""
 
-    def rows(ids: list, spans: Iterator, own: list[list[int]]) -> Iterator[tuple]:
+    def rows(ids: list, _: list, spans: Iterator, own: list[list[int]]) -> Iterator[tuple]:
         best: dict[tuple[int, int], int] = {}
         for t, _, _, n, got in spans:
             for p in got:
@@ -234,22 +251,58 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     return found.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"))
 
 
-def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least: int = 12) -> DataFrame:
-    """The matched spans to remove: doc_id, part (number of the text part), start_word, words. Overlapping and touching matches of a part
-    are merged, so spans of a part don't overlap."""
-
-    def rows(ids: list, spans: Iterator, own: list[list[int]]) -> Iterator[tuple]:
-        held: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for t, p, s, n, _ in spans:
-            held.setdefault((t, p), []).append((s, s + n))
-        for (t, p), ss in held.items():
-            a, z = -1, -1
+def merged_spans(spans: Iterator[tuple[int, int, int, int, set[int]]]) -> dict[int, dict[int, list[tuple[int, int]]]]:
+    """Of each text and part the (start, end) words of its spans; overlapping and touching ones are one."""
+    held: dict[int, dict[int, list[tuple[int, int]]]] = {}
+    for t, p, s, n, _ in spans:
+        held.setdefault(t, {}).setdefault(p, []).append((s, s + n))
+    for parts in held.values():
+        for p, ss in parts.items():
+            out: list[tuple[int, int]] = []
             for s, e in sorted(ss):
-                if s > z:
-                    if z >= 0:
-                        yield ids[t], p, a, z - a
-                    a, z = s, e
-                z = max(z, e)
-            yield ids[t], p, a, z - a
+                if out and s <= out[-1][1]:
+                    out[-1] = (out[-1][0], max(e, out[-1][1]))
+                else:
+                    out.append((s, e))
+            parts[p] = out
+    return held
+
+
+def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least: int = 12) -> DataFrame:
+    """The matched spans: doc_id, part (number of the text part), start_word, words. Spans of one part don't overlap. With passages of more than
+    MAX_WORDS words in all, each pass gives its own spans."""
+
+    def rows(ids: list, _: list, spans: Iterator, own: list[list[int]]) -> Iterator[tuple]:
+        for t, parts in merged_spans(spans).items():
+            yield from ((ids[t], p, s, e - s) for p, ss in parts.items() for s, e in ss)
 
     return _over(docs, doc_id, text, items, item_id, passage, least, "doc_id bigint, part int, start_word int, words int", rows)
+
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def remove_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, least: int = 12, max_coverage: float = 0.5) -> DataFrame:
+    """The text parts that hold leaked spans, cleaned: doc_id, part, words, leaked_words, coverage, kept_text.
+
+    A span of at least ``least`` words is cut out, from its first word to its last; where more than max_coverage of a part's words are
+    leaked the part goes whole and kept_text is null. Documents without a leak don't come out: they stay as they are."""
+
+    def rows(ids: list, texts: list, spans: Iterator, own: list[list[int]]) -> Iterator[tuple]:
+        for t, parts in merged_spans(spans).items():
+            decoded = list(text_parts(texts[t]))
+            for p, ss in parts.items():
+                s = unicodedata.normalize("NFC", decoded[p])
+                at = [m.span() for m in _WORD.finditer(s)]
+                plain = normalised(decoded[p])
+                if len(at) != (n := sum(1 for _ in _WORD.finditer(plain))):  # a change of case split a word: cut the compared form
+                    s, at = plain, [m.span() for m in _WORD.finditer(plain)]
+                leaked = sum(e - b for b, e in ss)
+                kept, last = [], 0
+                for b, e in ss:
+                    kept.append(s[last : at[b][0]])
+                    last = at[e - 1][1]
+                kept.append(s[last:])
+                yield ids[t], p, n, leaked, leaked / n, "".join(kept) if leaked <= max_coverage * n else None
+
+    return _over(docs, doc_id, text, items, item_id, passage, least, "doc_id bigint, part int, words int, leaked_words int, coverage double, kept_text string", rows)

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.distinct import cube_estimates, estimates, registers
-from stratalog.llm.leak import leaked_spans, leaks
+from stratalog.llm.leak import leaked_spans, leaks, remove_spans
 from stratalog.llm.seen import answer, error_report
 from stratalog.llm.split import split_oversized
 from stratalog.llm.tokenize import encode
-from stratalog.model import has_key, normal_namespace
+from stratalog.model import has_key, key_hex, normal_namespace
 from stratalog.plans.registry import Registry
 from stratalog.scratch import staged
 from stratalog.sources.tables import table
@@ -46,6 +46,12 @@ def p4_error(spark: SparkSession, d: str) -> DataFrame:
     return error_report(_answers(spark, d)[1])
 
 
+@R.query("p4_disproved")
+def p4_disproved(spark: SparkSession, d: str) -> DataFrame:
+    """The log of the filter's wrong answers: new keys that it let through and the lookup turned away."""
+    return _answers(spark, d)[1].where("maybe and not known").select("key.namespace", key_hex("key.key").alias("key_hex"), "first")
+
+
 def _parts(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_format(F.timestamp_micros("ts"), "yyyy-MM-dd")
     return registers(_days(spark, d).withColumn("day_utc", day), ["day_utc", "namespace"], ["namespace", "key"])
@@ -104,6 +110,12 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaked_spans(table(spark, d, "documents"), "doc_id", "text", _items(spark, d), "item_id", "passage")
 
 
+@R.query("p8_cleaned")
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The text parts with leaks, without them."""
+    return remove_spans(table(spark, d, "documents"), "doc_id", "text", _items(spark, d), "item_id", "passage")
+
+
 @R.query("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_pieces(spark, d).where("piece = 0").select("doc_id")

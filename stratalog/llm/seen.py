@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.model import fresh
 from stratalog.scratch import staged
 
 WORDS = 4
@@ -34,8 +35,8 @@ class SeenFilter:
 
     @classmethod
     def build(cls, df: DataFrame, keys: list[str], expected: int | None = None, bits_per_key: int = BITS_PER_KEY) -> SeenFilter:
-        """expected: how many distinct keys to size for; by default the number of rows, which is never too few."""
-        n = df.count() if expected is None else expected
+        """expected: how many distinct keys to size for; by default an estimate over all rows (to about 2 %). More keys only cost precision."""
+        n = df.agg(F.approx_count_distinct(F.xxhash64(*keys), 0.02)).first()[0] if expected is None else expected
         blocks = max(1, math.ceil(n * bits_per_key / (64 * WORDS)))
         made = df.select(*_marks(keys, blocks)).groupBy("block").agg(*(F.bit_or(f"m{i}").alias(f"w{i}") for i in range(WORDS)))
         return cls(staged(made, "filter"), keys, blocks)
@@ -59,22 +60,24 @@ class SeenFilter:
 def answer(probes: DataFrame, probe_id: str, known: DataFrame, keys: list[str], bits_per_key: int = BITS_PER_KEY) -> tuple[DataFrame, DataFrame]:
     """(seen, firsts) of a stream of probes against the known keys and against earlier probes.
 
-    seen: the rows of probes whose key is in known or in a probe of smaller probe_id (unique and not null). firsts: for each distinct key
-    asked for, its keys, ``first`` (smallest probe_id), ``maybe`` (the filter's answer) and ``known`` (the truth); a row with maybe and
-    not known is a wrong answer of the filter that the lookup disproved. Probes and known may repeat rows.
+    seen: the rows of probes, with all their columns, whose key is in known or in a probe of smaller probe_id (unique and not null). firsts:
+    for each distinct key asked for, ``key`` (a struct of keys), ``first`` (smallest probe_id), ``maybe`` (the filter's answer) and
+    ``known`` (the truth); a row with maybe and not known is a wrong answer of the filter that the lookup disproved. Null keys equal null
+    keys. Probes and known may repeat rows; without known keys the filter rejects all.
 
     Only a key's first probe can be new, so the distinct keys go to the filter: those it rejects are new at once, the others are looked
     up among the full keys on disk. The probes themselves meet only the ids of new firsts, a unique id each: a key that holds a
     third of the probes moves like any other rows."""
-    null_safe = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
-    asked = probes.groupBy(*keys).agg(F.min(probe_id).alias("first"))
-    tested = staged(SeenFilter.build(known, keys, bits_per_key=bits_per_key).test(asked), "tested")
+    k = [f"k{i}" for i in range(len(keys))]
+    renamed = [F.col(c).alias(a) for c, a in zip(keys, k, strict=True)]
+    asked, stored = probes.groupBy(*renamed).agg(F.min(probe_id).alias("first")), known.select(*renamed)
+    tested = staged(SeenFilter.build(stored, k, bits_per_key=bits_per_key).test(asked), "tested")
     negative, positive = tested.where("not maybe").withColumn("known", F.lit(False)), tested.where("maybe")
-    full = known.select(*keys).distinct().withColumn("known", F.lit(True))
-    verified = positive.join(full, null_safe(positive, full), "left").select(*(positive[k] for k in keys), "first", "maybe", F.coalesce(full["known"], F.lit(False)).alias("known"))
-    firsts = staged(negative.unionByName(verified), "answers")
-    new = firsts.where("not known").select(F.col("first").alias("__new"))
-    return probes.join(new, probes[probe_id] == F.col("__new"), "left_anti"), firsts
+    full = stored.distinct().withColumn("known", F.lit(True)).alias("f")
+    verified = positive.alias("p").join(full, [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in k], "left").select("p.*", F.coalesce("f.known", F.lit(False)).alias("known"))
+    firsts = staged(negative.unionByName(verified).select(F.struct(*(F.col(a).alias(c) for a, c in zip(k, keys, strict=True))).alias("key"), "first", "maybe", "known"), "answers")
+    new = firsts.where("not known").select(F.col("first").alias(*fresh(probes, "new")))
+    return probes.join(new, probes[probe_id] == new[new.columns[0]], "left_anti"), firsts
 
 
 def error_report(firsts: DataFrame) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from stratalog.llm.bpe import PairIndexBPE, Vocabulary
+from stratalog.model import fresh
 
 #: Where the vocabulary files are found unless a path is given.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_50K = f"{TOKENIZERS}/byte_bpe_50k.json"
 
-_held: dict[int, PairIndexBPE] = {}
+_held: list[PairIndexBPE] = []
 
 
 def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
@@ -25,13 +26,10 @@ def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
 
 def encoder(b: Broadcast) -> PairIndexBPE:
     """The encoder of this Python worker, with the words that its earlier tasks met."""
-    got = _held.get(b._jid if hasattr(b, "_jid") else 0)
     v = b.value
-    if got is None or got.v is not v:
-        got = PairIndexBPE(v)
-        _held.clear()
-        _held[b._jid if hasattr(b, "_jid") else 0] = got
-    return got
+    if not _held or _held[0].v.key != v.key:
+        _held[:] = [PairIndexBPE(v)]
+    return _held[0]
 
 
 def with_column(batch: pa.RecordBatch, i: int, j: int, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -46,6 +44,9 @@ def encode(df: DataFrame, text: str, out: str = "ids", vocabulary: str = BYTE_BP
 
     Null and empty texts get an empty list. A column named like out is replaced; others are kept. No row moves: each
     partition is read batch by batch, in chunks of bounded size, and written. A text of any length is encoded whole."""
+    if text == out:
+        (held,) = fresh(df, "text")
+        return encode(df.withColumnRenamed(text, held), held, out, vocabulary).drop(held)
     b = shared_vocabulary(df.sparkSession, vocabulary)
     kept = df.drop(out)
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
@@ -58,4 +59,4 @@ def encode(df: DataFrame, text: str, out: str = "ids", vocabulary: str = BYTE_BP
                 yield with_column(batch, at, at + len(ids), out, ids)
                 at += len(ids)
 
-    return kept.mapInArrow(run, schema) if text != out else df.select(df[text].alias("__text"), *[c for c in df.columns if c != text]).transform(lambda x: encode(x, "__text", out, vocabulary).drop("__text"))
+    return kept.mapInArrow(run, schema)
