@@ -47,6 +47,8 @@ class Automaton:
     passages that hold at least so many words that end here."""
 
     def __init__(self, passages: list[str], least: int):
+        if least < 2:
+            raise ValueError("a match has two words at least")
         self.least, self.table = least, class_table()
         k, k2, first, _ = _spans(map(normalised, passages), self.table)
         _, at, back = np.unique(np.stack([k, k2]), axis=1, return_index=True, return_inverse=True) if len(k) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
