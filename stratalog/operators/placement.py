@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalog.scratch import staged
+
 
 VNODES = 256
 #: Rings up to so many positions are held as an array in the plan and searched by every row.
@@ -88,26 +90,38 @@ def bloom_hashes(bits: Column, n: Column) -> Column:
     return F.least(F.greatest(F.ceil(bits / n * F.ln(F.lit(2.0))), F.lit(1)), F.lit(30)).cast("int")
 
 
-def bloom_positions(key_hex: Column, bits: Column, hashes: Column) -> Column:
-    """The bit positions of a key by double hashing of two md5 prefixes: (h1 + i * h2) mod m."""
+def _digests(key_hex: Column) -> list[Column]:
+    """Two 32-bit halves of a key's md5, from which all its positions follow."""
     d = F.md5(key_hex)
-    h = lambda a: F.conv(F.substring(d, a, 8), 16, 10).cast("bigint")
-    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: F.pmod(h(1) + i * h(9), bits))
+    return [F.conv(F.substring(d, a, 8), 16, 10).cast("bigint").alias(n) for a, n in ((1, "h1"), (9, "h2"))]
+
+
+def _at(bits: Column, hashes: Column) -> Column:
+    """The bit positions of a key by double hashing: (h1 + i * h2) mod bits."""
+    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: F.pmod(F.col("h1") + i * F.col("h2"), bits))
+
+
+def _bit() -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))
 
 
 def bloom_build(keys: DataFrame, segment: str, key_hex: str, fpp: float) -> DataFrame:
     """For each segment its filter as rows (segment, word, mask) of 64 bits, with bits and hashes in every row. Masks merge by ``bit_or``."""
     k = keys.select(F.col(segment).alias("segment"), F.col(key_hex).alias("k")).distinct()
     sizes = k.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).select("segment", bloom_bits(F.col("n"), F.lit(fpp)).alias("bits"), "n").select("segment", "bits", bloom_hashes(F.col("bits"), F.col("n")).alias("hashes"))
-    at = k.join(sizes, "segment").select("segment", "bits", "hashes", F.explode(bloom_positions(F.col("k"), F.col("bits"), F.col("hashes"))).alias("p"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))
-    return at.groupBy("segment", "bits", "hashes", F.expr("p div 64").alias("word")).agg(F.bit_or(bit).alias("mask"))
+    at = k.select("segment", *_digests(F.col("k"))).join(sizes, "segment").select("segment", "bits", "hashes", F.explode(_at(F.col("bits"), F.col("hashes"))).alias("p"))
+    return at.groupBy("segment", "bits", "hashes", F.expr("p div 64").alias("word")).agg(F.bit_or(_bit()).alias("mask"))
 
 
 def bloom_probe(keys: DataFrame, key_hex: str, bloom: DataFrame) -> DataFrame:
-    """For each distinct key and segment whether the segment may hold the key: key, segment, maybe. Segments are few: the catalog's."""
+    """For each distinct key and segment whether the segment may hold the key: key, segment, maybe.
+
+    A key's digests are taken once. The answer has a row for every key and segment; segments are few, and prune them by key range first
+    (segments.may_hold) where only covering ones matter."""
+    bloom = staged(bloom, "bloom")
     sizes = bloom.select("segment", "bits", "hashes").distinct()
-    asked = keys.select(F.col(key_hex).alias("k")).distinct().join(F.broadcast(sizes))
-    at = asked.select("k", "segment", "hashes", F.explode(bloom_positions(F.col("k"), F.col("bits"), F.col("hashes"))).alias("p")).withColumn("word", F.expr("p div 64"))
-    hit = at.join(bloom.select("segment", "word", "mask"), ["segment", "word"], "left").withColumn("set", F.coalesce(F.shiftrightunsigned("mask", 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))) != 0, F.lit(False)))
-    return hit.groupBy("k", "segment").agg(F.bool_and("set").alias("maybe"))
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each key becomes many rows, so few small keys must not share a task
+    asked = keys.select(F.col(key_hex).alias("k")).repartition(n, "k").distinct().select("k", *_digests(F.col("k")))
+    pairs = asked.join(F.broadcast(sizes)).select("k", "segment", F.explode(_at(F.col("bits"), F.col("hashes"))).alias("p"))
+    hit = pairs.select("k", "segment", F.expr("p div 64").alias("word"), _bit().alias("bit")).join(bloom.select("segment", "word", "mask"), ["segment", "word"], "left")
+    return hit.groupBy("k", "segment").agg(F.min(F.coalesce((F.col("mask").bitwiseAND(F.col("bit")) != 0), F.lit(False))).alias("maybe"))
