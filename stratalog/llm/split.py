@@ -19,7 +19,9 @@ PART, BLOCK, PARAGRAPH, LINE, SENTENCE, WORD = 6, 5, 4, 3, 2, 1
 _LINE = re.compile(rb"[^\r\n]*(?:\r\n|\n|\r|$)")
 _DEPTH = re.compile(rb"[ \t]*((?:[>|][ \t]?)*)")
 #: Starts of lines that open a block: headings, list items, block tags, rules, the lines over a quotation.
-_OPENS = re.compile(rb"(?:#{1,6} |={3,}|-{3,}|\*{3,}|_{3,}|[-*+] |\d{1,3}[.)] |</?(?:p|div|table|tr|ul|ol|li|h[1-6]|hr|body|blockquote|section|article|pre)\b|On .{3,200} wrote:|From: |-----)", re.I)
+_OPENS = re.compile(rb"(?:#{1,6} |={3,}|-{3,}|\*{3,}|_{3,}|[-*+] |\d{1,3}[.)] |</?(?:p|div|table|tr|ul|ol|li|h[1-6]|hr|body|blockquote|section|article|pre)\b|-----)", re.I)
+#: Lines that stand over a quotation and belong to it.
+_LEADS = re.compile(rb"(?:[^\r\n]{1,120}\bwrote\b[^\r\n]{0,80}:|From: [^\r\n]{1,200})[ \t]*$", re.I)
 _SENTENCE = re.compile(rb"[.!?\xe3](?:\x80\x82)?[\"')\]]*\s+(?=\S)|\xe3\x80\x82")
 _BOUNDARY = re.compile(rb'boundary[ \t]*=[ \t]*(?:"([^"\r\n]*)"|([^\s;"]+))', re.I)
 
@@ -28,7 +30,7 @@ def boundaries(raw: bytes) -> list[tuple[int, int]]:
     """(byte offset, strength) of the boundaries in front of lines and sentences of a message, ascending, each offset once."""
     marks = {b"--" + (m[1] if m[1] is not None else m[2]).rstrip() for m in _BOUNDARY.finditer(raw)}
     out: list[tuple[int, int]] = []
-    blank, depth, head, first = False, 0, True, True
+    blank, depth, head, first, led = False, 0, True, True, False
     at, n = 0, len(raw)
     while at < n:
         m = _LINE.match(raw, at)
@@ -44,7 +46,9 @@ def boundaries(raw: bytes) -> list[tuple[int, int]]:
             s = LINE
             if head:
                 head, s = False, BLOCK
-        elif now != depth:
+        elif led:
+            s = LINE
+        elif now != depth or not head and _LEADS.match(inner.rstrip()):
             s = BLOCK
         elif _OPENS.match(inner):
             s = BLOCK if blank or inner[:1] == b"<" else PARAGRAPH
@@ -57,6 +61,7 @@ def boundaries(raw: bytes) -> list[tuple[int, int]]:
             out += [(x.end(), SENTENCE) for x in _SENTENCE.finditer(raw, at, m.end()) if at < x.end() < m.end()]
         if bare:
             depth = now
+        led = not head and bool(bare) and bool(_LEADS.match(inner.rstrip()))
         blank = not bare or bare.strip(b">| \t") == b""
         at = m.end()
     return out
@@ -112,7 +117,7 @@ def split_oversized(df: DataFrame, doc_id: str, text: str, limit: int = 2048, ov
     """Pieces of every text of more than ``limit`` tokens: doc_id, piece (from 0), first_token, n_tokens, doc_tokens, piece_text.
 
     A piece is a run of the text's own tokens, at most limit of them; each piece begins with the last ``overlap`` tokens of the one before,
-    and the rest of it ends at the strongest boundary that keeps pieces large: between parts of the message, blocks (quotations,
+    and the rest of it ends at the strongest boundary that keeps pieces large: between parts of the message, blocks (quotations with the line over them,
     headings, list items, HTML blocks), paragraphs, lines, sentences, words. Only a single word larger than the limit is cut inside.
     piece_text is what these tokens stand for; a character that a cut divides (possible only at the overlap's start or inside
     such a word) shows as U+FFFD. Texts within the limit, null and empty ones give no rows. Rows with one doc_id are split each

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from stratalog.llm.split import BLOCK, PARAGRAPH, PART, boundaries, pack, split_oversized
+from stratalog.llm.split import BLOCK, LINE, PARAGRAPH, PART, boundaries, pack, split_oversized
 
 tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
@@ -19,6 +19,13 @@ def test_boundaries():
     assert list(found) == sorted(found) and 0 not in found
 
 
+def test_a_quotation_keeps_its_lead():
+    raw = b"A: b\n\nHi.\nAnna wrote on Wed, 22 Jan 2025 13:55:48 -0800:\n> quoted\n>> Ben wrote:\n>> deeper\n"
+    found = dict(boundaries(raw))
+    assert found[raw.index(b"Anna")] == BLOCK and found[raw.index(b"> quoted")] == LINE
+    assert found[raw.index(b">> Ben")] == BLOCK and found[raw.index(b">> deeper")] == LINE
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_pack_covers_within_the_limit(seed):
     r = random.Random(seed)
