@@ -24,11 +24,11 @@ class Placement:
     buckets: list[int]
     loads: list[int]
 
-    def shards(self, h: Column) -> Column:
-        """The tasks of a key's shards, null for a key that isn't heavy. At most 4 * tasks keys are heavy, so the map has a bound."""
-        if not self.heavy:
-            return F.lit(None).cast("array<int>")
-        return F.element_at(F.map_from_arrays(F.lit(list(self.heavy)).cast("array<bigint>"), F.array(*(F.lit(t).cast("array<int>") for t in self.heavy.values()))), h)
+    def with_shards(self, df: DataFrame, h: Column, name: str) -> DataFrame:
+        """df with the tasks of a key's shards, null for a key that isn't heavy. At most 4 * tasks keys are heavy: the bound of the broadcast."""
+        (key,) = fresh(df, "heavy_hash")
+        heavy = df.sparkSession.createDataFrame(list(self.heavy.items()), f"{key} bigint, {name} array<int>")
+        return df.join(F.broadcast(heavy), h == F.col(key), "left").drop(key)
 
     def bucket(self, h: Column) -> Column:
         return F.element_at(F.lit(self.buckets).cast("array<int>"), (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"))
@@ -76,16 +76,17 @@ def plan(df: DataFrame, keys: list[str], tasks: int) -> Placement:
 def fragment(df: DataFrame, keys: list[str], p: Placement, spread: list[str], task: str) -> DataFrame:
     """Each row of df once, moved to a task of its key; rows of a heavy key are spread over its shards by a hash of the columns spread,
     which should tell rows of a key apart. Adds the column task."""
-    h, s = key_hash(keys), F.xxhash64(F.lit(11), *spread)
-    shards = p.shards(h)
-    to = F.when(shards.isNotNull(), F.element_at(shards, (F.pmod(s, F.size(shards)) + 1).cast("int"))).otherwise(p.bucket(h))
-    return df.withColumn(task, to).repartitionById(p.tasks, F.col(task))
+    (shards,) = fresh(df, "shards")
+    at = F.element_at(shards, (F.pmod(F.xxhash64(F.lit(11), *spread), F.size(shards)) + 1).cast("int"))
+    placed = p.with_shards(df, key_hash(keys), shards)
+    return placed.withColumn(task, F.when(F.col(shards).isNotNull(), at).otherwise(p.bucket(key_hash(keys)))).drop(shards).repartitionById(p.tasks, F.col(task))
 
 
 def replicate(df: DataFrame, keys: list[str], p: Placement, task: str) -> DataFrame:
     """The rows of df at every task that holds a shard of their key, at one task for keys that aren't heavy."""
-    h = key_hash(keys)
-    return df.withColumn(task, F.explode(F.coalesce(F.array_distinct(p.shards(h)), F.array(p.bucket(h))))).repartitionById(p.tasks, F.col(task))
+    (shards,) = fresh(df, "shards")
+    placed = p.with_shards(df, key_hash(keys), shards)
+    return placed.withColumn(task, F.explode(F.coalesce(F.array_distinct(shards), F.array(p.bucket(key_hash(keys)))))).drop(shards).repartitionById(p.tasks, F.col(task))
 
 
 def balanced_join(big: DataFrame, side: DataFrame, keys: list[str], spread: list[str], tasks: int, how: str = "inner") -> DataFrame:
