@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.model import fresh
+from stratalog.scratch import staged
 
 BLOCK = 32_768
 BLOCK_BYTES = BLOCK // 8
@@ -109,10 +110,11 @@ class DeleteVectorTable:
         return max(_numbers(self.spark, f"{self.root}/log", "version"), default=-1)
 
     def _data(self, batches: list[int]) -> tuple[DataFrame, str, str]:
-        """The images of batches with file id and position, and the names of these two columns."""
+        """The images of batches with file id and position, and the names of these two columns. File names hold a job's unique id, so they stay
+        valid if the table is moved."""
         df = self.spark.read.parquet(*(f"{self.root}/data/batch={b}" for b in batches))
         meta, (fid, pos) = df.metadataColumn("_metadata"), fresh(df, "fid", "pos")
-        return df.select(df["*"], F.xxhash64(meta["file_path"]).alias(fid), meta["row_index"].alias(pos)), fid, pos
+        return df.select(df["*"], F.xxhash64(meta["file_name"]).alias(fid), meta["row_index"].alias(pos)), fid, pos
 
     def apply(self, changes: DataFrame) -> int:
         """Appends one batch of changes; returns the version that holds it. The columns of the first batch are those of the table, whatever
@@ -127,8 +129,10 @@ class DeleteVectorTable:
         k = [f"k{i}" for i in range(len(self.keys))]
         new = data.groupBy(*(F.col(c).alias(a) for c, a in zip(self.keys, k, strict=True))).agg(F.max(entry).alias("e"))
         if old:
-            # only the index rows of keys in this batch meet it; the rest of the index isn't touched
-            index = self.spark.read.parquet(*(f"{self.root}/index/batch={b}" for b in old)).groupBy(*k).agg(F.max("e").alias("e"))
+            # of the index only rows of this batch's keys go on; a small batch is broadcast by Spark, and the index just scanned
+            new = staged(new, "batch")
+            index = self.spark.read.parquet(*(f"{self.root}/index/batch={b}" for b in old)).alias("i")
+            index = index.join(new.alias("f"), [F.col(f"i.{c}").eqNullSafe(F.col(f"f.{c}")) for c in k], "left_semi").groupBy(*k).agg(F.max("e").alias("e"))
             both = new.alias("f").join(index.alias("i"), [F.col(f"i.{c}").eqNullSafe(F.col(f"f.{c}")) for c in k], "left").select(*(F.col(f"f.{c}") for c in k), F.col("f.e").alias("e"), F.col("i.e").alias("was"))
         else:
             both = new.withColumn("was", F.lit(None).cast(new.schema["e"].dataType))
