@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.operators.ordered import following
+
 
 def merge_updates(updates: DataFrame) -> DataFrame:
     """The member list after updates (node_id, address, state, incarnation, seq): an update counts if its incarnation isn't below the member's,
@@ -23,8 +25,9 @@ def timeouts(events: DataFrame, now_us: int, dead_after_us: int = 5_000_000) ->
     """States of the events (node_id, at_us, state: alive or suspected) as they stand when timers run: node_id, at_us, state, dead_at_us.
 
     A suspected node that isn't heard of as alive within dead_after_us is dead from then on; dead_at_us is null where that didn't happen by now_us.
-    A node's events are ordered in one window; they are state changes, not heartbeats."""
-    nxt = F.lead("at_us").over(Window.partitionBy("node_id").orderBy("at_us"))
+    Events of a node at one time are each followed by the other. The next event is found over range partitions, so a node may have any
+    number of events."""
+    nxt = F.when(F.col("next.node_id").eqNullSafe(F.col("node_id")), F.col("next.at_us"))
     due = F.col("at_us") + dead_after_us
     dead = (F.col("state") == "suspected") & (due < F.coalesce(F.col("next_us"), F.lit(now_us)))
-    return events.withColumn("next_us", nxt).select("node_id", "at_us", "state", F.when(dead, due).alias("dead_at_us"))
+    return following(events.select("node_id", "at_us", "state"), ["node_id", "at_us"], "next").withColumn("next_us", nxt).select("node_id", "at_us", "state", F.when(dead, due).alias("dead_at_us"))

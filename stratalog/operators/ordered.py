@@ -50,3 +50,30 @@ def running_max(df: DataFrame, order: list[str], value: Column, out: str) -> Dat
     ahead = cut.groupBy(part).agg(F.max(v).alias(top)).select(part, F.max(top).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)).alias(before_part))
     own = F.max(v).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return cut.join(F.broadcast(ahead), part).withColumn(out, F.greatest(own, F.col(before_part))).drop(v, part, before_part)
+
+
+def rank_in_group(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """df with ``out``: the place of each row, from 1, among the rows of its group in the given order. Null group columns are values.
+
+    Like row_number over a window of the group, but a group may span any number of range partitions: a row's place in its partition is
+    raised by what earlier partitions hold of its group. Only the first group of a partition can have begun earlier, so the driver
+    sums over two group values and two counts for each partition."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part, lo, hi, own, ahead = fresh(df, "part", "lo", "hi", "own", "ahead")
+    cut = staged(df.repartitionByRange(n, *group, *order).withColumn(part, F.spark_partition_id()), "ranked")
+    g = F.struct(*group)
+    ends = staged(cut.groupBy(part).agg(F.min(g).alias(lo), F.max(g).alias(hi)), "ends")
+    size = cut.join(F.broadcast(ends), part).groupBy(part).agg(F.count_if(g.eqNullSafe(F.col(hi))).alias(own))
+    rows = {r[part]: r for r in ends.join(size, part).collect()}
+    carried: list[tuple[int, int]] = []
+    last, held = None, 0
+    for p in sorted(rows):
+        r = rows[p]
+        before = held if r[lo] == last else 0
+        carried.append((p, before))
+        last, held = r[hi], r[own] + (before if r[lo] == r[hi] else 0)
+    extra = spark.createDataFrame(carried, f"{part} int, {ahead} bigint")
+    place = F.row_number().over(Window.partitionBy(part, *group).orderBy(*order))
+    got = cut.withColumn(out, place).join(F.broadcast(ends.select(part, lo)), part).join(F.broadcast(extra), part)
+    return got.withColumn(out, F.col(out) + F.when(g.eqNullSafe(F.col(lo)), F.col(ahead)).otherwise(0)).drop(part, lo, ahead)

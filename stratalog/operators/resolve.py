@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.operators.ordered import rank_in_group
+
 KEY = ["namespace", "key"]
 
 
@@ -29,5 +31,5 @@ def merge_runs(*runs: DataFrame) -> DataFrame:
 
 
 def versions(entries: DataFrame) -> DataFrame:
-    """All versions with ``version``, 1 for the newest of its key."""
-    return entries.withColumn("version", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("ts"), F.desc_nulls_last("value"))))
+    """All versions with ``version``, 1 for the newest of its key. The versions of one key may lie in many tasks."""
+    return rank_in_group(entries, KEY, [F.desc("ts"), F.desc_nulls_last("value")], "version")

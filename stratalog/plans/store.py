@@ -39,7 +39,7 @@ def latest_entry_log(spark: SparkSession, d: str) -> DataFrame:
     return e.select("namespace", key_hex().alias("key_hex"), "ts", F.col("value").isNull().alias("deleted"), F.coalesce(key_hex("value"), F.lit("")).alias("value_hex"))
 
 
-@query("version_history", f"select namespace, {HEX}, ts, row_number() over (partition by namespace, key order by ts desc)::int as version from {fx.EVENTS}")
+@query("version_history", f"select namespace, {HEX}, ts, row_number() over (partition by namespace, key order by ts desc) as version from {fx.EVENTS}")
 def version_history(spark: SparkSession, d: str) -> DataFrame:
     return hexed(versions(fx.events_log(spark, d)), "ts", "version")
 
@@ -516,7 +516,7 @@ def _leaves(log: str) -> str:
     return f"(select leaf, sha256(string_agg(h, '' order by k)) as hash, min(k) as min_key, max(k) as max_key, count(*) as cnt from (select k, h, ((row_number() over (order by k) - 1) // (select ceil(count(*) / least(64, count(*)))::bigint from {_hashed(log)}))::int as leaf from {_hashed(log)}) group by leaf)"
 
 
-_CHANGED = f"(select namespace, key, case when ts % 500 = 0 then 'x'::blob else value end as value, ts from {fx.EVENTS})"
+_CHANGED = f"(select namespace, key, case when ts % 37 = 0 then 'x'::blob else value end as value, ts from {fx.EVENTS})"
 
 
 @query("merkle_build", f"select * from {_leaves(fx.EVENTS)}")
@@ -535,7 +535,7 @@ def merkle_root(spark: SparkSession, d: str) -> DataFrame:
 )
 def merkle_diff(spark: SparkSession, d: str) -> DataFrame:
     log = fx.events_log(spark, d)
-    other = log.withColumn("value", F.when(F.col("ts") % 500 == 0, reads.lit_bytes("x")).otherwise(F.col("value")))
+    other = log.withColumn("value", F.when(F.col("ts") % 37 == 0, reads.lit_bytes("x")).otherwise(F.col("value")))
     return repair.merkle_diff(*(repair.merkle_leaves(_hash_rows(x), "k", "h") for x in (log, other)))
 
 

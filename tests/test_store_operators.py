@@ -201,6 +201,29 @@ def test_merkle(spark):
     assert repair.merkle_diff(a, b).count() == 1  # an insertion shifts no other leaf
 
 
+def test_large_leaves_are_trees(spark, monkeypatch):
+    rows = spark.range(1000).select(F.format_string("%04d", "id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    flat = repair.merkle_leaves(rows, "k", "h", 3)
+    monkeypatch.setattr(repair, "FAN", 5)
+    tree = repair.merkle_leaves(rows, "k", "h", 3)
+    assert [tuple(r)[2:] for r in tree.orderBy("leaf").collect()] == [tuple(r)[2:] for r in flat.orderBy("leaf").collect()]
+    other = repair.merkle_leaves(rows.withColumn("h", F.when(F.col("k") == "0500", "0").otherwise(F.col("h"))), "k", "h", 3)
+    assert [r.leaf for r in repair.merkle_diff(tree, other).collect()] == [1]
+
+
+def test_rank_in_group_spans_partitions(spark):
+    rows = [("hot", i) for i in range(3000)] + [(None, i) for i in range(50)] + [(f"g{i % 40}", i) for i in range(200)] + [("hot", 5)]
+    df = spark.createDataFrame(rows, "g string, v int").withColumn("lo", F.lit(1)).repartition(7)
+    got = {}
+    for r in ordered.rank_in_group(df, ["g"], [F.desc("v")], "n").collect():
+        got.setdefault(r.g, []).append((r.n, r.v))
+    assert sum(map(len, got.values())) == len(rows)
+    for x in got.values():
+        x.sort()
+        assert [n for n, _ in x] == list(range(1, len(x) + 1)) and [v for _, v in x] == sorted((v for _, v in x), reverse=True)
+    assert ordered.rank_in_group(df.limit(0), ["g"], [F.desc("v")], "n").count() == 0
+
+
 def test_codecs(spark):
     e = log(spark, ("ns", b"key", b"value", 1_800_000_000_000_000), ("default", b"k", None, 7), ("ä", b"\x00\xff", b"", 0))
     b = e.select("*", codecs.encode_entry(F.col("key"), F.col("value"), F.col("ts"), F.col("namespace")).alias("b"))
