@@ -47,6 +47,14 @@ def cluster_status(members: DataFrame) -> DataFrame:
     return members.agg(F.count(F.lit(1)).alias("total_nodes"), F.count_if(alive).alias("alive_nodes")).withColumn("degraded", F.col("alive_nodes") < F.col("total_nodes"))
 
 
+def status_json(members: DataFrame) -> DataFrame:
+    """One row ``status``: the cluster status with the member list, as JSON. The list is of a cluster's nodes, some thousands at most."""
+    node = F.struct("node_id", "address", member_state(F.col("state")).alias("state"), "incarnation")
+    alive = F.lower(F.trim("state")) == "alive"
+    body = F.struct(F.count(F.lit(1)).alias("total_nodes"), F.count_if(alive).alias("alive_nodes"), F.sort_array(F.collect_list(node)).alias("nodes"))
+    return members.agg(F.to_json(body).alias("status"))
+
+
 def prometheus_line(prefix: str, name: Column, value: Column, labels: list[tuple[str, Column]] = []) -> Column:
     """``prefix_name{label="value",...} value``; quotes, backslashes and line ends in labels are escaped."""
     esc = lambda c: F.replace(F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))

@@ -31,3 +31,11 @@ def timeouts(events: DataFrame, now_us: int, dead_after_us: int = 5_000_000) ->
     due = F.col("at_us") + dead_after_us
     dead = (F.col("state") == "suspected") & (due < F.coalesce(F.col("next_us"), F.lit(now_us)))
     return following(events.select("node_id", "at_us", "state"), ["node_id", "at_us"], "next").withColumn("next_us", nxt).select("node_id", "at_us", "state", F.when(dead, due).alias("dead_at_us"))
+
+
+def random_members(members: DataFrame, n: int, seed: int, exclude: str | None = None) -> DataFrame:
+    """n live members in random order (a probe's target, or its relays), the same for the same seed and members. exclude: the asking node."""
+    rows = alive(members)
+    if exclude is not None:
+        rows = rows.where(F.col("node_id") != exclude)
+    return rows.orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(n)

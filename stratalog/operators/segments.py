@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.model import StoreConfig
@@ -92,3 +92,11 @@ def paths_for(manifest: DataFrame, condition: Column, max_files: int = 100_000)
         if i >= max_files:
             raise ValueError(f"more than {max_files} files")
         yield r["file_name"]
+
+
+def freeze(spark: SparkSession, path: str, cold_path: str) -> int:
+    """Copies a segment to a cold place, such as an object store, at a higher compression; returns the bytes there. Files are sorted like a segment's."""
+    df = spark.read.parquet(path).sortWithinPartitions("namespace", "key", F.desc("ts"))
+    df.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(cold_path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(cold_path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()

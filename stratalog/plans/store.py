@@ -377,6 +377,17 @@ def node_info(spark: SparkSession, d: str) -> DataFrame:
     return m.select("node_id", "address", catalog.member_state(F.col("state")).alias("node_state"), "incarnation")
 
 
+@query("status_json")
+def status_json(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.status_json(membership.merge_updates(_updates(spark, d)))
+
+
+@query("random_members")
+def random_members(spark: SparkSession, d: str) -> DataFrame:
+    """Three relays for a probe by the first node; the limit is the feature."""
+    return membership.random_members(membership.merge_updates(_updates(spark, d)), 3, 42, "node-00000").select("node_id", "address")
+
+
 @query("prometheus_lines", "select 'store_level_segments{level=\"' || level || '\"} ' || count(*) as line from sstable_manifest where compacted = 0 group by level")
 def prometheus_lines(spark: SparkSession, d: str) -> DataFrame:
     s = compaction.level_sizes(table(spark, d, "sstable_manifest"))

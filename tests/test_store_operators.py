@@ -166,6 +166,25 @@ def test_membership(spark):
     assert dead == {("a", 0): None, ("a", 10): None, ("a", 12): None, ("b", 10): 16, ("b", 40): None, ("c", 95): None}
 
 
+def test_status_and_random_members(spark):
+    import json
+
+    m = spark.createDataFrame([(f"n{i}", f"h{i}", " Alive" if i % 3 else "dead", i) for i in range(12)], "node_id string, address string, state string, incarnation bigint")
+    s = json.loads(catalog.status_json(m).first().status)
+    assert s["total_nodes"] == 12 and s["alive_nodes"] == 8 and s["nodes"][0] == {"node_id": "n0", "address": "h0", "state": "DEAD", "incarnation": 0}
+    assert json.loads(catalog.status_json(m.limit(0)).first().status)["nodes"] == []
+    pick = lambda seed: [r.node_id for r in membership.random_members(m, 3, seed, "n1").collect()]
+    assert len(pick(1)) == 3 and pick(1) == pick(1) and len({tuple(pick(i)) for i in range(5)}) > 1
+    assert not {x for i in range(5) for x in pick(i)} & {"n0", "n1", "n3"}
+
+
+def test_freeze(spark, tmp_path):
+    e = log(spark, *(("n", b"k%05d" % i, b"value %d" % i, i) for i in range(300)))
+    segments.write_segment(e, str(tmp_path / "hot"), 2)
+    assert segments.freeze(spark, str(tmp_path / "hot"), str(tmp_path / "cold")) > 0
+    assert spark.read.parquet(str(tmp_path / "cold")).exceptAll(e).count() == 0
+
+
 def test_ring(spark):
     nodes = lambda n: placement.ring(spark.createDataFrame([(f"node-{i}",) for i in range(n)], "node_id string"))
     keys = spark.range(10_000).select(F.format_string("key_%d", "id").alias("k"))
