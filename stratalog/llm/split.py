@@ -22,7 +22,8 @@ _DEPTH = re.compile(rb"[ \t]*((?:[>|][ \t]?)*)")
 _OPENS = re.compile(rb"(?:#{1,6} |={3,}|-{3,}|\*{3,}|_{3,}|[-*+] |\d{1,3}[.)] |</?(?:p|div|table|tr|ul|ol|li|h[1-6]|hr|body|blockquote|section|article|pre)\b|-----)", re.I)
 #: Lines that stand over a quotation and belong to it.
 _LEADS = re.compile(rb"(?:[^\r\n]{1,120}\bwrote\b[^\r\n]{0,80}:|From: [^\r\n]{1,200})[ \t]*$", re.I)
-_SENTENCE = re.compile(rb"[.!?\xe3](?:\x80\x82)?[\"')\]]*\s+(?=\S)|\xe3\x80\x82")
+#: Ends of sentences, among them the ideographic full stop.
+_SENTENCE = re.compile(rb"[.!?][\"')\]]*\s+(?=\S)|\xe3\x80\x82")
 _BOUNDARY = re.compile(rb'boundary[ \t]*=[ \t]*(?:"([^"\r\n]*)"|([^\s;"]+))', re.I)
 
 
