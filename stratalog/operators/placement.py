@@ -113,15 +113,13 @@ def bloom_build(keys: DataFrame, segment: str, key_hex: str, fpp: float) -> Data
     return at.groupBy("segment", "bits", "hashes", F.expr("p div 64").alias("word")).agg(F.bit_or(_bit()).alias("mask"))
 
 
-def bloom_probe(keys: DataFrame, key_hex: str, bloom: DataFrame) -> DataFrame:
-    """For each distinct key and segment whether the segment may hold the key: key, segment, maybe.
-
-    A key's digests are taken once. The answer has a row for every key and segment; segments are few, and prune them by key range first
-    (segments.may_hold) where only covering ones matter."""
+def bloom_probe(asked: DataFrame, segment: str, key_hex: str, bloom: DataFrame) -> DataFrame:
+    """For each distinct (segment, key) asked for whether the segment may hold the key: segment, k, maybe. Pairs of a segment without a filter
+    don't come out. A key's digests are taken once a pair; filters are met word by word in an equi-join, so none is held whole."""
     bloom = staged(bloom, "bloom")
     sizes = bloom.select("segment", "bits", "hashes").distinct()
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each key becomes many rows, so few small keys must not share a task
-    asked = keys.select(F.col(key_hex).alias("k")).repartition(n, "k").distinct().select("k", *_digests(F.col("k")))
-    pairs = asked.join(F.broadcast(sizes)).select("k", "segment", F.explode(_at(F.col("bits"), F.col("hashes"))).alias("p"))
-    hit = pairs.select("k", "segment", F.expr("p div 64").alias("word"), _bit().alias("bit")).join(bloom.select("segment", "word", "mask"), ["segment", "word"], "left")
-    return hit.groupBy("k", "segment").agg(F.min(F.coalesce((F.col("mask").bitwiseAND(F.col("bit")) != 0), F.lit(False))).alias("maybe"))
+    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each pair becomes many rows, so few small pairs must not share a task
+    pairs = asked.select(F.col(segment).alias("segment"), F.col(key_hex).alias("k")).repartition(n, "segment", "k").distinct().select("segment", "k", *_digests(F.col("k")))
+    at = pairs.join(sizes, "segment").select("segment", "k", F.explode(_at(F.col("bits"), F.col("hashes"))).alias("p"))
+    hit = at.select("segment", "k", F.expr("p div 64").alias("word"), _bit().alias("bit")).join(bloom.select("segment", "word", "mask"), ["segment", "word"], "left")
+    return hit.groupBy("segment", "k").agg(F.min(F.coalesce((F.col("mask").bitwiseAND(F.col("bit")) != 0), F.lit(False))).alias("maybe"))
