@@ -109,12 +109,12 @@ class DeleteVectorTable:
         """The newest finished version, -1 for a table without any."""
         return max(_numbers(self.spark, f"{self.root}/log", "version"), default=-1)
 
-    def _data(self, batches: list[int]) -> tuple[DataFrame, str, str]:
-        """The images of batches with file id and position, and the names of these two columns. File names hold a job's unique id, so they stay
-        valid if the table is moved."""
+    def _data(self, batches: list[int]) -> tuple[DataFrame, str, str, str]:
+        """The images of batches with their delete flag, file id and position, and the names of these three columns. File names hold a job's unique
+        id, so they stay valid if the table is moved."""
         df = self.spark.read.parquet(*(f"{self.root}/data/batch={b}" for b in batches))
         meta, (fid, pos) = df.metadataColumn("_metadata"), fresh(df, "fid", "pos")
-        return df.select(df["*"], F.xxhash64(meta["file_name"]).alias(fid), meta["row_index"].alias(pos)), fid, pos
+        return df.select(df["*"], F.xxhash64(meta["file_name"]).alias(fid), meta["row_index"].alias(pos)), df.columns[-1], fid, pos
 
     def apply(self, changes: DataFrame) -> int:
         """Appends one batch of changes; returns the version that holds it. The columns of the first batch are those of the table, whatever
@@ -122,10 +122,12 @@ class DeleteVectorTable:
         done = self.version
         n, old = done + 1, list(range(done + 1))
         # a batch that was cut off by a failure is written again; nothing refers to its leftovers
-        changes.write.mode("overwrite").parquet(f"{self.root}/data/batch={n}")
+        # the flag, the last column, spares the index pass from reading the columns that it comes from
+        flag = F.coalesce(self.deleted, F.lit(False)).alias(*fresh(changes, "deleted_flag"))
+        changes.select("*", flag).write.mode("overwrite").parquet(f"{self.root}/data/batch={n}")
 
-        data, fid, pos = self._data([n])
-        entry = F.struct(F.col(self.ts).alias("ts"), (~F.coalesce(self.deleted, F.lit(False))).alias("live"), F.col(fid).alias("fid"), F.col(pos).alias("pos"))
+        data, gone, fid, pos = self._data([n])
+        entry = F.struct(F.col(self.ts).alias("ts"), (~F.col(gone)).alias("live"), F.col(fid).alias("fid"), F.col(pos).alias("pos"))
         k = [f"k{i}" for i in range(len(self.keys))]
         new = data.groupBy(*(F.col(c).alias(a) for c, a in zip(self.keys, k, strict=True))).agg(F.max(entry).alias("e"))
         if old:
@@ -166,7 +168,7 @@ class DeleteVectorTable:
         v = self.version if version is None else version
         if v < 0:
             raise ValueError("the table has no version yet")
-        df, fid, pos = self._data(list(range(v + 1)))
-        cols = list(columns) or [c for c in df.columns if c not in (fid, pos)]
+        df, gone, fid, pos = self._data(list(range(v + 1)))
+        cols = list(columns) or [c for c in df.columns if c not in (gone, fid, pos)]
         wanted = [F.col(f"`{c}`") for c in cols]
         return df.select(*wanted, fid, pos).where(_live_filter(f"{self.root}/dv/version={v}", self.shards)(fid, pos)).select(*wanted)
