@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.model import StoreConfig
-from stratalog.operators.ordered import running_sum
+from stratalog.operators.ordered import global_row_number, running_sum
 from stratalog.operators.writes import encoded_size
 
 
@@ -20,6 +20,15 @@ def cut_segments(entries: DataFrame, config: StoreConfig = StoreConfig()) -> Dat
     return running_sum(entries, ["ts"], size, "__bytes", before=True).withColumn("segment", F.expr(f"__bytes div {config.memtable_bytes}")).drop("__bytes")
 
 
+def even_segments(entries: DataFrame, n: int) -> DataFrame:
+    """entries with ``segment``, from 0 in order of ts: n segments of as many rows each, the first ones of one more where the rows don't divide, as
+    ntile has them, but without gathering the table in one task. ts must be unique."""
+    q, r = divmod(entries.count(), n)
+    at = f"(__row - 1 - {r * (q + 1)})"
+    segment = F.expr(f"case when {at} < 0 then (__row - 1) div {q + 1} else {r} + {at} div {max(q, 1)} end")
+    return global_row_number(entries, ["ts"], "__row").withColumn("segment", segment).drop("__row")
+
+
 def write_segment(entries: DataFrame, path: str, partitions: int | None = None) -> None:
     """Writes all versions of entries as one sorted segment: range partitioned and sorted by (namespace, key, newest first), so that row groups
     and pages have narrow key bounds. zstd, with a bloom filter on the key column."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.operators.segments import even_segments
 from stratalog.sources.tables import table
 
 
@@ -38,6 +39,14 @@ def segmented(spark: SparkSession, d: str) -> DataFrame:
 SEGMENTED = f"(select *, ts // 1250 as segment from {EVENTS})"
 
 
+def eighths(spark: SparkSession, d: str) -> DataFrame:
+    """events_log in eight segments of consecutive writes, from 0, which grow with the table (F3 of FIXTURES.md)."""
+    return even_segments(events_log(spark, d), 8)
+
+
+EIGHTHS = f"(select *, ntile(8) over (order by ts) - 1 as segment from {EVENTS})"
+
+
 def op_log(spark: SparkSession, d: str) -> DataFrame:
     """Operations by event type: error deletes, click and view read, others put; every eleventh fails."""
     t = F.col("event_type")

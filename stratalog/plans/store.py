@@ -278,6 +278,12 @@ def compact_l0(spark: SparkSession, d: str) -> DataFrame:
     return hexed(compaction.compact(fx.segmented(spark, d).where("segment < 4")), "ts")
 
 
+@query("compact_l0_eighths", f"select namespace, {HEX}, ts from {fx.newest(f'(select * from {fx.EIGHTHS} where segment < 4)')}")
+def compact_l0_eighths(spark: SparkSession, d: str) -> DataFrame:
+    """Level 0 as half of the table at every size; compact_l0's SQL has a fixed prefix, event_id < 5000."""
+    return hexed(compaction.compact(fx.eighths(spark, d).where("segment < 4")), "ts")
+
+
 @query("compact_keep", f"select namespace, {HEX}, ts from {fx.newest(fx.EVENTS)}")
 def compact_keep(spark: SparkSession, d: str) -> DataFrame:
     return hexed(compaction.compact(fx.events_log(spark, d)), "ts")

@@ -7,6 +7,7 @@ from stratalog.functions import codecs, scalars
 from stratalog.model import InvalidArgument, StoreConfig
 from stratalog.operators import catalog, compaction, membership, ordered, placement, reads, repair, segments, writes
 from stratalog.operators.resolve import latest, live, merge_runs, versions
+from stratalog.plans import store as store_plans
 
 ENTRY = "namespace string, key binary, value binary, ts bigint"
 
@@ -139,6 +140,26 @@ def test_segments(spark, tmp_path):
     assert sum(b.entries for b in blocks) == 799 and all(b.bytes <= 300 or b.entries == 1 for b in blocks)
 
 
+@pytest.mark.parametrize("rows", [0, 5, 8, 61, 800])
+def test_even_segments(spark, rows):
+    e = log(spark, *(("n", b"k%d" % (i % 7), b"v", i * 3) for i in range(rows)))
+    cut = segments.even_segments(e, 8)
+    want = e.selectExpr("*", "ntile(8) over (order by ts) - 1 as segment")
+    assert cut.columns == want.columns and cut.count() == rows and cut.exceptAll(want).count() == 0
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """20,000 events, each of a user of its own."""
+    d = str(tmp_path_factory.mktemp("wide"))
+    spark.range(20_000).selectExpr("id as event_id", "id as user_id", "'click' as event_type", "'{}' as props").write.parquet(f"{d}/events.parquet")
+    return d
+
+
+def test_compact_l0_grows_with_the_table(spark, wide):
+    assert sorted(r.ts for r in store_plans.R.queries["compact_l0_eighths"](spark, wide).collect()) == list(range(10_000))
+
+
 def test_upsert_retire_and_versions(spark):
     now = spark.createDataFrame([("a", "1", 1), ("b", "1", 1)], "name string, value string, seq int")
     new = spark.createDataFrame([("a", "2", 1), ("c", None, 3), ("b", "0", 0)], "name string, value string, seq int")
