@@ -56,6 +56,12 @@ def l0_best(spark: SparkSession, d: str) -> DataFrame:
     return hexed(live(fx.segmented(spark, d).where("segment < 4")), "ts")
 
 
+@query("l0_best_eighths", f"select namespace, {HEX}, ts from {fx.newest(f'(select * from {fx.EIGHTHS} where segment < 4)')} where value is not null")
+def l0_best_eighths(spark: SparkSession, d: str) -> DataFrame:
+    """The best of four overlapping runs that are half of the table at every size; l0_best's SQL has a fixed prefix, event_id < 5000."""
+    return hexed(live(fx.eighths(spark, d).where("segment < 4")), "ts")
+
+
 # reads
 
 

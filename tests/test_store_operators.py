@@ -160,6 +160,10 @@ def test_compact_l0_grows_with_the_table(spark, wide):
     assert sorted(r.ts for r in store_plans.R.queries["compact_l0_eighths"](spark, wide).collect()) == list(range(10_000))
 
 
+def test_l0_best_grows_with_the_table(spark, wide):
+    assert sorted(r.ts for r in store_plans.R.queries["l0_best_eighths"](spark, wide).collect()) == [i for i in range(10_000) if i % 7]
+
+
 def test_upsert_retire_and_versions(spark):
     now = spark.createDataFrame([("a", "1", 1), ("b", "1", 1)], "name string, value string, seq int")
     new = spark.createDataFrame([("a", "2", 1), ("c", None, 3), ("b", "0", 0)], "name string, value string, seq int")
