@@ -63,7 +63,7 @@ def in_scan(start: Column | None, end: Column | None) -> Column:
 
 
 def block_layout(entries: DataFrame, segment: str, config: StoreConfig = StoreConfig(), key_bytes: int = 1 << 20) -> DataFrame:
-    """Blocks of each segment: segment, slice, block, first_key, last_key, entries, bytes.
+    """Blocks of each segment: segment, slice, block, first_namespace, first_key, last_namespace, last_key, entries, bytes.
 
     Entries in the order (namespace, key, newest first) fill a block until the next one would pass block_bytes; a larger entry has a
     block of its own. Packing is sequential, so a segment is first cut into slices of about key_bytes in that order, which
@@ -83,16 +83,19 @@ def block_layout(entries: DataFrame, segment: str, config: StoreConfig = StoreCo
             used += s
             ids.append(n)
         g = rows.assign(block=ids).groupby("block", sort=True)
-        return pd.DataFrame({"segment": rows["segment"].iloc[0], "slice": rows["slice"].iloc[0], "block": list(g.groups), "first_key": g["key"].first().values, "last_key": g["key"].last().values, "entries": g.size().values, "bytes": g["size"].sum().values})
+        return pd.DataFrame({"segment": rows["segment"].iloc[0], "slice": rows["slice"].iloc[0], "block": list(g.groups), "first_namespace": g["namespace"].first().values, "first_key": g["key"].first().values, "last_namespace": g["namespace"].last().values, "last_key": g["key"].last().values, "entries": g.size().values, "bytes": g["size"].sum().values})
 
     kind = sized.schema["segment"].dataType.simpleString()
-    return cut.groupBy("segment", "slice").applyInPandas(fill, f"segment {kind}, slice bigint, block bigint, first_key binary, last_key binary, entries bigint, bytes bigint")
+    return cut.groupBy("segment", "slice").applyInPandas(fill, f"segment {kind}, slice bigint, block bigint, first_namespace string, first_key binary, last_namespace string, last_key binary, entries bigint, bytes bigint")
 
 
-def block_lookup(blocks: DataFrame, key: Column) -> DataFrame:
-    """For each segment the block that a get of key reads: the last one whose first key is not above it, if its last key isn't below."""
-    best = blocks.where(F.col("first_key") <= key).groupBy("segment").agg(F.max(F.struct("first_key", "slice", "block", "last_key")).alias("b"))
-    return best.where(F.col("b.last_key") >= key).select("segment", "b.slice", "b.block", "b.first_key", "b.last_key")
+def block_lookup(blocks: DataFrame, namespace: Column, key: Column) -> DataFrame:
+    """For each segment the block that a get of (namespace, key) reads: the last one whose first (namespace, key) is not above it, if its last one isn't
+    below. blocks has the columns of block_layout."""
+    at = F.struct(namespace.alias("namespace"), key.alias("key"))
+    first, last = (F.struct(F.col(f"{end}_namespace").alias("namespace"), F.col(f"{end}_key").alias("key")) for end in ("first", "last"))
+    best = blocks.where(first <= at).groupBy("segment").agg(F.max(F.struct(first.alias("first"), "slice", "block", last.alias("last"))).alias("b"))
+    return best.where(F.col("b.last") >= at).select("segment", "b.slice", "b.block", F.col("b.first.namespace").alias("first_namespace"), F.col("b.first.key").alias("first_key"), F.col("b.last.namespace").alias("last_namespace"), F.col("b.last.key").alias("last_key"))
 
 
 def paths_for(manifest: DataFrame, condition: Column, max_files: int = 100_000) -> Iterator[str]:

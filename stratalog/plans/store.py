@@ -232,7 +232,7 @@ def segment_pruning(spark: SparkSession, d: str) -> DataFrame:
 @query("block_layout")
 def block_layout(spark: SparkSession, d: str) -> DataFrame:
     b = segments.block_layout(fx.segmented(spark, d), "segment")
-    return b.select("segment", "slice", "block", key_hex("first_key").alias("first_hex"), key_hex("last_key").alias("last_hex"), "entries", "bytes")
+    return b.select("segment", "slice", "block", "first_namespace", key_hex("first_key").alias("first_hex"), "last_namespace", key_hex("last_key").alias("last_hex"), "entries", "bytes")
 
 
 @query(
@@ -248,7 +248,15 @@ def block_lookup(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("segment").orderBy("namespace", "key", F.desc("ts"))
     rows = fx.segmented(spark, d).where("namespace = 'click'").withColumn("block", ((F.row_number().over(w) - 1) / 32).cast("bigint"))
     blocks = rows.groupBy("segment", "block").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")).withColumn("slice", F.lit(0))
-    return segments.block_lookup(blocks, reads.lit_bytes("user_000050")).select("segment", "block", key_hex("first_key").alias("first_hex"), key_hex("last_key").alias("last_hex"))
+    blocks = blocks.withColumns({"first_namespace": F.lit("click"), "last_namespace": F.lit("click")})
+    return segments.block_lookup(blocks, F.lit("click"), reads.lit_bytes("user_000050")).select("segment", "block", key_hex("first_key").alias("first_hex"), key_hex("last_key").alias("last_hex"))
+
+
+@query("block_lookup_layout")
+def block_lookup_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of block_layout, over all namespaces, sought for one key of the last namespace."""
+    b = segments.block_lookup(segments.block_layout(fx.segmented(spark, d), "segment"), F.lit("view"), reads.lit_bytes("user_000011"))
+    return b.select("segment", "slice", "block", "first_namespace", key_hex("first_key").alias("first_hex"), "last_namespace", key_hex("last_key").alias("last_hex"))
 
 
 @query("active_segments", "select row_number() over (order by level, min_key, id)::int as n, id, level, file_name from sstable_manifest where compacted = 0")

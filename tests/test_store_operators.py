@@ -140,6 +140,22 @@ def test_segments(spark, tmp_path):
     assert sum(b.entries for b in blocks) == 799 and all(b.bytes <= 300 or b.entries == 1 for b in blocks)
 
 
+def test_block_lookup_over_namespaces(spark):
+    e = log(spark, *((f"n{i % 3}", b"k%02d" % (i * 7 % 23), b"v" * (i % 50), i) for i in range(400)))
+    cut = segments.cut_segments(e, StoreConfig(memtable_bytes=6000)).cache()
+    layout = segments.block_layout(cut, "segment", StoreConfig(block_bytes=300), key_bytes=2000).cache()
+    blocks = [(r.segment, (r.first_namespace, bytes(r.first_key)), r.slice, r.block, (r.last_namespace, bytes(r.last_key))) for r in layout.collect()]
+    held = {(r.segment, r.namespace, bytes(r.key)) for r in cut.collect()}
+    for ns, key in (("n0", b"k22"), ("n1", b"k00"), ("n1", b"k11"), ("n2", b"k05"), ("n2", b"k99"), ("a", b"k05")):
+        want = {}
+        for s, first, slice_, block, last in sorted(blocks):
+            if first <= (ns, key):
+                want[s] = (slice_, block, last)
+        want = {s: b[:2] for s, b in want.items() if b[2] >= (ns, key)}
+        got = {r.segment: (r.slice, r.block) for r in segments.block_lookup(layout, F.lit(ns), reads.lit_bytes(key)).collect()}
+        assert got == want and {s for s, n, k in held if (n, k) == (ns, key)} <= set(got)
+
+
 @pytest.mark.parametrize("rows", [0, 5, 8, 61, 800])
 def test_even_segments(spark, rows):
     e = log(spark, *(("n", b"k%d" % (i % 7), b"v", i * 3) for i in range(rows)))
