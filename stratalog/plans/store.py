@@ -517,6 +517,13 @@ def bloom_sizing(spark: SparkSession, d: str) -> DataFrame:
 _BP = "list_transform(range(hashes), lambda i: (('0x' || substr(md5(k), 1, 8))::bigint + i * ('0x' || substr(md5(k), 9, 8))::bigint) % bits)"
 
 
+def _bloom_probe(spark: SparkSession, d: str, segmented: DataFrame) -> DataFrame:
+    log = segmented.select("segment", key_hex().alias("k"))
+    users = table(spark, d, "customer").select((F.col("c_custkey") % 8).alias("segment"), F.lower(F.hex(F.encode(F.format_string("user_%06d", "c_custkey"), "UTF-8"))).alias("k"))
+    asked = log.select((F.col("segment") + 1).alias("segment"), "k").unionByName(users)
+    return placement.bloom_probe(asked, "segment", "k", placement.bloom_build(log, "segment", "k", 0.01)).withColumnRenamed("k", "key_hex")
+
+
 @query(
     "bloom_probe",
     f"""with k as (select distinct segment, lower(hex(key)) as k from {fx.SEGMENTED}), s as (select segment, n, bits, least(greatest(ceil(bits / n * ln(2.0)), 1), 30)::int as hashes from (select segment, n, {_BITS.format('0.01')} as bits from (select segment, count(*) as n from k group by 1))),
@@ -526,10 +533,19 @@ select k as key_hex, segment, bool_and(b.p is not null) as maybe from a left joi
 )
 def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
     """Filters of each segment, asked for the keys of the segment before and for customer numbers as users."""
-    log = fx.segmented(spark, d).select("segment", key_hex().alias("k"))
-    users = table(spark, d, "customer").select((F.col("c_custkey") % 8).alias("segment"), F.lower(F.hex(F.encode(F.format_string("user_%06d", "c_custkey"), "UTF-8"))).alias("k"))
-    asked = log.select((F.col("segment") + 1).alias("segment"), "k").unionByName(users)
-    return placement.bloom_probe(asked, "segment", "k", placement.bloom_build(log, "segment", "k", 0.01)).withColumnRenamed("k", "key_hex")
+    return _bloom_probe(spark, d, fx.segmented(spark, d))
+
+
+@query(
+    "bloom_probe_eighths",
+    f"""with k as (select distinct segment, lower(hex(key)) as k from {fx.EIGHTHS}), s as (select segment, n, bits, least(greatest(ceil(bits / n * ln(2.0)), 1), 30)::int as hashes from (select segment, n, {_BITS.format('0.01')} as bits from (select segment, count(*) as n from k group by 1))),
+b as (select distinct segment, unnest({_BP}) as p from k join s using (segment)), q as (select segment + 1 as segment, k from k union select c_custkey % 8, lower(hex(encode(printf('user_%06d', c_custkey)))) from customer),
+a as (select k, segment, unnest({_BP}) as p from q join s using (segment))
+select k as key_hex, segment, bool_and(b.p is not null) as maybe from a left join b using (segment, p) group by 1, 2""",
+)
+def bloom_probe_eighths(spark: SparkSession, d: str) -> DataFrame:
+    """bloom_probe over eight segments at every size, so that customers, who are dealt to eight, ask each filter."""
+    return _bloom_probe(spark, d, fx.eighths(spark, d))
 
 
 # repair

@@ -169,6 +169,7 @@ def wide(spark, tmp_path_factory):
     """20,000 events, each of a user of its own."""
     d = str(tmp_path_factory.mktemp("wide"))
     spark.range(20_000).selectExpr("id as event_id", "id as user_id", "'click' as event_type", "'{}' as props").write.parquet(f"{d}/events.parquet")
+    spark.range(100_000, 100_400).selectExpr("id as c_custkey").write.parquet(f"{d}/customer.parquet")
     return d
 
 
@@ -180,6 +181,13 @@ def test_l0_best_grows_with_the_table(spark, wide):
     assert sorted(r.ts for r in store_plans.R.queries["l0_best_eighths"](spark, wide).collect()) == [i for i in range(10_000) if i % 7]
 
 
+def test_every_filter_is_asked_for_absent_keys(spark, wide):
+    got = store_plans.R.queries["bloom_probe_eighths"](spark, wide).withColumn("user", F.expr("decode(unhex(key_hex), 'UTF-8')")).cache()
+    absent = got.where("user >= 'user_100000'").groupBy("segment").count().collect()
+    assert {tuple(r) for r in absent} == {(s, 50) for s in range(8)}
+    assert {r.segment for r in got.where("user < 'user_100000'").select("segment").distinct().collect()} == set(range(1, 8))
+
+
 def test_upsert_retire_and_versions(spark):
     now = spark.createDataFrame([("a", "1", 1), ("b", "1", 1)], "name string, value string, seq int")
     new = spark.createDataFrame([("a", "2", 1), ("c", None, 3), ("b", "0", 0)], "name string, value string, seq int")
