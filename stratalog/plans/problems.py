@@ -33,22 +33,26 @@ CURRENT = f"""select namespace, lower(hex(key)) as key_hex, max(ts) as ts from (
 group by namespace, key having arg_max(value is not null, ts)"""
 
 
+def _fed(spark: SparkSession, d: str) -> DeleteVectorTable:
+    """The feed in three batches in order of arrival, so that later batches supersede rows of earlier files."""
+    log = entries(spark, d)
+    last = log.agg(F.max("log_seq")).first()[0] or 0
+    t = DeleteVectorTable(spark, new_path(spark, "state"), ["namespace", "key"], "ts", F.col("value").isNull())
+    seq, cuts = F.coalesce("log_seq", F.lit(0)), (last // 3, 2 * last // 3)
+    for part in (seq <= cuts[0], (seq > cuts[0]) & (seq <= cuts[1]), seq > cuts[1]):
+        t.apply(log.where(part).select("namespace", "key", "value", "ts"))
+    return t
+
+
 @R.query("p1_found", CURRENT)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    t = DeleteVectorTable(spark, new_path(spark, "state"), ["namespace", "key"], "ts", F.col("value").isNull())
-    t.apply(entries(spark, d).select("namespace", "key", "value", "ts"))
-    return t.read("namespace", "key", "ts").select("namespace", key_hex().alias("key_hex"), "ts")
+    return _fed(spark, d).read("namespace", "key", "ts").select("namespace", key_hex().alias("key_hex"), "ts")
 
 
 @R.query("p1_batches", CURRENT.replace("max(ts) as ts", "lower(hex(arg_max(value, ts))) as value_hex, max(ts) as ts"))
 def p1_batches(spark: SparkSession, d: str) -> DataFrame:
-    """The feed in three batches in order of arrival, so that later batches supersede rows of earlier files."""
-    log = entries(spark, d)
-    last = log.agg(F.max("log_seq")).first()[0] or 0
-    t = DeleteVectorTable(spark, new_path(spark, "state"), ["namespace", "key"], "ts", F.col("value").isNull())
-    for a, z in ((-1, last // 3), (last // 3, 2 * last // 3), (2 * last // 3, last)):
-        t.apply(log.where((F.col("log_seq") > a) & (F.col("log_seq") <= z)).select("namespace", "key", "value", "ts"))
-    return t.read().select("namespace", key_hex().alias("key_hex"), key_hex("value").alias("value_hex"), "ts")
+    """p1_found with the values."""
+    return _fed(spark, d).read().select("namespace", key_hex().alias("key_hex"), key_hex("value").alias("value_hex"), "ts")
 
 
 @R.query(

@@ -11,6 +11,7 @@ from stratalog.operators.change_feed import DeleteVectorTable
 from stratalog.operators.copy_diff import copy_diff
 from stratalog.operators.history import history, snapshot_diff
 from stratalog.operators.range_lookup import range_lookup
+from stratalog.plans import problems
 from stratalog.scratch import new_path
 
 FEED = "ns string, key binary, value binary, ts bigint, fid string, pos int, e string"
@@ -66,6 +67,19 @@ def test_change_feed_empty_ties_and_deletes(spark):
     assert got(t) == [("a", b"k", b"", 5)]  # at equal ts the put wins, an empty value is live, late writes lose to a delete
 
 
+def test_p1_found_supersedes_rows_of_earlier_batches(spark, tmp_path, monkeypatch):
+    """Each key is put, put again and, every other one, deleted, in different batches; one entry has no log_seq."""
+    rows = [(b * 10 + i, "n", b"k%d" % i, None if b == 2 and i % 2 else b"v%d" % b, b * 10 + i) for b in range(3) for i in range(10)] + [(None, "n", b"late", b"v", 5)]
+    spark.createDataFrame(rows, "log_seq bigint, namespace string, key binary, value binary, ts bigint").write.parquet(f"{tmp_path}/entry_log.parquet")
+    tables, init = [], DeleteVectorTable.__init__
+    monkeypatch.setattr(DeleteVectorTable, "__init__", lambda self, *a, **kw: (tables.append(self), init(self, *a, **kw))[1])
+    out = problems.R.queries["p1_found"](spark, str(tmp_path))
+    assert {(bytes.fromhex(r.key_hex), r.ts) for r in out.collect()} == {(b"k%d" % i, 20 + i) for i in range(0, 10, 2)} | {(b"late", 5)}
+    (t,) = tables
+    was = spark.read.parquet(*(f"{t.root}/merge/batch={b}" for b in range(t.version + 1))).where("was is not null")
+    assert was.count() == 20
+
+
 def test_many_blocks(spark):
     n = 70_000
     t = dv(spark)
