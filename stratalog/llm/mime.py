@@ -25,7 +25,6 @@ _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
 #: Names of attached files that hold text, whatever type they are sent as.
 _TEXT_FILE = re.compile(r"\.(?:txt|text|md|csv|tsv|log|htm|html|eml|patch|diff)$", re.I)
 _HEADER = re.compile(r"[!-9;-~]+:")
-MAX_DEPTH = 20
 
 
 def _decoded(body: str, coding: str, charset: str) -> str:
@@ -73,43 +72,46 @@ def _split(s: str) -> tuple[str, str]:
     return head, s[m.end() :] if m else s
 
 
-def text_parts(s: str | None, depth: int = 0) -> Iterator[str]:
+def text_parts(s: str | None) -> Iterator[str]:
     """Each text part of a message (plain, HTML, an attached text file), decoded, as plain text. Multiparts, also unclosed and nested
-    ones, and attached messages are entered to MAX_DEPTH."""
-    if not s:
-        return
-    head, body = _split(s)
-    head = _FOLD.sub(" ", head)
-    t = _TYPE.search(head)
-    kind, rest = (t[1].lower(), t[2]) if t else ("text/plain", "")
-    if kind.startswith("multipart/") and depth < MAX_DEPTH and (b := _BOUNDARY.search(rest)):
-        mark = "--" + (b[1] if b[1] is not None else b[2]).rstrip()
-        pieces = re.split(rf"(?:^|(?<=[\r\n])){re.escape(mark)}(--)?[ \t]*(?:\r\n|\n|\r|$)", body)
-        if pieces[0].strip():
-            yield unquoted(pieces[0])
-        closed = False
-        for end, piece in zip(pieces[1::2], pieces[2::2], strict=True):
-            closed |= bool(end)
-            if closed:  # what follows the last part is text of the message or nothing
-                if piece.strip():
-                    yield unquoted(piece)
-            else:
-                yield from text_parts(piece, depth + 1)
-        return
-    c = _CODING.search(head)
-    coding = c[1].lower() if c else ""
-    m = _CHARSET.search(rest)
-    name = ""
-    if not kind.startswith("text/"):
-        d = _DISPOSITION.search(head)
-        n = _NAME.search(d[0] if d else "") or _NAME.search(rest)
-        name = (n[1] or n[2] or "") if n else ""
-        if kind != "message/rfc822" and not _TEXT_FILE.search(name) and kind:
-            return
-    text = _decoded(body, coding, m[1] if m else "utf-8")
-    if kind == "message/rfc822" and depth < MAX_DEPTH:
-        yield from text_parts(text, depth + 1)
-    elif kind == "text/html" or name.lower().endswith((".htm", ".html")):
-        yield unquoted(html_text(text))
-    else:
-        yield unquoted(text)
+    ones, and attached messages are entered however deep they lie; the body of a multipart that names no boundary is text."""
+    todo = [(s, True)] if s else []  # what is still to be read, the next one last; false: text that has no header
+    while todo:
+        s, headed = todo.pop()
+        if not headed:
+            yield unquoted(s)
+            continue
+        head, body = _split(s)
+        head = _FOLD.sub(" ", head)
+        t = _TYPE.search(head)
+        kind, rest = (t[1].lower(), t[2]) if t else ("text/plain", "")
+        if kind.startswith("multipart/") and (b := _BOUNDARY.search(rest)):
+            mark = "--" + (b[1] if b[1] is not None else b[2]).rstrip()
+            pieces = re.split(rf"(?:^|(?<=[\r\n])){re.escape(mark)}(--)?[ \t]*(?:\r\n|\n|\r|$)", body)
+            inner = [(pieces[0], False)] if pieces[0].strip() else []
+            closed = False
+            for end, piece in zip(pieces[1::2], pieces[2::2], strict=True):
+                closed |= bool(end)
+                # what follows the last part is text of the message or nothing
+                if piece.strip() if closed else piece:
+                    inner.append((piece, not closed))
+            todo += reversed(inner)
+            continue
+        c = _CODING.search(head)
+        coding = c[1].lower() if c else ""
+        m = _CHARSET.search(rest)
+        name = ""
+        if not kind.startswith(("text/", "multipart/")):
+            d = _DISPOSITION.search(head)
+            n = _NAME.search(d[0] if d else "") or _NAME.search(rest)
+            name = (n[1] or n[2] or "") if n else ""
+            if kind != "message/rfc822" and not _TEXT_FILE.search(name) and kind:
+                continue
+        text = _decoded(body, coding, m[1] if m else "utf-8")
+        if kind == "message/rfc822":
+            if text:
+                todo.append((text, True))
+        elif kind == "text/html" or name.lower().endswith((".htm", ".html")):
+            yield unquoted(html_text(text))
+        else:
+            yield unquoted(text)

@@ -3,6 +3,7 @@ import quopri
 import random
 import unicodedata
 
+import pytest
 import regex
 
 from stratalog.llm.leak import Automaton, find_spans, leaked_spans, leaks, normalised, remove_spans
@@ -97,6 +98,18 @@ def test_what_is_no_text_part():
     assert not any(map(has, [image, two, style, None, "", "   ", HEAD + "Content-Type: text/plain\nContent-Transfer-Encoding: base64\n\n=!?"]))
 
 
+@pytest.mark.parametrize("depth", [1, 19, 20, 21, 2000])
+def test_nested_however_deep(depth):
+    nested = "".join(f"Content-Type: multipart/mixed; boundary=b{i}\n\n--b{i}\n" for i in range(depth))
+    assert has(nested + "Content-Type: text/plain\nContent-Transfer-Encoding: base64\n\n" + base64.encodebytes(PASSAGE.encode()).decode())
+    assert has("Content-Type: message/rfc822\n\n" * depth + HEAD + "\n" + PASSAGE)
+
+
+def test_multipart_without_boundary():
+    assert has(HEAD + "Content-Type: multipart/mixed\n\n--b\nContent-Type: text/plain\n\n" + PASSAGE + "\n--b--")
+    assert has(HEAD + "Content-Type: multipart/mixed; boundary=a\n\n--a\nContent-Type: multipart/alternative\n\n" + PASSAGE)
+
+
 def test_garbage_does_not_crash():
     r = random.Random(6)
     bits = ["\n", "\r\n", "--b", "--b--", "Content-Type: multipart/mixed; boundary=b", "Content-Type: text/html", "Content-Transfer-Encoding: base64", "quoted-printable=", "=E9=", "&#xZZ; &amp", "<", ">", "<!--", ": ", "퟿", "é", "AAAA", "\x00"]
