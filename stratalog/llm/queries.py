@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.distinct import cube_estimates, estimates, registers
@@ -64,6 +64,13 @@ def _days(spark: SparkSession, d: str) -> DataFrame:
 SHARE = 0.7
 #: Groups whose share lies within so many standard errors of the threshold are counted exactly.
 SIGMAS = 6
+#: So are groups within so many keys of it: the estimate of a small group errs by whole collisions of registers, more than its standard error says.
+MARGIN_KEYS = 10.0
+
+
+def near_threshold(gap: Column, estimate: Column, std_error: Column) -> Column:
+    """Whether the estimate is too close to the threshold to decide by."""
+    return F.abs(gap) <= F.greatest(SIGMAS * std_error * estimate, F.lit(MARGIN_KEYS))
 
 
 @R.query(
@@ -76,7 +83,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     groups = ["day_utc", "namespace"]
     got = staged(estimates(_parts(spark, d), groups), "estimates")
     gap = F.col("estimate") - SHARE * F.col("rows")
-    near = F.abs(gap) <= F.greatest(SIGMAS * F.col("std_error") * F.col("estimate"), F.lit(1.0))
+    near = near_threshold(gap, F.col("estimate"), F.col("std_error"))
     sure = got.where(~near & (gap > 0)).select(*groups)
     rows = _days(spark, d).withColumn("day_utc", F.date_format(F.timestamp_micros("ts"), "yyyy-MM-dd")).drop("ts")
     close = rows.join(got.where(near).select(*groups), groups, "left_semi").groupBy(*groups, "key").agg(F.count(F.lit(1)).alias("n"))

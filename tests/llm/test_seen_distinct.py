@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stratalog.llm import queries
 from stratalog.llm.distinct import cube_estimates, estimates, merge, registers, standard_error
 from stratalog.llm.seen import SeenFilter, answer, error_report
 
@@ -81,3 +82,15 @@ def test_nulls(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", "x", 1), (None, "x", 1), (None, None, 1), (None, None, 1)], "g string, x string, reg int")
     got = {r.g: (r.rows, round(r.estimate)) for r in estimates(registers(df, ["g"], ["x"]), ["g"]).collect()}
     assert got == {"a": (2, 1), None: (3, 1)}
+
+
+def test_small_group_with_collisions_is_counted_exactly(spark, tmp_path):
+    """30 distinct keys in 42 rows are a case (0.714), though pairs of keys share a register and a rank."""
+    keys = spark.range(400_000).select(F.encode(F.format_string("k%06d", "id"), "UTF-8").alias("key"), F.lit("n").alias("namespace"))
+    h = F.xxhash64("namespace", "key")
+    regs = keys.withColumn("reg", h.bitwiseAND((1 << 14) - 1)).groupBy("reg").agg(F.sort_array(F.collect_list("key")).alias("ks")).orderBy("reg").limit(24).collect()
+    chosen = [bytes(k) for i, r in enumerate(regs) for k in r.ks[: 4 if i < 2 else 1]]
+    assert len(chosen) == 30
+    rows = [(i, "n", k, b"v", 1_700_000_000_000_000) for i, k in enumerate(chosen + chosen[:12])]
+    spark.createDataFrame(rows, "log_seq bigint, namespace string, key binary, value binary, ts bigint").write.parquet(f"{tmp_path}/entry_log.parquet")
+    assert [r.namespace for r in queries.R.queries["p5_found"](spark, str(tmp_path)).collect()] == ["n"]
