@@ -18,29 +18,36 @@ ROLL = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np
 
 
 def _chunker(every: int):
-    """Numbers the chunks of sorted rows. A chunk ends after a row at which the rolling hash over the key hashes of the last three rows of
-    that side is divisible by ``every``; each partition starts a new chunk on either side."""
+    """Numbers the chunks of sorted rows and marks rows that aren't the first of their key. A chunk ends after the last row of a key at which the
+    rolling hash over the hashes of that side's last three keys is divisible by ``every``; each partition starts a new chunk on either side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         tail = {0: np.zeros(2, np.uint64), 1: np.zeros(2, np.uint64)}
-        chunk = {0: 0, 1: 0}
+        # the chunk of the last key, and that of the next one
+        chunk, follows, begun = {0: 0, 1: 0}, {0: 0, 1: 0}, {0: False, 1: False}
         for b in batches:
             side = b.column("side").to_numpy()
             h = b.column("kh").to_numpy().view(np.uint64)
-            out = np.empty(b.num_rows, np.int64)
+            out, again = np.empty(b.num_rows, np.int64), np.zeros(b.num_rows, bool)
             for s in (0, 1):
                 at = np.flatnonzero(side == s)
-                x = np.concatenate([tail[s], h[at]])
+                if not len(at):
+                    continue
+                own = h[at]
+                first = np.r_[not begun[s] or own[0] != tail[s][-1], own[1:] != own[:-1]]
+                x = np.concatenate([tail[s], own[first]])
                 rolled = x[2:] * ROLL[0] + x[1:-1] * ROLL[1] + x[:-2] * ROLL[2]
                 ends = ((rolled >> np.uint64(20)) % np.uint64(every)) == 0
-                out[at] = chunk[s] + np.cumsum(ends) - ends
-                chunk[s] += int(ends.sum())
-                tail[s] = x[-2:]
+                of_key = np.r_[chunk[s], follows[s] + np.cumsum(ends) - ends]
+                out[at], again[at] = of_key[np.cumsum(first)], ~first
+                if len(ends):
+                    chunk[s], follows[s] = int(of_key[-1]), int(of_key[-1] + ends[-1])
+                tail[s], begun[s] = x[-2:], True
             ids = pa.array((np.int64(part) << np.int64(40)) + out)
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "chunk"])
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(again)], names=[*b.schema.names, "chunk", "again"])
 
     return run
 
@@ -55,7 +62,8 @@ def copy_diff(local: DataFrame, remote: DataFrame, keys: list[str], fields: list
     Both copies go through one range partitioning and sort by key, so their partitions begin at the same keys. Either side is cut into
     chunks of about ``every`` rows where the content says so: after an insertion or deletion the cuts fall back into step. A chunk's
     fingerprint is its row count with two independent 64-bit sums of row hashes. Chunks whose fingerprint the other side
-    has too are dropped by an anti-join; only rows of the rest are joined and compared field by field."""
+    has too are dropped by an anti-join, unless they hold a key with several rows; only rows of the rest are joined and compared field by
+    field. All rows of a key lie in one chunk of a copy."""
     k, f = [f"k{i}" for i in range(len(keys))], [f"f{i}" for i in range(len(fields))]
 
     def side(df: DataFrame, n: int) -> DataFrame:
@@ -68,17 +76,17 @@ def copy_diff(local: DataFrame, remote: DataFrame, keys: list[str], fields: list
     nulls = F.concat_ws("", *(F.col(c).isNull().cast("int") for c in [*k, *f]))
     rows = both.select("*", F.xxhash64(*k, F.concat_ws("", *(F.col(c).isNull().cast("int") for c in k))).alias("kh"))
     ordered = rows.repartitionByRange(n, *k).sortWithinPartitions(*k, "side", *f)
-    # identical rows are neighbours here and fall into one chunk or, of one key, the next; they must not shift the cuts
-    schema = T.StructType([*ordered.schema.fields, T.StructField("chunk", T.LongType())])
+    # identical rows are neighbours here and must not count as several
+    schema = T.StructType([*ordered.schema.fields, T.StructField("chunk", T.LongType()), T.StructField("again", T.BooleanType())])
     cut = staged(ordered.mapInArrow(_distinct_runs([*k, "side", *f]), ordered.schema).mapInArrow(_chunker(every), schema), "chunks")
 
     dec = "decimal(38,0)"
-    prints = cut.groupBy("side", "chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*k, *f, nulls).cast(dec)).alias("s1"), F.sum(F.xxhash64(F.lit(7), nulls, *f, *k).cast(dec)).alias("s2"))
+    prints = cut.groupBy("side", "chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*k, *f, nulls).cast(dec)).alias("s1"), F.sum(F.xxhash64(F.lit(7), nulls, *f, *k).cast(dec)).alias("s2"), F.max("again").alias("several"))
     prints = staged(prints, "prints")
     a, b = prints.where("side = 0"), prints.where("side = 1")
     same = ["rows", "s1", "s2"]
-    odd = a.join(b.select(*same), same, "left_anti").unionByName(b.join(a.select(*same), same, "left_anti").select(*a.columns))
-    left = cut.join(odd.select("side", "chunk"), ["side", "chunk"], "left_semi")
+    odd = a.join(b.select(*same), same, "left_anti").unionByName(b.join(a.select(*same), same, "left_anti").select(*a.columns)).select("side", "chunk").unionByName(prints.where("several").select("side", "chunk")).distinct()
+    left = cut.join(odd, ["side", "chunk"], "left_semi")
 
     l = left.where("side = 0").select(*(F.col(c).alias(f"l{c}") for c in [*k, *f]), F.lit(True).alias("l"))  # noqa: E741
     r = left.where("side = 1").select(*(F.col(c).alias(f"r{c}") for c in [*k, *f]), F.lit(True).alias("r"))

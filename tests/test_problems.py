@@ -133,6 +133,22 @@ def test_copy_diff(spark, every):
     assert Counter(rows) == Counter(want)
 
 
+@pytest.mark.parametrize("every", [1, 2, 64])
+def test_copy_diff_of_keys_with_several_rows(spark, every):
+    r = random.Random(11)
+    base = [("a", b"%03d" % k, v, 1) for k in range(300) for v in r.sample([None, b"", b"v", b"w"], r.choice([1, 1, 1, 2, 4]))]
+    other = [x for x in base if r.random() > 0.05] + [("a", b"%03d" % r.randrange(320), b"new", 2) for _ in range(10)]
+    schema = "ns string, key binary, value binary, ts bigint"
+    out = copy_diff(spark.createDataFrame(base + base[:9], schema), spark.createDataFrame(other[::-1], schema), ["ns", "key"], ["value", "ts"], every=every)
+    x, y = defaultdict(set), defaultdict(set)
+    for side, rows in ((x, base), (y, other)):
+        for n, k, *fields in rows:
+            side[n, k].add(tuple(fields))
+    want = {(*k, "only_local") for k in x.keys() - y.keys()} | {(*k, "only_remote") for k in y.keys() - x.keys()}
+    want |= {(*k, f) for k in x.keys() & y.keys() for i, f in enumerate(["value", "ts"]) if any(a[i] != b[i] for a in x[k] for b in y[k])}
+    assert Counter((q.ns, bytes(q.key), q.field) for q in out.collect()) == Counter(want)
+
+
 def test_copy_diff_empty_sides(spark):
     a = spark.createDataFrame([("k", "v")], "key string, f0 string")
     none = a.limit(0)
