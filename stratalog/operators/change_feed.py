@@ -1,45 +1,43 @@
 """Applying a feed of inserts, updates and deletes by delete vectors.
 
-A DeleteVectorTable is a folder of immutable Parquet files plus, per version, bitmaps of the positions that no longer count:
+A DeleteVectorTable is a folder of immutable Parquet files, bitmaps of the positions that count, and an index:
 
 * ``data/batch=N``   the images of batch N, appended and never rewritten
-* ``index/batch=N``  key -> (file, position, ts, live) for the keys that batch N changed
-* ``dv/version=N``   (file, block, bitmap): one bit for each of the 32,768 positions of a block, set where the row is dead
-* ``log/version=N``  written last; a version exists only once its log row does
+* ``index/batch=N``  bucket=B: key -> (file, position, ts, live) for the keys that batch N changed
+* ``dv/batch=N``     (file, word, mask): one bit for each of the 64 positions of a word, cleared where the row is dead
+* ``log/version=N``  written last: a version exists only once its log row does. It names the batches that make it up
 
-``apply`` finds superseded rows through the index, sets their bits and appends the new images. ``read`` scans the data files and
-drops dead positions, without shuffling a data row: a task loads the bitmaps of just the files that it reads.
+A batch writes bitmaps of the files that it touches, and nothing else of the others: a word's masks of all batches together are its state
+(``bit_and``), in whatever order they come. So a batch costs what it changes, plus a look into the index buckets of its keys. ``compact`` turns all
+batches of a version into one, so that files, index deltas and bitmaps don't pile up.
 
-Order is by ts, not by arrival: late, repeated and out-of-order changes leave the same state. At equal ts an insert beats a
-delete, then the greatest (file, position) wins, so a batch that is repeated changes nothing. Changes whose key is null or empty in
-any key column marked as required are dropped; a null ts loses to every other.
+``apply`` finds superseded rows through the index, clears their bits and appends the new images. ``read`` scans the data files and drops dead
+positions. Everything is read and written through Spark, on whatever file system the path names; a missing folder is an error. Bitmaps are
+broadcast up to BROADCAST_WORDS words; beyond, rows and bitmaps meet in an equi-join of (file, word), 64 rows a key.
+
+Order is by ts, not by arrival: late, repeated and out-of-order changes leave the same state. At equal ts an insert beats a delete, then the
+row with the greatest hash of its columns wins, so the state doesn't depend on how the feed was cut into batches. Null keys are keys; a null ts
+loses to every other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.model import fresh
-from stratalog.scratch import staged
-
-BLOCK = 32_768
-BLOCK_BYTES = BLOCK // 8
+from stratalog.model import StorageFailure, fresh
+from stratalog.scratch import filesystem, staged
 
+#: Words of 64 positions up to which a version's bitmaps are broadcast: about 60 bytes each as a hash table, so 64 MB for 67 million rows.
+BROADCAST_WORDS = 1 << 20
+#: Rows up to which a batch counts as small, and its keys are broadcast.
+SMALL_BATCH = 100_000
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-
-def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+def numbers(spark: SparkSession, path: str, name: str) -> list[int]:
     """N of each finished folder ``name=N`` in path."""
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     if not fs.exists(p):
         return []
     out = []
@@ -50,125 +48,189 @@ def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
     return sorted(out)
 
 
-@F.pandas_udf(T.BinaryType())
-def _flipped(bits: pd.Series) -> pd.Series:
-    return bits.map(lambda b: (~np.frombuffer(b, np.uint8)).tobytes())
-
+def _word(pos: str) -> Column:
+    return F.shiftright(pos, 6).alias("word")
 
-def _live_filter(dv: str, shards: int):
-    """A vectorised predicate on (file id, position); each Python worker keeps the bitmaps of the last shard it met."""
 
-    @F.pandas_udf(T.BooleanType())
-    def live(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        where, base = fs.FileSystem.from_uri(dv)
-        held: dict[int, dict[int, np.ndarray]] = {}
-
-        def blocks(fid: int) -> dict[int, np.ndarray]:
-            if fid not in held:
-                held.clear()
-                held[fid] = {}
-                folder = f"{base}/shard={fid % shards}"
-                if where.get_file_info(folder).type == fs.FileType.Directory:
-                    t = ds.dataset(folder, filesystem=where, format="parquet").to_table(filter=ds.field("fid") == fid)
-                    for b, bits in zip(t["block"].to_pylist(), t["bits"].to_pylist(), strict=True):
-                        held[fid][b] = np.frombuffer(bits, np.uint8)
-            return held[fid]
-
-        for fids, positions in batches:
-            f, p = fids.to_numpy(), positions.to_numpy()
-            keep = np.zeros(len(f), bool)
-            cuts = np.flatnonzero(np.r_[True, f[1:] != f[:-1], True]) if len(f) else np.array([0])
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                known, block = blocks(int(f[a])), p[a:z] // BLOCK
-                for b in np.unique(block):
-                    if (dead := known.get(int(b))) is not None:
-                        at = np.flatnonzero(block == b)
-                        i = p[a:z][at] % BLOCK
-                        keep[a + at] = (dead[i >> 3] >> (i & 7) & 1) == 0
-            yield pd.Series(keep)
-
-    return live
+def _bit(pos: str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(pos).bitwiseAND(63).cast("int"))
 
 
 class DeleteVectorTable:
     """The current state of a keyed table under a change feed.
 
     keys: key columns (null keys are compared as equal). ts: the bigint that orders changes. deleted: a boolean Column over the
-    feed that is true for a delete. A block of a file without a bitmap is dead as a whole; that is how files whose rows
-    were all superseded on arrival cost nothing.
+    feed that is true for a delete. buckets: folders of each index delta, by key hash; by default the session's shuffle partitions. A word of a file
+    without a mask is dead as a whole; that is how files whose rows were all superseded on arrival cost nothing.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], ts: str, deleted: Column, shards: int = 16):
-        self.spark, self.root, self.keys, self.ts, self.deleted, self.shards = spark, root.rstrip("/"), keys, ts, deleted, shards
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], ts: str, deleted: Column, buckets: int | None = None):
+        self.spark, self.keys, self.ts, self.deleted = spark, keys, ts, deleted
+        fs, p = filesystem(spark, root.rstrip("/"))
+        self.root = str(fs.makeQualified(p))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._schema: T.StructType | None = None  # of the data files
+        self._logs: dict[int, tuple[list[int], int, dict[str, int]]] = {}  # versions never change
 
     @property
     def version(self) -> int:
         """The newest finished version, -1 for a table without any."""
-        return max(_numbers(self.spark, f"{self.root}/log", "version"), default=-1)
+        return max(numbers(self.spark, f"{self.root}/log", "version"), default=-1)
+
+    def _log(self, version: int) -> tuple[list[int], int, dict[str, int]]:
+        """The batches of a version, in order, how many mask rows they have, and the last batch applied of each stream. One small row."""
+        if version < 0:
+            return [], 0, {}
+        if version in self._logs:
+            return self._logs[version]
+        r = self.spark.read.schema("batches array<int>, words bigint, streams map<string, bigint>").json(f"{self.root}/log/version={version}").first()
+        self._logs = {version: (list(r["batches"]), r["words"], dict(r["streams"] or {}))}
+        return self._logs[version]
+
+    def _folders(self, kind: str, batches: list[int]) -> list[str]:
+        paths = [f"{self.root}/{kind}/batch={b}" for b in batches]
+        for path in paths:
+            fs, p = filesystem(self.spark, path)
+            if not fs.exists(p):
+                raise StorageFailure(f"{path} is missing")
+        return paths
 
     def _data(self, batches: list[int]) -> tuple[DataFrame, str, str, str]:
-        """The images of batches with their delete flag, file id and position, and the names of these three columns. File names hold a job's unique
+        """The images of batches with their order mark, file id and position, and the names of these three columns. File names hold a job's unique
         id, so they stay valid if the table is moved."""
-        df = self.spark.read.parquet(*(f"{self.root}/data/batch={b}" for b in batches))
+        folders = self._folders("data", batches)
+        self._schema = self._schema or self.spark.read.parquet(folders[0]).schema
+        df = self.spark.read.schema(self._schema).parquet(*folders)
         meta, (fid, pos) = df.metadataColumn("_metadata"), fresh(df, "fid", "pos")
         return df.select(df["*"], F.xxhash64(meta["file_name"]).alias(fid), meta["row_index"].alias(pos)), df.columns[-1], fid, pos
 
-    def apply(self, changes: DataFrame) -> int:
+    def _entries(self, data: DataFrame, order: str, fid: str, pos: str) -> DataFrame:
+        """key hash, key and (ts, mark, fid, pos) of each image. The hash sorts and places keys; the struct tells them apart, nulls being equal."""
+        key = F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(self.keys)))
+        entry = F.struct(F.col(self.ts).alias("ts"), F.col(order).alias("mark"), F.col(fid).alias("fid"), F.col(pos).alias("pos"))
+        return data.select(F.xxhash64(key).alias("h"), key.alias("k"), entry.alias("e"))
+
+    def _index(self, batches: list[int], like: DataFrame, buckets: list[int] | None = None) -> DataFrame:
+        """Index rows h, k, e and was, the entry that e superseded; like: a DataFrame of h, k and e."""
+        e = like.schema["e"].dataType
+        schema = T.StructType([*(T.StructField(c, like.schema[c].dataType) for c in ("h", "k", "e")), T.StructField("was", e), T.StructField("bucket", T.IntegerType())])
+        df = self.spark.read.schema(schema).option("basePath", f"{self.root}/index").parquet(*self._folders("index", batches))
+        return df if buckets is None else df.where(F.col("bucket").isin(buckets))
+
+    def apply(self, changes: DataFrame, stream: str | None = None, number: int = 0) -> int:
         """Appends one batch of changes; returns the version that holds it. The columns of the first batch are those of the table, whatever
-        their names; an empty batch makes a version without changes."""
+        their names, and later batches are cast to their types; an empty batch makes a version without changes. stream, number: a batch of a stream
+        whose numbers ascend; one that was applied before is passed over."""
         done = self.version
-        n, old = done + 1, list(range(done + 1))
+        n, (old, words, streams) = done + 1, self._log(done)
+        if stream is not None:
+            if streams.get(stream, -1) >= number:
+                return done
+            streams = streams | {stream: number}
+        rest = [c for c in changes.columns if c not in self.keys and c != self.ts]
+        nulls = F.concat_ws("", *(F.col(f"`{c}`").isNull().cast("int") for c in rest))
+        # the order mark, the last column, spares the index pass from reading other columns: -1 for a delete, else a hash of them
+        h = F.shiftrightunsigned(F.xxhash64(*(F.col(f"`{c}`") for c in rest), nulls), 1)
+        mark = F.when(F.coalesce(self.deleted, F.lit(False)), F.lit(-1).cast("bigint")).otherwise(h).alias(*fresh(changes, "order_mark"))
+        kinds = {f.name: f.dataType for f in self._data(old[:1])[0].schema} if old else {}
+        cols = [F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in changes.columns]
         # a batch that was cut off by a failure is written again; nothing refers to its leftovers
-        # the flag, the last column, spares the index pass from reading the columns that it comes from
-        flag = F.coalesce(self.deleted, F.lit(False)).alias(*fresh(changes, "deleted_flag"))
-        changes.select("*", flag).write.mode("overwrite").parquet(f"{self.root}/data/batch={n}")
-
-        data, gone, fid, pos = self._data([n])
-        entry = F.struct(F.col(self.ts).alias("ts"), (~F.col(gone)).alias("live"), F.col(fid).alias("fid"), F.col(pos).alias("pos"))
-        k = [f"k{i}" for i in range(len(self.keys))]
-        new = data.groupBy(*(F.col(c).alias(a) for c, a in zip(self.keys, k, strict=True))).agg(F.max(entry).alias("e"))
-        if old:
-            # of the index only rows of this batch's keys go on; a small batch is broadcast by Spark, and the index just scanned
-            new = staged(new, "batch")
-            index = self.spark.read.parquet(*(f"{self.root}/index/batch={b}" for b in old)).alias("i")
-            index = index.join(new.alias("f"), [F.col(f"i.{c}").eqNullSafe(F.col(f"f.{c}")) for c in k], "left_semi").groupBy(*k).agg(F.max("e").alias("e"))
-            both = new.alias("f").join(index.alias("i"), [F.col(f"i.{c}").eqNullSafe(F.col(f"f.{c}")) for c in k], "left").select(*(F.col(f"f.{c}") for c in k), F.col("f.e").alias("e"), F.col("i.e").alias("was"))
+        images = changes.select(*cols, mark)
+        images.write.mode("overwrite").parquet(f"{self.root}/data/batch={n}")
+        self._schema = self._schema or images.schema
+
+        data = self._data([n])
+        new = self._entries(*data)
+        newest = [F.max(c).alias(c) for c in ("e", "was")]
+        if not old:
+            both = new.groupBy("h", "k").agg(newest[0]).withColumn("was", F.lit(None).cast(new.schema["e"].dataType))
+        elif data[0].count() <= SMALL_BATCH:
+            # of the index only rows of this batch's keys go on: those of its buckets, by a broadcast of at most SMALL_BATCH keys
+            new = staged(new.groupBy("h", "k").agg(newest[0]), "batch")
+            bucket = [r[0] for r in new.select(self._bucket().alias("b")).distinct().collect()]  # at most self.buckets rows
+            mine = self._index(old, new, bucket).join(F.broadcast(new.select("h", "k")), ["h", "k"], "left_semi").groupBy("h", "k").agg(F.max("e").alias("was"))
+            both = new.join(mine, ["h", "k"], "left")
         else:
-            both = new.withColumn("was", F.lit(None).cast(new.schema["e"].dataType))
+            # a batch that touches most buckets meets the index in one aggregation, combined on the map side
+            was = self._index(old, new).select("h", "k", F.lit(None).cast(new.schema["e"].dataType).alias("e"), F.col("e").alias("was"))
+            both = new.withColumn("was", F.lit(None).cast(new.schema["e"].dataType)).unionByName(was).groupBy("h", "k").agg(*newest).where("e is not null")
         wins = F.col("was").isNull() | (F.col("e") > F.col("was"))
-        path = f"{self.root}/merge/batch={n}"
-        both = both.select("*", wins.alias("wins"))
-        both.write.mode("overwrite").parquet(path)
-        both = self.spark.read.schema(both.schema).parquet(path)
-        both.where("wins").select(*k, "e").write.mode("overwrite").parquet(f"{self.root}/index/batch={n}")
-
-        def bitmap(df: DataFrame) -> DataFrame:
-            return df.groupBy("fid", F.expr(f"pos div {BLOCK}").alias("block")).agg(F.bitmap_construct_agg(F.col("pos") % BLOCK).alias("bits"))
+        both.where(wins).select("h", "k", "e", "was", self._bucket().alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/index/batch={n}")
 
-        born = bitmap(both.where("wins and e.live").select("e.fid", "e.pos")).select("fid", "block", _flipped("bits").alias("bits"))
-        dv = born
+        changed = self._index([n], new)
+        masks = self._born(changed)
         if old:
-            died = bitmap(both.where("wins and was.live").select("was.fid", "was.pos"))
-            kept = self._bitmaps(done)
-            # a block without a bitmap is dead already, and only blocks with a live row can lose one: so died adds no block
-            dv = kept.unionByName(died).groupBy("fid", "block").agg(F.bitmap_or_agg("bits").alias("bits")).unionByName(born)
-        shard = F.pmod("fid", F.lit(self.shards)).cast("int").alias("shard")
-        dv.select("fid", "block", "bits", shard).repartition("shard").sortWithinPartitions("shard", "fid").write.mode("overwrite").partitionBy("shard").parquet(f"{self.root}/dv/version={n}")
-        self.spark.range(1).select(F.lit(n).alias("version"), F.lit(n).alias("batch")).coalesce(1).write.mode("overwrite").json(f"{self.root}/log/version={n}")
+            died = changed.where("was.mark >= 0").select("was.fid", "was.pos").groupBy("fid", _word("pos")).agg(F.bit_or(_bit("pos")).alias("m"))
+            masks = masks.unionByName(died.select("fid", "word", F.bitwise_not("m").alias("mask")))
+        self._masks(masks, n)
+        self._publish(n, [*old, n], words, streams)
         return n
 
-    def _bitmaps(self, version: int) -> DataFrame:
-        return self.spark.read.schema("fid bigint, block bigint, bits binary, shard int").parquet(f"{self.root}/dv/version={version}").select("fid", "block", "bits")
+    def _bucket(self) -> Column:
+        """The index bucket of a key: the hash by which Spark places it in a shuffle, so a task writes few buckets, without a further shuffle."""
+        return F.pmod(F.hash("h", "k"), F.lit(self.buckets)).cast("int")
+
+    def _born(self, rows: DataFrame) -> DataFrame:
+        return rows.where("e.mark >= 0").select("e.fid", "e.pos").groupBy("fid", _word("pos")).agg(F.bit_or(_bit("pos")).alias("mask"))
+
+    def _masks(self, masks: DataFrame, n: int) -> None:
+        masks.write.mode("overwrite").parquet(f"{self.root}/dv/batch={n}")
+
+    def _publish(self, n: int, batches: list[int], words: int, streams: dict[str, int]) -> None:
+        """words: mask rows of the batches before the last."""
+        words += self._bitmaps(batches[-1:]).count()
+        held = F.create_map(*(F.lit(x) for kv in streams.items() for x in kv)) if streams else F.lit(None).cast("map<string, bigint>")
+        self.spark.range(1).select(F.array(*map(F.lit, batches)).alias("batches"), F.lit(words).alias("words"), held.alias("streams")).coalesce(1).write.mode("overwrite").json(f"{self.root}/log/version={n}")
+        self._logs = {n: (batches, words, streams)}
+
+    def _bitmaps(self, batches: list[int]) -> DataFrame:
+        masks = self.spark.read.schema("fid bigint, word bigint, mask bigint").parquet(*self._folders("dv", batches))
+        return masks.groupBy("fid", "word").agg(F.bit_and("mask").alias("mask")) if len(batches) > 1 else masks
+
+    def _live(self, version: int) -> tuple[DataFrame, str, str, str]:
+        """The rows that count as of a version, with the names as in _data."""
+        batches, words, _ = self._log(version)
+        df, order, fid, pos = self._data(batches)
+        mask, of, word = fresh(df, "mask", "of", "word")
+        bits = self._bitmaps(batches).select(F.col("fid").alias(of), F.col("word").alias(word), F.col("mask").alias(mask))
+        bits = F.broadcast(bits) if words <= BROADCAST_WORDS else bits
+        hit = df.join(bits, (F.col(fid) == F.col(of)) & (F.shiftright(pos, 6) == F.col(word))).where(F.col(mask).bitwiseAND(_bit(pos)) != 0)
+        return hit.drop(of, word, mask), order, fid, pos
 
     def read(self, *columns: str, version: int | None = None) -> DataFrame:
         """The live rows as of a version, the newest by default: columns, or all columns of the table."""
         v = self.version if version is None else version
         if v < 0:
             raise ValueError("the table has no version yet")
-        df, gone, fid, pos = self._data(list(range(v + 1)))
-        cols = list(columns) or [c for c in df.columns if c not in (gone, fid, pos)]
-        wanted = [F.col(f"`{c}`") for c in cols]
-        return df.select(*wanted, fid, pos).where(_live_filter(f"{self.root}/dv/version={v}", self.shards)(fid, pos)).select(*wanted)
+        df, *own = self._live(v)
+        return df.select(*(F.col(f"`{c}`") for c in (columns or [c for c in df.columns if c not in own])))
+
+    def compact(self) -> int:
+        """Rewrites the newest version as one batch of live rows and of one index entry a key (deletes keep theirs, so that later, older writes still
+        lose); returns the new version. The files of older versions stay, for their readers, until ``vacuum``."""
+        done = self.version
+        batches, _, streams = self._log(done)
+        if not batches:
+            raise ValueError("the table has no version yet")
+        n = done + 1
+        live, *own = self._live(done)
+        order = own[0]
+        live.select(*(F.col(f"`{c}`") for c in live.columns if c not in own), order).write.mode("overwrite").parquet(f"{self.root}/data/batch={n}")
+        put = self._entries(*self._data([n]))
+        gone = self._index(batches, put).groupBy("h", "k").agg(F.max("e").alias("e")).where("e.mark < 0")
+        rows = put.unionByName(gone).repartition(self.buckets, "h", "k").select("*", F.lit(None).cast(put.schema["e"].dataType).alias("was"), self._bucket().alias("bucket"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/index/batch={n}")
+        self._masks(self._born(self._index([n], put)), n)
+        self._publish(n, [n], 0, streams)
+        return n
+
+    def vacuum(self) -> int:
+        """Deletes what only versions before the newest use; returns how many folders. Only without readers of these versions."""
+        done = self.version
+        used, gone = self._log(done)[0], 0
+        for kind, name, kept in (("log", "version", [done]), ("data", "batch", used), ("index", "batch", used), ("dv", "batch", used)):
+            for n in numbers(self.spark, f"{self.root}/{kind}", name):
+                if n not in kept:
+                    fs, p = filesystem(self.spark, f"{self.root}/{kind}/{name}={n}")
+                    gone += bool(fs.delete(p, True))
+        return gone

@@ -4,24 +4,42 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalog.model import StorageFailure
+
+#: Paths of the staging tables of this process that are still there.
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only where the session names none (tests, one machine) a local folder is set."""
+    """The folder of ``spark.checkpoint.dir``. A local folder is set where the session names none, but only if all tasks run in this very process: on a
+    cluster each executor would write to a disk of its own, so StorageFailure is raised there."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise StorageFailure(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         named = "file://" + tempfile.mkdtemp(prefix="stratalog-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as its object."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    """A path for a new staging table, deleted when the driver's JVM ends."""
+    """A path for a new staging table, deleted when the driver's JVM ends, if not before by ``scope`` or ``release``."""
     path = f"{shared_dir(spark)}/stratalog-{what}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    fs, p = filesystem(spark, path)
+    fs.deleteOnExit(p)
+    _made.append(path)
     return path
 
 
@@ -31,3 +49,22 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     path = new_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes the staging tables made so far but the first ``keep``; returns how many. Results that read them can't be read any more."""
+    old, _made[keep:] = _made[keep:], []
+    for path in old:
+        fs, p = filesystem(spark, path)
+        fs.delete(p, True)
+    return len(old)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the staging tables that are made inside when it ends. Results must be written or collected by then."""
+    n = len(_made)
+    try:
+        yield
+    finally:
+        release(spark, n)

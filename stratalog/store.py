@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from stratalog.model import DEFAULT_NAMESPACE, ENTRY_SCHEMA, InvalidArgument, StorageFailure, StoreConfig
 from stratalog.operators import compaction, reads, segments, writes
-from stratalog.operators.change_feed import _fs, _numbers
+from stratalog.operators.change_feed import numbers
+from stratalog.scratch import filesystem
 
 MANIFEST = "id int, level int, file_name string, entry_count bigint, file_size bigint, min_key binary, max_key binary, min_timestamp bigint, max_timestamp bigint, compacted int, log_to int"
 
@@ -38,7 +39,7 @@ class Store:
         return self.spark.createDataFrame([], MANIFEST) if v < 0 else self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/version={v}")
 
     def _version(self) -> int:
-        return max(_numbers(self.spark, f"{self.path}/manifest", "version"), default=-1)
+        return max(numbers(self.spark, f"{self.path}/manifest", "version"), default=-1)
 
     def _publish(self, manifest: DataFrame) -> None:
         manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={self._version() + 1}")
@@ -49,7 +50,7 @@ class Store:
     def _log(self) -> tuple[list[int], DataFrame]:
         """The batches that no segment holds yet."""
         done = self._flushed_to()
-        n = [b for b in _numbers(self.spark, f"{self.path}/log", "batch") if b > done]
+        n = [b for b in numbers(self.spark, f"{self.path}/log", "batch") if b > done]
         return n, self._read([f"{self.path}/log/batch={b}" for b in n])
 
     def _read(self, paths: list[str]) -> DataFrame:
@@ -64,7 +65,7 @@ class Store:
         opened."""
         met = reduce(lambda a, b: a & b, conditions, F.lit(True))
         paths = list(segments.paths_for(self.manifest(), met))
-        fs, _ = _fs(self.spark, self.path)
+        fs, _ = filesystem(self.spark, self.path)
         if lost := [p for p in paths if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p))]:
             raise StorageFailure(f"segments are missing: {lost}")
         return self._log()[1].unionByName(self._read(paths))
@@ -72,7 +73,7 @@ class Store:
     # writes
 
     def _append(self, df: DataFrame) -> None:
-        n = max([self._flushed_to(), *_numbers(self.spark, f"{self.path}/log", "batch")], default=-1) + 1
+        n = max([self._flushed_to(), *numbers(self.spark, f"{self.path}/log", "batch")], default=-1) + 1
         df.select(*ENTRY_SCHEMA.names).write.mode("overwrite").parquet(f"{self.path}/log/batch={n}")
 
     def _stamp(self) -> int:
@@ -194,10 +195,10 @@ class Store:
 
     def vacuum(self) -> int:
         """Deletes compacted segments and log batches that segments hold; returns how many. Only without readers of older snapshots."""
-        fs, _ = _fs(self.spark, self.path)
+        fs, _ = filesystem(self.spark, self.path)
         old = [r["file_name"] for r in self.manifest().where("compacted = 1").select("file_name").collect()]
         done = self._flushed_to()
-        old += [f"{self.path}/log/batch={b}" for b in _numbers(self.spark, f"{self.path}/log", "batch") if b <= done]
+        old += [f"{self.path}/log/batch={b}" for b in numbers(self.spark, f"{self.path}/log", "batch") if b <= done]
         return sum(bool(fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p), True)) for p in old)
 
     def metrics(self) -> dict:

@@ -20,11 +20,11 @@ def latest_stream(changes: DataFrame) -> DataFrame:
 
 
 def apply_stream(changes: DataFrame, table: DeleteVectorTable, checkpoint: str) -> StreamingQuery:
-    """Applies a stream of changes to a table with delete vectors, a batch at a time, until what is there now has been read. A batch that is
-    replayed after a failure leaves the same state."""
+    """Applies a stream of changes to a table with delete vectors, a batch at a time, until what is there now has been read. The table's log holds
+    the number of the last batch of each checkpoint, so a batch that is replayed after a failure isn't appended again."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        table.apply(df)
+    def batch(df: DataFrame, n: int) -> None:
+        table.apply(df, checkpoint, n)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -32,7 +32,7 @@ def apply_stream(changes: DataFrame, table: DeleteVectorTable, checkpoint: str)
 def membership_stream(events: DataFrame, dead_after_ms: int = 5000) -> DataFrame:
     """Members of a stream of events (node_id, at timestamp, state, incarnation): node_id, state, incarnation, at_us, one row at each change.
 
-    An event counts if its incarnation isn't below the member's. A suspected node not heard of within dead_after_ms of processing
+    An event counts if its incarnation isn't below the member's; events are taken as they arrive, in order of time within an Arrow batch. A suspected node not heard of within dead_after_ms of processing
     time is dead. The state of a node is one row."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,12 +43,12 @@ def membership_stream(events: DataFrame, dead_after_ms: int = 5000) -> DataFrame
             out.append(("dead", inc, at))
         else:
             held = s.get if s.exists else (None, -1, 0)
-            rows = pd.concat(list(batches)).sort_values(["at_us", "incarnation"], kind="stable")
-            for r in rows.itertuples():
-                if r.incarnation >= held[1]:
-                    if (r.state, r.incarnation) != held[:2]:
-                        out.append((r.state, int(r.incarnation), int(r.at_us)))
-                    held = (r.state, int(r.incarnation), int(r.at_us))
+            for rows in batches:  # one after the other, so a node with many rows is never held whole
+                for r in rows.sort_values(["at_us", "incarnation"], kind="stable").itertuples():
+                    if r.incarnation >= held[1]:
+                        if (r.state, r.incarnation) != held[:2]:
+                            out.append((r.state, int(r.incarnation), int(r.at_us)))
+                        held = (r.state, int(r.incarnation), int(r.at_us))
             s.update(held)
             if held[0] == "suspected":
                 s.setTimeoutDuration(dead_after_ms)

@@ -28,6 +28,8 @@ def test_streams_equal_batch(spark, tmp_path):
     t = DeleteVectorTable(spark, new_path(spark, "stream"), ["namespace", "key"], "ts", F.col("value").isNull())
     apply_stream(changes, t, f"{tmp_path}/checkpoint").awaitTermination(120)
     assert t.version == 3
+    again = spark.createDataFrame(rows[:5], SCHEMA)
+    assert t.apply(again, f"{tmp_path}/checkpoint", 3) == 3 and t.apply(again, "other", 0) == 4  # a replayed batch is passed over
     live = want.where("value is not null")
     assert t.read().select(*live.columns).exceptAll(live).count() == 0 and t.read().count() == live.count()
 
