@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.operators.ordered import following, global_row_number
+from stratalog.operators.ordered import global_row_number, parts_of
 from stratalog.scratch import staged
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], attrs: list[str]) -> DataFrame:
-    """Keys that were inserted, changed or deleted between two snapshots, with their attributes before and after.
+def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], attrs: list[str], carry: list[str] = []) -> DataFrame:
+    """Keys that were inserted, changed or deleted between two snapshots, with their attributes before and after, and ``carried``, a struct of the
+    later snapshot's columns carry, if any.
 
     One null-safe full outer join: null keys match null keys, null attributes equal null ones. keys must be unique in either
     snapshot. Result: keys, change, and a struct ``before`` and ``after`` of attrs. Rows without a difference don't come out; an
     empty snapshot makes all rows of the other inserted or deleted."""
     b = before.select(*(F.col(k).alias(f"bk{i}") for i, k in enumerate(keys)), F.struct(*(F.col(a) for a in attrs)).alias("before"))
-    a = after.select(*(F.col(k).alias(f"ak{i}") for i, k in enumerate(keys)), F.struct(*(F.col(a) for a in attrs)).alias("after"))
+    a = after.select(*(F.col(k).alias(f"ak{i}") for i, k in enumerate(keys)), F.struct(*(F.col(a) for a in attrs)).alias("after"), *([F.struct(*carry).alias("carried")] if carry else []))
     on = [F.col(f"bk{i}").eqNullSafe(F.col(f"ak{i}")) for i in range(len(keys))]
     change = F.when(F.col("before").isNull(), "inserted").when(F.col("after").isNull(), "deleted").when(~F.col("before").eqNullSafe(F.col("after")), "changed")
     out = b.join(a, on, "full").withColumn("change", change).where(F.col("change").isNotNull())
     side = F.col("after").isNotNull()
-    return out.select(*(F.when(side, F.col(f"ak{i}")).otherwise(F.col(f"bk{i}")).alias(k) for i, k in enumerate(keys)), "change", "before", "after")
+    return out.select(*(F.when(side, F.col(f"ak{i}")).otherwise(F.col(f"bk{i}")).alias(k) for i, k in enumerate(keys)), "change", "before", "after", *(["carried"] if carry else []))
 
 
 def history(observed: DataFrame, key: str, at: str, attrs: list[str], prefer: list[Column]) -> DataFrame:
@@ -31,19 +32,25 @@ def history(observed: DataFrame, key: str, at: str, attrs: list[str], prefer: li
     one (key, at) the greatest by these columns counts; equal ones are copies. Rows with a null key or time are dropped; null
     attributes are values of their own. An empty input gives no rows. Other columns are left out.
 
-    Observations are numbered in order of (key, time); each is a snapshot of its key. Every snapshot is set against the one before by a
-    null-safe full outer join on (key, number), which classes it as inserted (no earlier one), changed, unchanged, or deleted
-    (nothing follows); inserted and changed ones are the events, and ``lead`` over the events gives the end of each period.
-    Numbering and lead run over range partitions of (key, time) and the join on single numbers, so the rows of a key that has a third of
-    the table are spread over tasks like any others."""
+    Observations are numbered in order of (key, time), and each is a snapshot of its key. ``snapshot_diff`` sets all snapshots against the ones
+    before them at once, by a null-safe full outer join on (key, number): inserted where a key's first one stands, changed, or deleted where no
+    other one follows. ``lead`` over the union of these events gives the end of each period; a deletion ends none, its period is still valid.
+
+    Numbering is by range partitions of (key, time), the join by single numbers and the lead inside slices of consecutive numbers, of
+    which each takes the next event from the slices after it: so the rows of a key that has a third of the table are spread over tasks like any others."""
+    spark = observed.sparkSession
     rows = observed.where(F.col(key).isNotNull() & F.col(at).isNotNull())
     best = rows.groupBy(F.col(key).alias("k"), F.col(at).alias("at")).agg(F.max(F.struct(*(c.alias(f"p{i}") for i, c in enumerate(prefer)), F.struct(*attrs).alias("a"))).alias("best")).select("k", "at", F.col("best.a").alias("a"))
-    snaps = staged(global_row_number(best, ["k", "at"], "n"), "snapshots")
-    after = snaps.select("k", "n", "at", "a")
-    before = snaps.select(F.col("k").alias("bk"), (F.col("n") + 1).alias("bn"), F.col("a").alias("was"))
-    pairs = after.join(before, F.col("k").eqNullSafe(F.col("bk")) & F.col("n").eqNullSafe(F.col("bn")), "full")
-    change = F.when(F.col("bk").isNull(), "inserted").when(F.col("k").isNull(), "deleted").when(~F.col("a").eqNullSafe(F.col("was")), "changed")
-    # the join holds all consecutive pairs at once, so this is the union of their change events
-    events = pairs.where(change.isin("inserted", "changed")).select("k", "at", "a")
-    led = following(events, ["k", "at"], "next")
-    return led.select(F.col("k").alias(key), *(F.col("a")[a].alias(a) for a in attrs), F.col("at").alias("valid_from"), F.when(F.col("next.k") == F.col("k"), F.col("next.at")).alias("valid_to"))
+    snaps = global_row_number(best, ["k", "at"], "n")
+    before = snaps.select("k", (F.col("n") + 1).alias("n"), "a")
+    events = snapshot_diff(before, snaps, ["k", "n"], ["a"], ["at"]).select("k", "n", "change", F.col("after.a").alias("a"), F.col("carried.at").alias("at"))
+
+    # a deletion and the insertion of the next key share a number; slices hold at most as many numbers as a range partition has rows on average
+    total = snaps.count()
+    slices = 4 * parts_of(spark)
+    events = staged(events.withColumn("slice", F.expr(f"cast(n div {total // slices + 1} as int)")), "events")
+    event = F.struct("n", F.when(F.col("change") == "deleted", 0).otherwise(1).alias("kind"), "at")
+    firsts = events.groupBy("slice").agg(F.min(event).alias("first"))
+    after = firsts.select("slice", F.lead("first").over(Window.orderBy("slice")).alias("after"))  # at most 4 rows a shuffle partition
+    led = events.withColumn("next", F.lead(event).over(Window.partitionBy("slice").orderBy(event))).where("change <> 'deleted'").join(F.broadcast(after), "slice")
+    return led.select(F.col("k").alias(key), *(F.col("a")[a].alias(a) for a in attrs), F.col("at").alias("valid_from"), F.coalesce("next", "after")["at"].alias("valid_to"))
