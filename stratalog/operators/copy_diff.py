@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalog.operators.ordered import run_starts
 from stratalog.scratch import staged
 
 #: Odd multipliers of the rolling hash over the last rows' key hashes; one for each row of the window.
@@ -18,7 +18,7 @@ ROLL = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np
 
 
 def _chunker(every: int):
-    """Numbers the chunks of sorted rows and marks rows that aren't the first of their key. A chunk ends after the last row of a key at which the
+    """Numbers the chunks of sorted rows and marks rows that aren't the first of their key in the partition. A chunk ends after the last row of a key at which the
     rolling hash over the hashes of that side's last three keys is divisible by ``every``; each partition starts a new chunk on either side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,14 +56,15 @@ def copy_diff(local: DataFrame, remote: DataFrame, keys: list[str], fields: list
     """One row for each difference: keys and ``field``, which is ``only_local``, ``only_remote`` or the name of a field that differs.
 
     Rows are matched on keys, null keys with null keys. Null equals null only. A copy may hold a row several times; identical rows
-    count once. If one key has different rows in a copy, each pair of them is compared and a difference comes out once.
-    Empty copies make all rows of the other one-sided. Columns besides keys and fields are left out. The result is distinct.
-
-    Both copies go through one range partitioning and sort by key, so their partitions begin at the same keys. Either side is cut into
-    chunks of about ``every`` rows where the content says so: after an insertion or deletion the cuts fall back into step. A chunk's
-    fingerprint is its row count with two independent 64-bit sums of row hashes. Chunks whose fingerprint the other side
-    has too are dropped by an anti-join, unless they hold a key with several rows; only rows of the rest are joined and compared field by
-    field. All rows of a key lie in one chunk of a copy."""
+    count once. If one key has different rows in a copy, each pair of them is compared and a difference comes out once: so a field differs if the
+    rows of both copies together have more than one value of it. Empty copies make all rows of the other one-sided. Columns besides keys and
+    fields are left out. The result is distinct.
+
+    Both copies go through one range partitioning of (keys, hash of the fields), so their partitions begin at the same rows and a key with very many
+    different rows is spread. Either side is cut into chunks of about ``every`` keys where the content says so: after an insertion or deletion the cuts
+    fall back into step. A chunk's fingerprint is its row count with two independent 64-bit sums of row hashes. Chunks whose fingerprint the other side
+    has too are dropped by an anti-join, unless they hold a key with several rows, or may share one with the next partition. Rows of the rest are
+    compared field by field in one aggregation by key, combined on the map side, without forming pairs."""
     k, f = [f"k{i}" for i in range(len(keys))], [f"f{i}" for i in range(len(fields))]
 
     def side(df: DataFrame, n: int) -> DataFrame:
@@ -74,8 +75,8 @@ def copy_diff(local: DataFrame, remote: DataFrame, keys: list[str], fields: list
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # nulls don't change Spark's hashes, so which columns are null goes in as well
     nulls = F.concat_ws("", *(F.col(c).isNull().cast("int") for c in [*k, *f]))
-    rows = both.select("*", F.xxhash64(*k, F.concat_ws("", *(F.col(c).isNull().cast("int") for c in k))).alias("kh"))
-    ordered = rows.repartitionByRange(n, *k).sortWithinPartitions(*k, "side", *f)
+    rows = both.select("*", F.xxhash64(*k, F.concat_ws("", *(F.col(c).isNull().cast("int") for c in k))).alias("kh"), F.xxhash64(*f, nulls).alias("fh"))
+    ordered = rows.repartitionByRange(n, *k, "fh").sortWithinPartitions(*k, "fh", "side", *f)
     # identical rows are neighbours here and must not count as several
     schema = T.StructType([*ordered.schema.fields, T.StructField("chunk", T.LongType()), T.StructField("again", T.BooleanType())])
     cut = staged(ordered.mapInArrow(_distinct_runs([*k, "side", *f]), ordered.schema).mapInArrow(_chunker(every), schema), "chunks")
@@ -83,17 +84,20 @@ def copy_diff(local: DataFrame, remote: DataFrame, keys: list[str], fields: list
     dec = "decimal(38,0)"
     prints = cut.groupBy("side", "chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*k, *f, nulls).cast(dec)).alias("s1"), F.sum(F.xxhash64(F.lit(7), nulls, *f, *k).cast(dec)).alias("s2"), F.max("again").alias("several"))
     prints = staged(prints, "prints")
+    # a key at either end of a partition may have more rows in the next one: two chunks a partition and side
+    ends = prints.groupBy("side", F.shiftright("chunk", 40).alias("p")).agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).select("side", F.explode(F.array("lo", "hi")).alias("chunk"))
+    prints = prints.join(F.broadcast(ends.distinct().withColumn("end", F.lit(True))), ["side", "chunk"], "left").withColumn("kept", F.col("several") | F.col("end").isNotNull())
     a, b = prints.where("side = 0"), prints.where("side = 1")
     same = ["rows", "s1", "s2"]
-    odd = a.join(b.select(*same), same, "left_anti").unionByName(b.join(a.select(*same), same, "left_anti").select(*a.columns)).select("side", "chunk").unionByName(prints.where("several").select("side", "chunk")).distinct()
-    left = cut.join(odd, ["side", "chunk"], "left_semi")
+    # what one side keeps the other one must keep too
+    odd = [x.where("kept").unionByName(x.where("not kept").join(y.where("not kept").select(*same), same, "left_anti").select(*x.columns)) for x, y in ((a, b), (b, a))]
+    left = cut.join(odd[0].unionByName(odd[1]).select("side", "chunk"), ["side", "chunk"], "left_semi")
 
-    l = left.where("side = 0").select(*(F.col(c).alias(f"l{c}") for c in [*k, *f]), F.lit(True).alias("l"))  # noqa: E741
-    r = left.where("side = 1").select(*(F.col(c).alias(f"r{c}") for c in [*k, *f]), F.lit(True).alias("r"))
-    pairs = l.join(r, [F.col(f"l{c}").eqNullSafe(F.col(f"r{c}")) for c in k], "full")
-    found = F.when(F.col("r").isNull(), F.array(F.lit("only_local"))).when(F.col("l").isNull(), F.array(F.lit("only_remote"))).otherwise(F.array_compact(F.array(*(F.when(~F.col(f"l{c}").eqNullSafe(F.col(f"r{c}")), F.lit(name)) for c, name in zip(f, fields, strict=True)))))
-    out = pairs.select(*(F.when(F.col("l"), F.col(f"l{c}")).otherwise(F.col(f"r{c}")).alias(name) for c, name in zip(k, keys, strict=True)), F.explode(found).alias("field"))
-    return out.distinct()
+    seen = [x for i, c in enumerate(f) for x in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.bool_or(F.col(c).isNull()).alias(f"null{i}"))]
+    per = left.groupBy(*k).agg(F.bool_or(F.col("side") == 0).alias("l"), F.bool_or(F.col("side") == 1).alias("r"), *seen)
+    differs = [F.when((F.col(f"lo{i}") != F.col(f"hi{i}")) | (F.col(f"null{i}") & F.col(f"lo{i}").isNotNull()), F.lit(name)) for i, name in enumerate(fields)]
+    found = F.when(~F.col("r"), F.array(F.lit("only_local"))).when(~F.col("l"), F.array(F.lit("only_remote"))).otherwise(F.array_compact(F.array(*differs)))
+    return per.select(*(F.col(c).alias(name) for c, name in zip(k, keys, strict=True)), F.explode(found).alias("field"))
 
 
 def _distinct_runs(columns: list[str]):
@@ -102,17 +106,8 @@ def _distinct_runs(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(c) for c in columns]
-            new = np.zeros(b.num_rows, bool)
-            new[0] = last is None or tuple(c[0].as_py() for c in cols) != last
-            if b.num_rows > 1:
-                for c in cols:
-                    x, y = c[1:], c[:-1]
-                    differ = pa.compute.not_equal(x, y).fill_null(False).to_numpy(zero_copy_only=False) | (x.is_null().to_numpy(zero_copy_only=False) != y.is_null().to_numpy(zero_copy_only=False))
-                    new[1:] |= differ
-            last = tuple(c[-1].as_py() for c in cols)
-            yield b.filter(pa.array(new))
+            if b.num_rows:
+                new, last = run_starts(b, columns, last)
+                yield b.filter(pa.array(new))
 
     return run

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,17 +34,15 @@ def range_lookup(points: DataFrame, ranges: DataFrame, group: str, key: str, low
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, last = TaskContext.get().partitionId(), None
+        part, last = TaskContext.get().partitionId(), dict.fromkeys(("g", "high", "rid"))
         for b in batches:
-            kinds, gs, highs, rids = (b.column(c).to_pylist() for c in ("kind", "g", "high", "rid"))
-            high_out, rid_out, mg = [], [], []
-            for k, g, h, r in zip(kinds, gs, highs, rids, strict=True):
-                if k == 0:
-                    last = (g, h, r)
-                mg.append(last and last[0])
-                high_out.append(last and last[1])
-                rid_out.append(last and last[2])
-            arrays = {c: b.column(c) for c in b.schema.names} | {"high": pa.array(high_out, pa.binary()), "rid": pa.array(rid_out, pa.int64()), "mg": pa.array(mg, pa.string()), "part": pa.array([part] * b.num_rows, pa.int32())}
+            if not b.num_rows:
+                continue
+            # of each row the last range start so far: place 0 is the one carried from earlier batches
+            at = np.maximum.accumulate(np.where(b.column("kind").to_numpy() == 0, np.arange(1, b.num_rows + 1), 0))
+            got = {c: pa.concat_arrays([pa.array([last[c]], b.column(c).type), b.column(c)]).take(pa.array(at)) for c in last}
+            last = {c: x[-1].as_py() for c, x in got.items()}
+            arrays = {c: b.column(c) for c in b.schema.names} | {"high": got["high"], "rid": got["rid"], "mg": got["g"], "part": pa.array(np.full(b.num_rows, part, np.int32))}
             yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
 
     led = staged(ordered.mapInArrow(carry, schema), "ranges")
