@@ -79,3 +79,19 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
         taken.add(b.lower())
         out.append(b)
     return out
+
+
+def common_types(a: DataFrame, b: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """a and b with each of columns in one type, so that equal values have equal hashes: the wider of two numeric types, as a union has it. Types that
+    have no common one without reading text as numbers are refused."""
+    out = [a, b]
+    for c in columns:
+        x, y = (d.schema[c].dataType for d in (a, b))
+        if x == y:
+            continue
+        texts = [isinstance(t, (T.StringType, T.BinaryType)) for t in (x, y)]
+        if any(texts):
+            raise InvalidArgument(f"{c} is {x.simpleString()} here and {y.simpleString()} there")
+        wide = a.select(c).limit(0).union(b.select(c).limit(0)).schema[c].dataType
+        out = [d.withColumn(c, F.col(f"`{c}`").cast(wide)) for d in out]
+    return out[0], out[1]

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.model import fresh
+from stratalog.model import common_types, fresh
 
-#: Keys that aren't heavy are placed by hash bucket; so many buckets, whatever the data.
-BUCKETS = 1024
+#: Keys that aren't heavy are placed by hash bucket; so many buckets for each task, and so many at least.
+BUCKETS_A_TASK, LEAST_BUCKETS = 16, 1024
+#: Items of which a sketch gives the counts.
+SKETCHED = 100_000
 
 
 @dataclass(frozen=True)
@@ -24,14 +26,16 @@ class Placement:
     buckets: list[int]
     loads: list[int]
 
-    def with_shards(self, df: DataFrame, h: Column, name: str) -> DataFrame:
-        """df with the tasks of a key's shards, null for a key that isn't heavy. At most 4 * tasks keys are heavy: the bound of the broadcast."""
-        (key,) = fresh(df, "heavy_hash")
-        heavy = df.sparkSession.createDataFrame(list(self.heavy.items()), f"{key} bigint, {name} array<int>")
-        return df.join(F.broadcast(heavy), h == F.col(key), "left").drop(key)
-
-    def bucket(self, h: Column) -> Column:
-        return F.element_at(F.lit(self.buckets).cast("array<int>"), (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"))
+    def placed(self, df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """df with the tasks of a key's shards, one task for a key that isn't heavy. Two lookups by broadcast: at most 4 * tasks heavy keys with as many
+        shards again, and BUCKETS_A_TASK * tasks buckets (or LEAST_BUCKETS)."""
+        h, key, shards, bucket, task = fresh(df.withColumn(name, F.lit(0)), "key_hash", "heavy_hash", "shards", "bucket", "bucket_task")
+        spark = df.sparkSession
+        heavy = spark.createDataFrame(list(self.heavy.items()), f"{key} bigint, {shards} array<int>")
+        light = spark.createDataFrame([(b, [t]) for b, t in enumerate(self.buckets)], f"{bucket} bigint, {task} array<int>")
+        hashed = df.withColumn(h, key_hash(keys))
+        got = hashed.join(F.broadcast(heavy), F.col(h) == F.col(key), "left").join(F.broadcast(light), F.pmod(h, F.lit(len(self.buckets))) == F.col(bucket), "left")
+        return got.withColumn(name, F.coalesce(shards, task)).drop(h, key, shards, bucket, task)
 
 
 def key_hash(keys: list[str]) -> Column:
@@ -39,38 +43,38 @@ def key_hash(keys: list[str]) -> Column:
 
 
 def plan(df: DataFrame, keys: list[str], tasks: int) -> Placement:
-    """Estimates loads over all rows of df and bin-packs them into tasks.
+    """Estimates loads over all rows of df, in one pass, and bin-packs them into tasks.
 
     A frequent-items sketch, whose partial results merge, gives the heavy keys: those with more than a quarter of a task's
     fair share, so 4 * tasks of them at most. Each is split into as many shards as quarter shares fit its load. Other keys go by
-    BUCKETS hash buckets with exact sizes. Shards and buckets, largest first, each go to the least loaded task. The driver
-    gets no more than 4 * tasks + BUCKETS rows. Estimates decide only where rows go, never whether they count."""
-    h = df.select(key_hash(keys).alias("h"))
-    top = 4 * tasks
-    sizes = h.groupBy(F.pmod("h", F.lit(BUCKETS)).cast("int").alias("b")).count()
-    buckets = [0] * BUCKETS
-    for b, n in sizes.collect():
-        buckets[b] = n
-    total = sum(buckets)
+    hash bucket; a second sketch in the same pass, with room for all buckets, has their exact sizes (beyond SKETCHED buckets a count of its own). Shards
+    and buckets, largest first, each go to the least loaded task. The driver gets 4 * tasks heavy keys and max(BUCKETS_A_TASK * tasks,
+    LEAST_BUCKETS) buckets at most. Estimates decide only where rows go, never whether they count."""
+    top, n = 4 * tasks, max(BUCKETS_A_TASK * tasks, LEAST_BUCKETS)
+    h = df.select(key_hash(keys).alias("h")).withColumn("b", F.pmod("h", F.lit(n)).cast("int"))
+    sketch = lambda c, k, room: F.expr(f"approx_top_k({c}, {k}, {min(1_000_000, room)})").alias(c)
+    # a sketch of more than 4 / 3 times as many items as there are counts each exactly
+    got = h.agg(F.count(F.lit(1)).alias("n"), sketch("h", min(top, SKETCHED), 64 * top), *([sketch("b", n, 4 * n)] if n <= SKETCHED else [])).first()
+    buckets, total = [0] * n, got["n"]
+    for r in (got["b"] if n <= SKETCHED else h.groupBy(F.col("b").alias("item")).count().collect()) if total else []:
+        buckets[r["item"]] = r["count"]
     unit = max(1, total // top)
-    sketch = h.agg(F.expr(f"approx_top_k(h, {top}, {min(1_000_000, 64 * top)})").alias("t")) if total else None
-    found = {r["item"]: r["count"] for r in sketch.first()["t"] if r["count"] > unit} if total else {}
+    found = {r["item"]: r["count"] for r in got["h"] if r["count"] > unit} if total else {}
     items: list[tuple[int, int, int | None]] = []
-    for key, n in found.items():
-        parts = -(-n // unit)
-        items += [(-(-n // parts), 0, key)] * parts
-        b = key % BUCKETS
-        buckets[b] = max(0, buckets[b] - n)
-    items += [(n, b, None) for b, n in enumerate(buckets)]
-    heap, heavy, place = [(0, t) for t in range(tasks)], {k: [] for k in found}, [0] * BUCKETS
-    for n, b, key in sorted(items, key=lambda x: (-x[0], x[1], x[2] or 0)):
+    for key, c in found.items():
+        parts = -(-c // unit)
+        items += [(-(-c // parts), 0, key)] * parts
+        buckets[key % n] = max(0, buckets[key % n] - c)
+    items += [(c, b, None) for b, c in enumerate(buckets)]
+    heap, heavy, place = [(0, t) for t in range(tasks)], {k: [] for k in found}, [0] * n
+    for c, b, key in sorted(items, key=lambda x: (-x[0], x[1], x[2] or 0)):
         load, t = heapq.heappop(heap)
         if key is None:
             place[b] = t
         else:
             heavy[key].append(t)
-        heapq.heappush(heap, (load + n, t))
-    return Placement(tasks, total, heavy, place, [n for n, _ in sorted(heap, key=lambda x: x[1])])
+        heapq.heappush(heap, (load + c, t))
+    return Placement(tasks, total, heavy, place, [c for c, _ in sorted(heap, key=lambda x: x[1])])
 
 
 def fragment(df: DataFrame, keys: list[str], p: Placement, spread: list[str], task: str) -> DataFrame:
@@ -78,24 +82,24 @@ def fragment(df: DataFrame, keys: list[str], p: Placement, spread: list[str], ta
     which should tell rows of a key apart. Adds the column task."""
     (shards,) = fresh(df, "shards")
     at = F.element_at(shards, (F.pmod(F.xxhash64(F.lit(11), *spread), F.size(shards)) + 1).cast("int"))
-    placed = p.with_shards(df, key_hash(keys), shards)
-    return placed.withColumn(task, F.when(F.col(shards).isNotNull(), at).otherwise(p.bucket(key_hash(keys)))).drop(shards).repartitionById(p.tasks, F.col(task))
+    return p.placed(df, keys, shards).withColumn(task, at).drop(shards).repartitionById(p.tasks, F.col(task))
 
 
 def replicate(df: DataFrame, keys: list[str], p: Placement, task: str) -> DataFrame:
     """The rows of df at every task that holds a shard of their key, at one task for keys that aren't heavy."""
     (shards,) = fresh(df, "shards")
-    placed = p.with_shards(df, key_hash(keys), shards)
-    return placed.withColumn(task, F.explode(F.coalesce(F.array_distinct(shards), F.array(p.bucket(key_hash(keys)))))).drop(shards).repartitionById(p.tasks, F.col(task))
+    return p.placed(df, keys, shards).withColumn(task, F.explode(F.array_distinct(shards))).drop(shards).repartitionById(p.tasks, F.col(task))
 
 
 def balanced_join(big: DataFrame, side: DataFrame, keys: list[str], spread: list[str], tasks: int, how: str = "inner") -> DataFrame:
     """big joined with side on keys (null keys meet nothing) by fragment-replicate; how is inner or left. Both sides keep their columns, so
-    those besides keys must not share names. Rows of side may repeat; every pair comes out, as from an ordinary join."""
+    those besides keys must not share names. Rows of side may repeat; every pair comes out, as from an ordinary join. Keys of different numeric types
+    are compared in the wider one; text and numbers are refused."""
+    big, side = common_types(big, side, keys)
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     p = plan(big, keys, tasks)
-    (t,) = fresh(big.select(*big.columns, *(F.lit(0).alias(c) for c in side.columns if c not in big.columns)), "task")
+    (t,) = fresh(big.select(*(F.col(f"`{c}`") for c in big.columns), *(F.lit(0).alias(c) for c in side.columns if c not in big.columns)), "task")
     return fragment(big, keys, p, spread, t).join(replicate(side, keys, p, t), [t, *keys], how).drop(t)
 
 

@@ -1,12 +1,15 @@
 """Change feed, history, copy diff, range lookup and balanced work against brute force, with the awkward cases."""
 
 import random
+import shutil
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.operators.balance import BUCKETS, balanced_aggregate, balanced_join, fragment, plan
+from stratalog.model import InvalidArgument, StorageFailure
+from stratalog.operators import change_feed
+from stratalog.operators.balance import LEAST_BUCKETS, balanced_aggregate, balanced_join, fragment, plan
 from stratalog.operators.change_feed import DeleteVectorTable
 from stratalog.operators.copy_diff import copy_diff
 from stratalog.operators.history import history, snapshot_diff
@@ -18,7 +21,7 @@ FEED = "ns string, key binary, value binary, ts bigint, fid string, pos int, e s
 
 
 def dv(spark, keys=("ns", "key")):
-    return DeleteVectorTable(spark, new_path(spark, "t"), list(keys), "ts", F.col("value").isNull(), shards=3)
+    return DeleteVectorTable(spark, new_path(spark, "t"), list(keys), "ts", F.col("value").isNull(), buckets=3)
 
 
 def feed(spark, rows):
@@ -76,8 +79,64 @@ def test_p1_found_supersedes_rows_of_earlier_batches(spark, tmp_path, monkeypatc
     out = problems.R.queries["p1_found"](spark, str(tmp_path))
     assert {(bytes.fromhex(r.key_hex), r.ts) for r in out.collect()} == {(b"k%d" % i, 20 + i) for i in range(0, 10, 2)} | {(b"late", 5)}
     (t,) = tables
-    was = spark.read.parquet(*(f"{t.root}/merge/batch={b}" for b in range(t.version + 1))).where("was is not null")
+    was = spark.read.parquet(f"{t.root}/index").where("was is not null")
     assert was.count() == 20
+    died = spark.read.parquet(f"{t.root}/dv/batch=2").selectExpr("64 - bit_count(mask) as n", "mask").where("bit_count(mask) > 32")
+    assert died.agg(F.sum("n")).first()[0] == 10  # the third batch cleared a bit of each key's second row
+
+
+@pytest.mark.parametrize("small,words", [(0, 0), (0, 1 << 20), (10**6, 0)])
+def test_change_feed_paths_agree(spark, monkeypatch, small, words):
+    """The index met by an aggregation or a broadcast, bitmaps by a join or a broadcast, with another type of key and columns in another order."""
+    monkeypatch.setattr(change_feed, "SMALL_BATCH", small)
+    monkeypatch.setattr(change_feed, "BROADCAST_WORDS", words)
+    r = random.Random(5)
+    rows = [(r.randrange(40), r.choice([None, "v%d" % i]), i) for i in range(500)]
+    r.shuffle(rows)
+    t = DeleteVectorTable(spark, new_path(spark, "t"), ["k"], "ts", F.col("v").isNull(), buckets=3)
+    t.apply(spark.createDataFrame(rows[:200], "k bigint, v string, ts bigint"))
+    t.apply(spark.createDataFrame(rows[200:450], "k int, v string, ts bigint").select("v", "ts", "k"))
+    t.apply(spark.createDataFrame(rows[450:], "k int, v string, ts int"))
+    best = {}
+    for k, v, ts in rows:
+        best[k] = max(best.get(k, (-1, None)), (ts, v), key=lambda x: x[0])
+    want = {(k, v, ts) for k, (ts, v) in best.items() if v is not None}
+    assert {tuple(x) for x in t.read("k", "v", "ts").collect()} == want and t.read().count() == len(want)
+
+
+def test_change_feed_compaction(spark):
+    r = random.Random(8)
+    rows = [("a", b"%d" % r.randrange(30), r.choice([None, b"%d" % i]), i) for i in range(300)]
+    t = dv(spark)
+    for i in range(0, 300, 100):
+        t.apply(feed(spark, rows[i : i + 100]))
+    assert t.compact() == 3 and Counter(got(t)) == Counter(state(rows)) == Counter(got(t, version=2))
+    t.apply(feed(spark, rows[:50]))  # late rows lose, also to deletes
+    assert Counter(got(t)) == Counter(state(rows))
+    t.apply(feed(spark, [("a", b"5", b"new", 999)]))
+    assert Counter(got(t)) == Counter(state([*rows, ("a", b"5", b"new", 999)]))
+    assert t.vacuum() == 14 and t.vacuum() == 0  # three batches in three folders, five versions
+    assert Counter(got(t)) == Counter(state([*rows, ("a", b"5", b"new", 999)]))
+
+
+def test_change_feed_ties_of_ts_dont_depend_on_batches(spark):
+    rows = [("a", b"k%d" % k, v, 1) for k in range(20) for v in (b"x", b"y", b"z", None)]
+    one, many = dv(spark), dv(spark)
+    one.apply(feed(spark, rows))
+    for i in (2, 0, 3, 1):
+        many.apply(feed(spark, rows[i::4]))
+    assert Counter(got(one)) == Counter(got(many)) and len(got(one)) == 20
+
+
+@pytest.mark.parametrize("lost", ["dv/batch=0", "index/batch=0", "data/batch=0"])
+def test_change_feed_lost_folder_is_an_error(spark, tmp_path, lost):
+    """Paths without a scheme are those of the default file system; nothing counts as empty because it can't be found."""
+    t = DeleteVectorTable(spark, f"{tmp_path}/t", ["ns", "key"], "ts", F.col("value").isNull())
+    t.apply(feed(spark, [("a", b"%d" % i, b"v", i) for i in range(100)]))
+    assert len(got(t)) == 100 and t.root.startswith("file:/")
+    shutil.rmtree(tmp_path / "t" / lost)
+    with pytest.raises(StorageFailure):
+        t.apply(feed(spark, [("a", b"1", b"w", 200)])) if lost.startswith("index") else t.read().collect()
 
 
 def test_many_blocks(spark):
@@ -149,6 +208,13 @@ def test_copy_diff_of_keys_with_several_rows(spark, every):
     assert Counter((q.ns, bytes(q.key), q.field) for q in out.collect()) == Counter(want)
 
 
+def test_copy_diff_of_a_key_over_many_partitions(spark):
+    """Half of the rows are of one key, each in both copies; a second key has one row in either."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.format_string("%05d", "id")).alias("key"), F.col("id").alias("v"), F.lit(None).cast("int").alias("w"))
+    out = copy_diff(rows, rows.where("v <> 100").union(spark.createDataFrame([("00007", 7, 1)], "key string, v bigint, w int")), ["key"], ["v", "w"], every=16)
+    assert sorted(tuple(r) for r in out.collect()) == [("00007", "w"), ("hot", "v")]
+
+
 def test_copy_diff_empty_sides(spark):
     a = spark.createDataFrame([("k", "v")], "key string, f0 string")
     none = a.limit(0)
@@ -196,7 +262,7 @@ def test_balanced_aggregate(spark):
 def test_placement_is_balanced_and_bounded(spark):
     rows, df = skewed(spark)
     p = plan(df, ["a", "b"], 6)
-    assert p.total == len(rows) and len(p.heavy) <= 24 and len(p.buckets) == BUCKETS
+    assert p.total == len(rows) and len(p.heavy) <= 24 and len(p.buckets) == LEAST_BUCKETS
     sizes = fragment(df, ["a", "b"], p, ["id"], "to").groupBy("to").count().collect()
     assert max(r["count"] for r in sizes) < 1.6 * len(rows) / 6  # one key has more than half of all rows
     parts = fragment(df, ["a", "b"], p, ["id"], "to").select("to", F.spark_partition_id().alias("p")).distinct().collect()
@@ -213,3 +279,19 @@ def test_balanced_join(spark, how):
     assert got == want
     with pytest.raises(ValueError):
         balanced_join(df, s, ["a", "b"], ["id"], 6, "full")
+
+
+def test_balanced_join_of_different_key_types(spark):
+    big = spark.range(1000).select(F.col("id").cast("int").alias("k"), F.col("id").alias("n"))
+    side = spark.range(0, 1000, 3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = {tuple(r) for r in balanced_join(big, side, ["k"], ["n"], 5).collect()}
+    assert got == {(i, i, 2 * i) for i in range(0, 1000, 3)}
+    with pytest.raises(InvalidArgument):
+        balanced_join(big.withColumn("k", F.col("k").cast("string")), side, ["k"], ["n"], 5)
+
+
+def test_placement_balances_any_number_of_tasks(spark):
+    p = plan(spark.range(1_000_000), ["id"], 4000)
+    assert max(p.loads) < 1.3 * p.total / 4000 and len(p.buckets) == 64_000
+    sizes = p.placed(spark.range(1_000_000), ["id"], "at").groupBy(F.col("at")[0]).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert sizes[0] < 1.3 * 250 and sizes[1] == 4000
