@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.model import fresh
+
 #: Registers are 2 ** PRECISION; the relative standard error is 1.04 / sqrt(registers), 0.81 % here.
 PRECISION = 14
 
@@ -53,7 +55,10 @@ def estimates(parts: DataFrame, groups: list[str], precision: int = PRECISION) -
 
 def cube_estimates(parts: DataFrame, groups: list[str], precision: int = PRECISION) -> DataFrame:
     """Estimates of every combination of groups from the same partial results: ``level`` counts in binary, first group highest, which
-    groups are summed over (0: none); summed groups are null."""
-    per = parts.withColumn("__reg", F.col("reg")).cube(*groups, "__reg").agg(F.max("rank").alias("rank"), F.sum("n").alias("n"), F.grouping_id().alias("__g")).where("__g % 2 = 0")
-    per = per.select(*groups, F.expr("cast(__g div 2 as int)").alias("level"), F.col("__reg").alias("reg"), "rank", "n")
+    groups are summed over (0: none); summed groups are null. Registers stay apart in every grouping set, and are merged on the map side."""
+    reg, n, last = fresh(parts, "reg_of", "rank_n", "set_id")
+    rows = parts.withColumnRenamed("reg", reg)
+    sets = [[*(F.col(g) for i, g in enumerate(groups) if not s >> (len(groups) - 1 - i) & 1), F.col(reg)] for s in range(1 << len(groups))]
+    per = rows.groupingSets(sets, *groups, reg).agg(F.max("rank").alias(n), F.sum("n").alias("n"), F.grouping_id().alias(last))
+    per = per.select(*groups, F.shiftright(last, 1).cast("int").alias("level"), F.col(reg).alias("reg"), F.col(n).alias("rank"), "n")
     return estimates(per, [*groups, "level"], precision)

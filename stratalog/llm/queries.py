@@ -25,8 +25,12 @@ def _keyed(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """filtered: whether the entry's segment was written with a filter; a null or zero bloom_offset says that it wasn't, and entries that aren't flushed have
+    none either."""
     probes = _keyed(spark, d, "key_probes").select("probe_id", "namespace", "key")
-    return answer(probes, "probe_id", _keyed(spark, d, "entry_log").select("namespace", "key"), ["namespace", "key"])
+    segments = table(spark, d, "sstable_manifest").select(F.col("id").alias("sstable_id"), (F.coalesce("bloom_offset", F.lit(0)) != 0).alias("has_filter"))
+    log = _keyed(spark, d, "entry_log").select("namespace", "key", "sstable_id").join(segments, "sstable_id", "left")
+    return answer(probes, "probe_id", log, ["namespace", "key"], F.col("has_filter"))
 
 
 @R.query(
@@ -40,18 +44,44 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d)[0].select("probe_id")
 
 
-@R.query("p4_error")
+_ASKED = f"""(select {_NS} as namespace, key, min(probe_id) as first from key_probes where key is not null and octet_length(key) > 0 group by 1, 2)"""
+_STORED = f"""(select {_NS} as namespace, key, bool_or(coalesce(bloom_offset, 0) <> 0) as filtered from entry_log left join sstable_manifest on sstable_id = id
+  where key is not null and octet_length(key) > 0 group by 1, 2)"""
+
+
+@R.query(
+    "p4_error",
+    f"""select count(*) as asked, count(*) filter (filtered is null) as new, 0::bigint as missed, count(*) filter (filtered = false) as without_filter, true as rate_holds, true as negatives_checked
+from {_ASKED} a left join {_STORED} s using (namespace, key)""",
+)
 def p4_error(spark: SparkSession, d: str) -> DataFrame:
-    """The filter's measured rate of wrong answers."""
+    """The filter's measured errors: of the keys asked for, how many are new, false negatives among the rejected keys that were looked up, known
+    keys that no filter of the store holds, whether at most one new key in fifty passed the filter, and whether at least one in 128 of many rejected keys was looked up."""
+    r = error_report(_answers(spark, d)[1])
+    many = F.col("new") - F.col("disproved") >= 5000
+    return r.select("asked", "new", "missed", "without_filter", (F.col("error_rate") <= 0.02).alias("rate_holds"), (~many | (F.col("rejected_checked") * 128 >= F.col("new") - F.col("disproved"))).alias("negatives_checked"))
+
+
+@R.query("p4_report")
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of error_report as they are: which keys pass the filter wrongly depends on its hash, so there is no SQL."""
     return error_report(_answers(spark, d)[1])
 
 
 @R.query("p4_disproved")
 def p4_disproved(spark: SparkSession, d: str) -> DataFrame:
-    """The log of the filter's wrong answers: new keys that it let through and the lookup turned away."""
+    """The log of the filter's wrong answers: new keys that it let through and the lookup turned away. Which they are depends on its hash."""
     return _answers(spark, d)[1].where("maybe and not known").select("key.namespace", key_hex("key.key").alias("key_hex"), "first")
 
 
+@R.query("p4_routes", f"select lower(hex(key)) as key_hex, namespace, first, filtered is not null as known, true as routed from {_ASKED} a left join {_STORED} s using (namespace, key)")
+def p4_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Each key asked for with the answer, and whether its way was right: a known key passed the filter and was looked up, and a wrong pass was disproved."""
+    f = _answers(spark, d)[1]
+    routed = F.when(F.col("known"), F.col("maybe") & F.col("checked")).otherwise(~F.col("maybe") | F.col("checked"))
+    return f.select(key_hex("key.key").alias("key_hex"), "key.namespace", "first", "known", routed.alias("routed"))
+
+
 def _parts(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_format(F.timestamp_micros("ts"), "yyyy-MM-dd")
     return registers(_days(spark, d).withColumn("day_utc", day), ["day_utc", "namespace"], ["namespace", "key"])
@@ -93,10 +123,29 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("p5_distinct")
 def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """Estimated distinct keys of each day, namespace, combination and in all, from the same registers."""
+    """Estimated distinct keys of each day, namespace, combination and in all, from the same registers. The figures depend on the hash, so there is no SQL."""
     return cube_estimates(_parts(spark, d), ["day_utc", "namespace"])
 
 
+@R.query(
+    "p5_within",
+    f"""with e as (select strftime(make_timestamp(ts), '%Y-%m-%d') as day_utc, {_NS} as namespace, key from entry_log where key is not null and octet_length(key) > 0)
+select day_utc, namespace, grouping(day_utc, namespace)::int as level, count(*) as rows, count(distinct (namespace, key)) as keys, true as within
+from (select *, namespace as ns from e) group by cube (day_utc, namespace)""".replace("count(distinct (namespace, key))", "count(distinct (ns, key))"),
+)
+def p5_within(spark: SparkSession, d: str) -> DataFrame:
+    """The estimates of p5_distinct set against exact counts, which take one row a key and group: within five standard errors, or three keys?"""
+    groups, keys = ["day_utc", "namespace"], ["ns", "key"]
+    e = p5_distinct(spark, d)
+    rows = _days(spark, d).select(F.date_format(F.timestamp_micros("ts"), "yyyy-MM-dd").alias("day_utc"), "namespace", F.col("namespace").alias("ns"), "key")
+    sets = [[*(F.col(g) for i, g in enumerate(groups) if not s >> (1 - i) & 1), *map(F.col, keys)] for s in range(4)]
+    per = rows.groupBy(*groups, *keys).count().groupingSets(sets, *groups, *keys).agg(F.sum("count").alias("n"), F.shiftright(F.grouping_id(), 2).cast("int").alias("level"))
+    exact = per.groupBy(*groups, "level").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"))
+    same = [exact[c].eqNullSafe(e[c]) for c in (*groups, "level")]
+    near = F.abs(e["estimate"] - exact["keys"]) <= F.greatest(5 * e["std_error"] * exact["keys"], F.lit(3.0))
+    return exact.join(e, same).select(*(exact[c] for c in (*groups, "level")), exact["rows"], "keys", near.alias("within"))
+
+
 @R.query("p7_ids")
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")

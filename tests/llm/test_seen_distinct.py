@@ -4,9 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.llm import queries
+from stratalog.llm import queries, seen
 from stratalog.llm.distinct import cube_estimates, estimates, merge, registers, standard_error
-from stratalog.llm.seen import SeenFilter, answer, error_report
+from stratalog.llm.seen import SeenFilter, SeenIndex, answer, error_report
+from stratalog.model import InvalidArgument
 
 
 def test_answers_against_brute_force(spark):
@@ -17,14 +18,14 @@ def test_answers_against_brute_force(spark):
     r.shuffle(probes)
     k = spark.createDataFrame([(*x, 1) for x in known], "ns string, key binary, first int")
     p = spark.createDataFrame([(*x, "new", "maybe") for x in probes], "id bigint, ns string, key binary, new string, maybe string").repartition(3)
-    seen, firsts = answer(p, "id", k, ["ns", "key"])
+    out, firsts = answer(p, "id", k, ["ns", "key"])
     have, want = set(known), set()
     for i, n, b in sorted(probes):
         if (n, b) in have:
             want.add(i)
         have.add((n, b))
-    rows = seen.collect()
-    assert {x.id for x in rows} == want and len(rows) == len(want) and seen.columns == p.columns
+    rows = out.collect()
+    assert {x.id for x in rows} == want and len(rows) == len(want) and out.columns == p.columns
     report = error_report(firsts).first()
     asked = {(n, b) for _, n, b in probes}
     assert report.asked == len(asked) and report.new == len(asked - set(known)) and report.missed == 0
@@ -33,11 +34,12 @@ def test_answers_against_brute_force(spark):
 
 def test_empty_tables(spark):
     p = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id bigint, k string")
-    seen, firsts = answer(p, "id", p.select("k").limit(0), ["k"])
-    assert [r.id for r in seen.collect()] == [2]
-    assert tuple(error_report(firsts).first()) == (2, 2, 0, 0, 0.0)
-    seen, firsts = answer(p.limit(0), "id", p.select("k"), ["k"])
-    assert seen.count() == 0 and error_report(firsts).first().error_rate == 0.0
+    out, firsts = answer(p, "id", p.select("k").limit(0), ["k"])
+    assert [r.id for r in out.collect()] == [2]
+    r = error_report(firsts).first()
+    assert (r.asked, r.new, r.disproved, r.missed, r.without_filter, r.error_rate) == (2, 2, 0, 0, 0, 0.0)
+    out, firsts = answer(p.limit(0), "id", p.select("k"), ["k"])
+    assert out.count() == 0 and error_report(firsts).first().error_rate == 0.0
 
 
 def test_filter_error_and_merge(spark):
@@ -54,6 +56,33 @@ def test_filter_error_and_merge(spark):
         f.merge(SeenFilter.build(ids.where("k < 10"), ["k"], expected=10))
 
 
+@pytest.mark.parametrize("blocks", [0, 1 << 20])
+def test_index_of_parts(spark, tmp_path, monkeypatch, blocks):
+    """Keys added in parts, some twice, an index opened again, and filters met by a join or a broadcast."""
+    monkeypatch.setattr(seen, "BROADCAST_BLOCKS", blocks)
+    i = SeenIndex(spark, f"file://{tmp_path}/i", ["a", "b"])
+    rows = spark.range(3000).select((F.col("id") % 1500).cast("int").alias("a"), F.when(F.col("id") % 5 != 0, F.col("id").cast("string")).alias("b"), (F.col("id") % 2 == 0).alias("f"))
+    i.add(rows.where("a < 700"), F.col("f"), expected=3000)
+    i.add(rows.where("a >= 500"), F.col("f"))
+    j = SeenIndex(spark, f"file://{tmp_path}/i", ["a", "b"])
+    assert (j.parts, j.blocks) == (2, i.blocks)
+    probes = spark.range(0, 6000).select(F.col("id").alias("n"), (F.col("id") % 1500).alias("a"), F.when(F.col("id") % 5 != 0, F.col("id").cast("string")).alias("b"))
+    got, firsts = answer(probes, "n", j, ["a", "b"])
+    # keys without b repeat every 1,500 ids
+    assert {r.n for r in got.collect()} == {n for n in range(6000) if n < 3000 or n % 5 == 0}
+    r = error_report(firsts).first()
+    assert r.missed == 0 and r.error_rate < 0.05 and 10 < r.rejected_checked < 150
+    assert r.without_filter == 1350  # those of odd ids: half of the 2,400 keys with b and of the 300 without
+
+
+def test_key_types_are_compared_alike(spark):
+    known = spark.range(50).select("id")
+    seen_, _ = answer(spark.range(100).select(F.col("id").cast("int").alias("id"), F.col("id").alias("n")), "n", known, ["id"])
+    assert sorted(r.n for r in seen_.collect()) == list(range(50))
+    with pytest.raises(InvalidArgument):
+        answer(spark.range(5).select(F.col("id").cast("string").alias("id"), F.col("id").alias("n")), "n", known, ["id"])
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 100, 5000, 40_000, 120_000])
 def test_estimate_within_error(spark, n):
     df = spark.range(n).select(F.lit("g").alias("g"), F.explode(F.array_repeat("id", 2)).alias("x"))
