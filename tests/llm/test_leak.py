@@ -6,7 +6,7 @@ import unicodedata
 import pytest
 import regex
 
-from stratalog.llm.leak import Automaton, find_spans, leaked_spans, leaks, normalised, remove_spans
+from stratalog.llm.leak import Automaton, find_spans, leaked_spans, leaks, normalised, remove_spans, word_places
 from stratalog.llm.mime import text_parts
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -29,7 +29,7 @@ def brute(texts, passages, least):
 
 
 def found(texts, a):
-    return {(t, p) for t, _, _, _, got in find_spans(texts, a) for p in got}
+    return {(t, p) for t, _, _, _, _, got in find_spans(texts, [a]) for p in got}
 
 
 def test_automaton_against_brute_force():
@@ -47,7 +47,7 @@ def test_automaton_against_brute_force():
 
 def test_lengths_and_places():
     a = Automaton(["a b c d e f g", "x y z c d e q"], 3)
-    assert list(find_spans(["1 2 a b c d e q 9"], a)) == [(0, 0, 2, 5, {0, 1}), (0, 0, 4, 4, {1})]
+    assert list(find_spans(["1 2 a b c d e q 9"], [a])) == [(0, 0, 2, 5, 0, {0: 5, 1: 3}), (0, 0, 4, 4, 0, {1: 4})]
 
 
 PASSAGE = "The paper mill near Ivatorquen held 972 visitors, although nobody in Quénist had asked for an Account."
@@ -139,9 +139,29 @@ def test_leaks_frame(spark):
         assert f(docs, "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
 
 
-def test_many_passes(spark, monkeypatch):
+@pytest.mark.parametrize("max_words", [5, 30, 10**6])
+def test_many_automata_give_one_result(spark, monkeypatch, max_words):
+    """Two leaks of 20 words in a part of 49: however passages are dealt to automata, both go together."""
     from stratalog.llm import leak
 
-    monkeypatch.setattr(leak, "MAX_WORDS", 5)
+    monkeypatch.setattr(leak, "MAX_WORDS", max_words)
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    docs = spark.createDataFrame([(1, f"x y z {one} p q r {two} s t u"), (2, f"x y z {one} " + "w " * 60), (3, "none of it")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, one), (2, two), (3, two), (4, " ".join(one.split()[:15]) + " else")], "item_id bigint, passage string")
+    args = ("doc_id", "text", items, "item_id", "passage")
+    assert {tuple(r) for r in leaks(docs, *args).collect()} == {(1, 1, 20), (1, 2, 20), (1, 3, 20), (1, 4, 15), (2, 1, 20), (2, 4, 15)}
+    assert sorted(tuple(r) for r in leaked_spans(docs, *args).collect()) == [(1, 0, 3, 20), (1, 0, 26, 20), (2, 0, 3, 20)]
+    cleaned = {r.doc_id: r for r in remove_spans(docs, *args).collect()}
+    assert cleaned.keys() == {1, 2} and cleaned[1].kept_text is None and round(cleaned[1].coverage, 2) == 0.82
+    assert cleaned[2].kept_text.startswith("x y z  w w")
     docs, items = frames(spark)
     assert leaks(docs, "doc_id", "text", items, "item_id", "passage").count() == 4
+
+
+def test_word_places_keep_the_letters():
+    for s in ("İstanbul and İzmir, the STRASSE of Groß", "plain text", "a\u0345b c", "e\u0301tude X", "ǰx ΰy", ""):
+        own, at = word_places(s)
+        assert own == unicodedata.normalize("NFC", s) and len(at) == len(words(s))
+        assert all(own[b:e] for b, e in at)
+    own, at = word_places("İstanbul İzmir")
+    assert [own[b:e] for b, e in at] == ["İ", "stanbul", "İ", "zmir"]
