@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from stratalog.model import StorageFailure, fresh
 from stratalog.scratch import filesystem, staged
 
-#: Words of 64 positions up to which a version's bitmaps are broadcast: about 60 bytes each as a hash table, so 64 MB for 67 million rows.
-BROADCAST_WORDS = 1 << 20
+#: Words of 64 positions up to which a version's bitmaps are broadcast: about 160 bytes each as a hash table, so 42 MB for 16 million rows.
+BROADCAST_WORDS = 1 << 18
 #: Rows up to which a batch counts as small, and its keys are broadcast.
 SMALL_BATCH = 100_000
 
