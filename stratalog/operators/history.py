@@ -40,10 +40,11 @@ def history(observed: DataFrame, key: str, at: str, attrs: list[str], prefer: li
     which each takes the next event from the slices after it: so the rows of a key that has a third of the table are spread over tasks like any others."""
     spark = observed.sparkSession
     rows = observed.where(F.col(key).isNotNull() & F.col(at).isNotNull())
-    best = rows.groupBy(F.col(key).alias("k"), F.col(at).alias("at")).agg(F.max(F.struct(*(c.alias(f"p{i}") for i, c in enumerate(prefer)), F.struct(*attrs).alias("a"))).alias("best")).select("k", "at", F.col("best.a").alias("a"))
+    # the hash is the first to sort by, as numbers sort faster than texts
+    best = rows.groupBy(F.xxhash64(key, at).alias("h"), F.col(key).alias("k"), F.col(at).alias("at")).agg(F.max(F.struct(*(c.alias(f"p{i}") for i, c in enumerate(prefer)), F.struct(*attrs).alias("a"))).alias("best")).select("k", "at", F.col("best.a").alias("a"))
     snaps = global_row_number(best, ["k", "at"], "n")
     before = snaps.select("k", (F.col("n") + 1).alias("n"), "a")
-    events = snapshot_diff(before, snaps, ["k", "n"], ["a"], ["at"]).select("k", "n", "change", F.col("after.a").alias("a"), F.col("carried.at").alias("at"))
+    events = snapshot_diff(before, snaps, ["n", "k"], ["a"], ["at"]).select("k", "n", "change", F.col("after.a").alias("a"), F.col("carried.at").alias("at"))
 
     # a deletion and the insertion of the next key share a number; slices hold at most as many numbers as a range partition has rows on average
     total = snaps.count()
