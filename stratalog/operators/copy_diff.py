@@ -82,7 +82,8 @@ def copy_diff(local: DataFrame, remote: DataFrame, keys: list[str], fields: list
     cut = staged(ordered.mapInArrow(_distinct_runs([*k, "side", *f]), ordered.schema).mapInArrow(_chunker(every), schema), "chunks")
 
     dec = "decimal(38,0)"
-    prints = cut.groupBy("side", "chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*k, *f, nulls).cast(dec)).alias("s1"), F.sum(F.xxhash64(F.lit(7), nulls, *f, *k).cast(dec)).alias("s2"), F.max("again").alias("several"))
+    # the two hashes of a row, of its keys and of its fields, stand for it
+    prints = cut.groupBy("side", "chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("kh", "fh").cast(dec)).alias("s1"), F.sum(F.xxhash64(F.lit(7), "fh", "kh").cast(dec)).alias("s2"), F.max("again").alias("several"))
     prints = staged(prints, "prints")
     # a key at either end of a partition may have more rows in the next one: two chunks a partition and side
     ends = prints.groupBy("side", F.shiftright("chunk", 40).alias("p")).agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).select("side", F.explode(F.array("lo", "hi")).alias("chunk"))
@@ -91,7 +92,9 @@ def copy_diff(local: DataFrame, remote: DataFrame, keys: list[str], fields: list
     same = ["rows", "s1", "s2"]
     # what one side keeps the other one must keep too
     odd = [x.where("kept").unionByName(x.where("not kept").join(y.where("not kept").select(*same), same, "left_anti").select(*x.columns)) for x, y in ((a, b), (b, a))]
-    left = cut.join(odd[0].unionByName(odd[1]).select("side", "chunk"), ["side", "chunk"], "left_semi")
+    # written first, so that Spark knows its size: few chunks are broadcast, and the rows not moved
+    odd = staged(odd[0].unionByName(odd[1]).select("side", "chunk"), "odd")
+    left = cut.select("side", "chunk", *k, *f).join(odd, ["side", "chunk"], "left_semi")
 
     seen = [x for i, c in enumerate(f) for x in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.bool_or(F.col(c).isNull()).alias(f"null{i}"))]
     per = left.groupBy(*k).agg(F.bool_or(F.col("side") == 0).alias("l"), F.bool_or(F.col("side") == 1).alias("r"), *seen)
