@@ -79,7 +79,8 @@ def copy_diff(local: DataFrame, remote: DataFrame, keys: list[str], fields: list
     ordered = rows.repartitionByRange(n, *k, "fh").sortWithinPartitions(*k, "fh", "side", *f)
     # identical rows are neighbours here and must not count as several
     schema = T.StructType([*ordered.schema.fields, T.StructField("chunk", T.LongType()), T.StructField("again", T.BooleanType())])
-    cut = staged(ordered.mapInArrow(_distinct_runs([*k, "side", *f]), ordered.schema).mapInArrow(_chunker(every), schema), "chunks")
+    distinct, chunked = _distinct_runs([*k, "side", *f]), _chunker(every)
+    cut = staged(ordered.mapInArrow(lambda batches: chunked(distinct(batches)), schema), "chunks")
 
     dec = "decimal(38,0)"
     # the two hashes of a row, of its keys and of its fields, stand for it

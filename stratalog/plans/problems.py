@@ -89,7 +89,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     def copy(name: str) -> DataFrame:
         return table(spark, d, name).select(normal_namespace("namespace").alias("namespace"), "key", "value", "ts", F.lower("checksum").alias("checksum"))
 
-    found = copy_diff(copy("replica_local"), copy("replica_remote"), ["namespace", "key"], ["value", "ts", "checksum"])
+    # keys tell more rows apart than namespaces, so they sort first
+    found = copy_diff(copy("replica_local"), copy("replica_remote"), ["key", "namespace"], ["value", "ts", "checksum"])
     ranges = table(spark, d, "diff_ranges").withColumn("namespace", normal_namespace("namespace"))
     return range_lookup(found, ranges, "namespace", "key", "min_key", "max_key", "range_id").select("range_id", "namespace", key_hex().alias("key_hex"), "field")
 
