@@ -88,7 +88,7 @@ def copy_diff(local: DataFrame, remote: DataFrame, keys: list[str], fields: list
     prints = staged(prints, "prints")
     # a key at either end of a partition may have more rows in the next one: two chunks a partition and side
     ends = prints.groupBy("side", F.shiftright("chunk", 40).alias("p")).agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).select("side", F.explode(F.array("lo", "hi")).alias("chunk"))
-    prints = prints.join(F.broadcast(ends.distinct().withColumn("end", F.lit(True))), ["side", "chunk"], "left").withColumn("kept", F.col("several") | F.col("end").isNotNull())
+    prints = staged(prints.join(F.broadcast(ends.distinct().withColumn("end", F.lit(True))), ["side", "chunk"], "left").withColumn("kept", F.col("several") | F.col("end").isNotNull()), "kept")
     a, b = prints.where("side = 0"), prints.where("side = 1")
     same = ["rows", "s1", "s2"]
     # what one side keeps the other one must keep too
