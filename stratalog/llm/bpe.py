@@ -12,7 +12,7 @@ import pyarrow as pa
 from stratalog.llm.scan import Words, class_table, gather, identities, padded, text_bytes, token_starts
 
 #: Bytes of text that are held at once, and that are split at once. A longer text is held by itself.
-CHUNK, SLICE = 16 << 20, 1 << 20
+CHUNK, SLICE = 8 << 20, 1 << 20
 #: From so many places on a pair is merged by array operations.
 MANY = 48
 #: Words that a tokenizer remembers between chunks; beyond, it starts anew.
