@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.model import fresh
+
 
 def align_up(n: Column, block: int = 4096) -> Column:
     """n rounded up to a multiple of block."""
@@ -59,8 +61,24 @@ def tier_route(level: Column, mode: Column, usage: Column, threshold: float = 0.
     return F.struct(tier.alias("tier"), (usage >= threshold).alias("cold"))
 
 
+def tier_settings(mode: Column) -> Column:
+    """A struct (parallelism, compaction_threads) of a host's storage mode: moderate on a tiered one, sequential on hard disks alone, high on all others."""
+    parallelism = F.when(mode == "tiered", 4).when(mode == "hdd_only", 1).otherwise(8)
+    threads = F.when(mode == "tiered", 2).when(mode == "hdd_only", 1).otherwise(4)
+    return F.struct(parallelism.alias("parallelism"), threads.alias("compaction_threads"))
+
+
 def mount_match(paths: DataFrame, path: str, mounts: DataFrame, mount: str, device: str) -> DataFrame:
-    """paths with the device of the longest mount that prefixes the path, case ignored; null without one. A host's mounts are few and broadcast."""
-    m = mounts.select(F.col(mount).alias("__m"), F.col(device).alias(device))
-    j = paths.join(F.broadcast(m), F.lower(F.col(path)).startswith(F.lower("__m")), "left")
-    return j.groupBy(*paths.columns).agg(F.max_by(device, F.length("__m")).alias(device))
+    """paths with the device of the longest mount that prefixes the path, case ignored; null without one. Where a mount comes twice the greater device counts.
+
+    Each path goes in the lengths of the mounts that there are (a host has few) and meets equal mounts in a join on the text: no pairs are formed. Rows of
+    paths are told apart by their path, so repeated ones come out as often as they went in."""
+    m = mounts.where(F.col(mount).isNotNull()).groupBy(F.lower(F.col(mount)).alias("m")).agg(F.max(device).alias("d"))
+    lengths = [r[0] for r in m.select(F.char_length("m").alias("n")).distinct().limit(4097).collect()]
+    if len(lengths) > 4096:
+        raise ValueError("mounts of more than 4,096 different lengths")
+    p, d = fresh(paths, "p", "d")
+    asked = paths.select(F.col(path).alias("p")).where("p is not null").distinct()
+    heads = asked.select("p", F.explode(F.array(*(F.when(F.char_length("p") >= n, F.substring(F.lower("p"), 1, n)) for n in sorted(lengths)))).alias("m")) if lengths else asked.select("p", F.lit("").alias("m")).limit(0)
+    best = heads.join(m, "m").groupBy("p").agg(F.max_by("d", F.char_length("m")).alias(d)).withColumnRenamed("p", p)
+    return paths.join(best, F.col(path) == F.col(p), "left").withColumn(device, F.col(d)).drop(p, d)

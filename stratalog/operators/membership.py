@@ -38,4 +38,4 @@ def random_members(members: DataFrame, n: int, seed: int, exclude: str | None =
     rows = alive(members)
     if exclude is not None:
         rows = rows.where(F.col("node_id") != exclude)
-    return rows.orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(n)
+    return rows.orderBy(F.md5(F.concat_ws("/", F.lit(seed).cast("string"), "node_id")), "node_id").limit(n)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from stratalog.model import fresh
 from stratalog.scratch import staged
 
-
 VNODES = 256
-#: Rings up to so many positions are held as an array in the plan and searched by every row.
-RING_BOUND = 65_536
+#: Bits of a place on the ring, and the last place.
+POSITION_BITS = 60
+LAST = (1 << POSITION_BITS) - 1
 
 
 def position(label: Column) -> Column:
@@ -27,44 +28,62 @@ def ring(nodes: DataFrame, vnodes: int = VNODES) -> DataFrame:
     return v.groupBy(position(F.concat_ws(":", "node_id", F.col("i").cast("string"))).alias("position")).agg(F.min("node_id").alias("node_id"))
 
 
-def _held(r: DataFrame) -> list[tuple[int, str]]:
-    rows = r.orderBy("position").limit(RING_BOUND + 1).collect()
-    if len(rows) > RING_BOUND:
-        raise ValueError(f"a ring of more than {RING_BOUND} positions")
-    return [(x["position"], x["node_id"]) for x in rows]
+def _walks(r: DataFrame, n: int) -> DataFrame:
+    """(low, high, walk): the stretches between neighbouring positions of the ring, both ends included, and the next n distinct nodes clockwise from each, fewer if
+    there are fewer nodes. The stretch past the last position has the walk of the first.
 
+    Going backwards, a position's walk is its own node and the walk of the position after it without that node. A ring is metadata of a cluster; its
+    rows stream through one task in order, which holds one walk, twice around so that the first lap knows what lies past the end."""
+    laps = r.select("position", "node_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("lap"))
 
-def owner(keys: DataFrame, key: str, r: DataFrame, out: str = "owner") -> DataFrame:
-    """keys with the node at the first position not below the key's, or at the smallest position past the end; null on an empty ring.
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk: list[str] = []
+        above: tuple[int, list[str]] | None = None  # the position before, whose stretch ends above this one
+        top = 0
+
+        def made(rows: list[tuple[int, int, list[str]]]) -> pa.RecordBatch:
+            low, high, walks = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(walks, pa.list_(pa.string()))], names=["low", "high", "walk"])
 
-    The ring is bounded by RING_BOUND, held sorted by every Python worker and searched by bisection, so keys don't move."""
-    return replicas(keys, key, r, 1, "__owners").withColumn(out, F.element_at("__owners", F.when(F.size("__owners") > 0, 1))).drop("__owners")
+        for b in batches:
+            out = []
+            for p, node, lap in zip(*(b.column(c).to_pylist() for c in ("position", "node_id", "lap")), strict=True):
+                walk = [node, *(x for x in walk if x != node)][:n]
+                if lap:
+                    if above is None:
+                        top = p
+                    else:
+                        out.append((p + 1, *above))
+                    above = p, walk
+            yield made(out)
+        if above is not None:
+            yield made([(0, *above), (top + 1, LAST, above[1])])
+
+    return laps.repartition(1).sortWithinPartitions("lap", F.desc("position")).mapInArrow(back, "low bigint, high bigint, walk array<string>")
+
+
+def owner(keys: DataFrame, key: str, r: DataFrame, out: str = "owner") -> DataFrame:
+    """keys with the node at the first position not below the key's, or at the smallest position past the end; null on an empty ring and for a null key."""
+    (walk,) = fresh(keys, "walk")
+    return replicas(keys, key, r, 1, walk).withColumn(out, F.element_at(walk, F.when(F.size(walk) > 0, 1))).drop(walk)
 
 
 def replicas(keys: DataFrame, key: str, r: DataFrame, n: int, out: str = "replicas") -> DataFrame:
-    """keys with the next n distinct nodes clockwise from the key's position, fewer if there are fewer nodes.
-
-    The walk is done once for each of the ring's bounded number of positions; a key takes its position's result."""
-    held = _held(r)
-    at, walks = np.array([p for p, _ in held], np.int64), []
-    nodes = [x for _, x in held]
-    distinct = len(set(nodes))
-    for i in range(len(nodes)):
-        seen: dict[str, None] = {}
-        j = i
-        while len(seen) < min(n, distinct):
-            seen.setdefault(nodes[j % len(nodes)])
-            j += 1
-        walks.append(list(seen))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def walk(p: pd.Series) -> pd.Series:
-        if not len(at):
-            return pd.Series([[]] * len(p))
-        i = np.searchsorted(at, p.to_numpy(), "left") % len(at)
-        return pd.Series([walks[k] for k in i])
-
-    return keys.withColumn(out, walk(position(F.col(key))))
+    """keys with the next n distinct nodes clockwise from the key's position, fewer if there are fewer nodes; none for a null key.
+
+    The circle is cut into as many equal cells as the ring has positions, rounded up to a power of two, and each cell has the few stretches of the ring that
+    meet it. A key meets its cell in an equi-join. Positions are hashes, so cells are even, and a ring of any size is joined like any table; Spark broadcasts it
+    while it is small, and keys don't move."""
+    walks = staged(_walks(r, n), "ring")
+    bits = min(40, walks.count().bit_length())
+    cell, held = fresh(keys, "cell", "held")
+    of = lambda c: F.shiftright(c, POSITION_BITS - bits)
+    met = walks.select(F.explode(F.sequence(of("low"), of("high"))).alias(cell), F.struct("high", "walk").alias("s"))
+    cells = staged(met.groupBy(cell).agg(F.sort_array(F.collect_list("s")).alias(held)), "cells")
+    at = position(F.col(key))
+    placed = keys.withColumn(cell, of(at)).join(cells, cell, "left")
+    found = F.filter(held, lambda s: s["high"] >= at)
+    return placed.withColumn(out, F.coalesce(F.get(found, F.lit(0))["walk"], F.array().cast("array<string>"))).drop(cell, held)
 
 
 def ring_stats(r: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import codecs, scalars
 from stratalog.model import StoreConfig, has_key, key_hex, normal_namespace
-from stratalog.operators import catalog, compaction, membership, placement, reads, repair, segments, writes
+from stratalog.operators import catalog, compaction, membership, placement, reads, repair, segments, wal, writes
+from stratalog.operators.ordered import global_row_number, running_sum
 from stratalog.operators.resolve import latest, live, merge_runs, versions
 from stratalog.plans import fixtures as fx
 from stratalog.plans.problems import KEYED, entries
@@ -50,16 +51,10 @@ def merge_runs_(spark: SparkSession, d: str) -> DataFrame:
     return hexed(merge_runs(log.where("ts % 2 = 0"), log.where("ts % 2 = 1"), fx.orders_log(spark, d)), "ts")
 
 
-@query("l0_best", f"select namespace, {HEX}, ts from {fx.newest(f'(select * from {fx.SEGMENTED} where segment < 4)')} where value is not null")
+@query("l0_best", f"select namespace, {HEX}, ts from {fx.newest(f'(select * from {fx.EIGHTHS} where segment >= 4)')} where value is not null")
 def l0_best(spark: SparkSession, d: str) -> DataFrame:
-    """The best of the first four, overlapping runs."""
-    return hexed(live(fx.segmented(spark, d).where("segment < 4")), "ts")
-
-
-@query("l0_best_eighths", f"select namespace, {HEX}, ts from {fx.newest(f'(select * from {fx.EIGHTHS} where segment < 4)')} where value is not null")
-def l0_best_eighths(spark: SparkSession, d: str) -> DataFrame:
-    """The best of four overlapping runs that are half of the table at every size; l0_best's SQL has a fixed prefix, event_id < 5000."""
-    return hexed(live(fx.eighths(spark, d).where("segment < 4")), "ts")
+    """The best of four overlapping runs, the newer half of the table at every size."""
+    return hexed(live(fx.eighths(spark, d).where("segment >= 4")), "ts")
 
 
 # reads
@@ -168,6 +163,30 @@ def replay_idempotent(spark: SparkSession, d: str) -> DataFrame:
     return hexed(live(log.unionByName(log).unionByName(log.where("ts % 5 = 0"))), "ts")
 
 
+#: 8 bytes of header a record.
+_FRAMED = f"(select *, cast(sum({{size}} + 8) over (order by ts rows unbounded preceding) - {{size}} - 8 as bigint) // 65536 as file from {fx.EVENTS})"
+
+
+@query(
+    "log_replay",
+    f"""with f as {_FRAMED.replace("{size}", "(19 + octet_length(key) + coalesce(octet_length(value), 0) + strlen(namespace) - 2)")}, l as (select *, row_number() over (partition by file order by ts desc) = 1 and file % 3 = 0 as cut from f)
+select file, case when cut then 'truncated' when ts % 101 = 0 then 'bad_crc' else 'entry' end as outcome, case when not cut and ts % 101 <> 0 then namespace end as namespace, case when not cut and ts % 101 <> 0 then lower(hex(key)) end as key_hex,
+  case when not cut and ts % 101 <> 0 then lower(hex(value)) end as value_hex, case when not cut and ts % 101 <> 0 then ts end as ts from l""",
+)
+def log_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Log files of 64 KiB after a crash: a byte is wrong in every 101st record, and every third file lacks its last bytes."""
+    e = fx.events_log(spark, d)
+    whole = wal.log_files(e, "ts", 1 << 16)
+    placed = wal.replay(whole, "file", "content").where("ts % 101 = 0").select(F.col("file").alias("f"), "at")
+    # the last byte of a record's header is changed
+    wrong = placed.groupBy("f").agg(F.sort_array(F.collect_list(F.col("at") + 8)).alias("at"))
+    other = lambda c, i: F.concat(c.substr(F.lit(1), (i - 1).cast("int")), F.when(c.substr(i.cast("int"), F.lit(1)) == reads.lit_bytes(b"\x55"), reads.lit_bytes(b"\xaa")).otherwise(reads.lit_bytes(b"\x55")), c.substr((i + 1).cast("int"), F.lit(1 << 30)))
+    damaged = whole.join(wrong, F.col("file") == F.col("f"), "left").withColumn("content", F.aggregate(F.coalesce("at", F.array().cast("array<bigint>")), F.col("content"), other))
+    cut = damaged.withColumn("content", F.when(F.col("file") % 3 == 0, F.col("content").substr(F.lit(1), (F.octet_length("content") - 3).cast("int"))).otherwise(F.col("content")))
+    r = wal.replay(cut, "file", "content")
+    return r.select("file", "outcome", "namespace", key_hex().alias("key_hex"), key_hex("value").alias("value_hex"), "ts")
+
+
 @query("op_metrics", f"select count(*) filter (op = 'put' and ok) as writes, count(*) filter (op = 'get') as reads, count(*) filter (op = 'delete' and ok) as deletes from {fx.OPS}")
 def op_metrics(spark: SparkSession, d: str) -> DataFrame:
     return writes.op_counters(fx.op_log(spark, d))
@@ -229,42 +248,62 @@ def segment_pruning(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", segments.may_hold(reads.lit_bytes("user:")).alias("for_get"), segments.in_scan(reads.lit_bytes(_LO), reads.lit_bytes(_HI)).alias("for_scan"))
 
 
-@query("block_layout")
+_BLOCKS = f"""(with recursive s as (select segment, namespace, key, sz, row_number() over w as n, sum(sz) over (w rows unbounded preceding) as upto from (select *, {_SIZE} as sz from {fx.SEGMENTED}) window w as (partition by segment order by namespace, key, ts desc)),
+x as (select segment, n, min(n) over (partition by segment order by upto range between greatest(4097 - sz, 1) following and unbounded following) as nxt from s),
+k as (select segment, 1::bigint as n, 0::bigint as block from s where n = 1 union all select k.segment, x.nxt, block + 1 from k join x using (segment, n) where x.nxt is not null),
+r as (select s.*, last_value(k.block ignore nulls) over (partition by s.segment order by s.n) as block from s left join k using (segment, n))
+select segment, block, arg_min(namespace, n) as first_namespace, arg_min(key, n) as first_key, arg_max(namespace, n) as last_namespace, arg_max(key, n) as last_key, count(*) as entries, sum(sz)::bigint as bytes from r group by 1, 2)"""
+
+
+@query("block_layout", f"select segment, block, first_namespace, lower(hex(first_key)) as first_hex, last_namespace, lower(hex(last_key)) as last_hex, entries, bytes from {_BLOCKS}")
 def block_layout(spark: SparkSession, d: str) -> DataFrame:
     b = segments.block_layout(fx.segmented(spark, d), "segment")
-    return b.select("segment", "slice", "block", "first_namespace", key_hex("first_key").alias("first_hex"), "last_namespace", key_hex("last_key").alias("last_hex"), "entries", "bytes")
+    return b.select("segment", "block", "first_namespace", key_hex("first_key").alias("first_hex"), "last_namespace", key_hex("last_key").alias("last_hex"), "entries", "bytes")
 
 
 @query(
     "block_lookup",
-    f"""with s as (select *, row_number() over (partition by segment order by namespace, key, ts desc) - 1 as n from {fx.SEGMENTED} where namespace = 'click'),
-b as (select segment, n // 32 as block, min(key) as first_key, max(key) as last_key from s group by 1, 2)
-select segment, block, lower(hex(first_key)) as first_hex, lower(hex(last_key)) as last_hex from (select *, row_number() over (partition by segment order by first_key desc, block desc) as r from b where first_key <= 'user_000050'::blob) where r = 1 and last_key >= 'user_000050'::blob""",
+    f"""select segment, block, first_namespace, lower(hex(first_key)) as first_hex, last_namespace, lower(hex(last_key)) as last_hex from (select *, row_number() over (partition by segment order by first_namespace desc, first_key desc, block desc) as r
+  from {_BLOCKS} where first_namespace < 'view' or first_namespace = 'view' and first_key <= 'user_000011'::blob) where r = 1 and (last_namespace > 'view' or last_namespace = 'view' and last_key >= 'user_000011'::blob)""",
 )
 def block_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of 32 entries of one namespace, sought for one key."""
-    from pyspark.sql import Window
+    """The blocks of block_layout, over all namespaces, sought for one key of the last namespace."""
+    b = segments.block_lookup(segments.block_layout(fx.segmented(spark, d), "segment"), F.lit("view"), reads.lit_bytes("user_000011"))
+    return b.select("segment", "block", "first_namespace", key_hex("first_key").alias("first_hex"), "last_namespace", key_hex("last_key").alias("last_hex"))
 
-    w = Window.partitionBy("segment").orderBy("namespace", "key", F.desc("ts"))
-    rows = fx.segmented(spark, d).where("namespace = 'click'").withColumn("block", ((F.row_number().over(w) - 1) / 32).cast("bigint"))
-    blocks = rows.groupBy("segment", "block").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")).withColumn("slice", F.lit(0))
-    blocks = blocks.withColumns({"first_namespace": F.lit("click"), "last_namespace": F.lit("click")})
-    return segments.block_lookup(blocks, F.lit("click"), reads.lit_bytes("user_000050")).select("segment", "block", key_hex("first_key").alias("first_hex"), key_hex("last_key").alias("last_hex"))
 
+_DIGEST = "('0x' || substr(md5(namespace || '/' || lower(hex(key)) || '/' || coalesce(lower(hex(value)), '-') || '/' || ts), 1, 15))::bigint"
+_SUMS = "(select segment, count(*) as n, sum({0}::hugeint) as s from {1} group by 1)"
+_DAMAGED = f"(select namespace, key, case when ts % 1009 = 0 then '!'::blob else value end as value, ts, segment from {fx.SEGMENTED} where ts % 2003 <> 5 and segment <> 2)"
 
-@query("block_lookup_layout")
-def block_lookup_layout(spark: SparkSession, d: str) -> DataFrame:
-    """The blocks of block_layout, over all namespaces, sought for one key of the last namespace."""
-    b = segments.block_lookup(segments.block_layout(fx.segmented(spark, d), "segment"), F.lit("view"), reads.lit_bytes("user_000011"))
-    return b.select("segment", "slice", "block", "first_namespace", key_hex("first_key").alias("first_hex"), "last_namespace", key_hex("last_key").alias("last_hex"))
+
+@query(
+    "segment_verify",
+    f"select segment, m.n as entry_count, coalesce(a.n, 0) as found, m.n is not distinct from a.n and m.s is not distinct from a.s as intact from {_SUMS.format(_DIGEST, fx.SEGMENTED)} m left join {_SUMS.format(_DIGEST, _DAMAGED)} a using (segment)",
+)
+def segment_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Segments whose values were changed, that lack entries, or that are gone."""
+    e = fx.segmented(spark, d)
+    value = F.when(F.col("ts") % 1009 == 0, reads.lit_bytes("!")).otherwise(F.col("value"))
+    return segments.verify(segments.checksums(e, ["segment"]), e.withColumn("value", value).where("ts % 2003 <> 5 and segment <> 2"), "segment")
 
 
-@query("active_segments", "select row_number() over (order by level, min_key, id)::int as n, id, level, file_name from sstable_manifest where compacted = 0")
+@query("active_segments", "select row_number() over (order by level, min_key, id) as n, id, level, file_name from sstable_manifest where compacted = 0")
 def active_segments(spark: SparkSession, d: str) -> DataFrame:
-    """The catalog in order of level and key; it has one row a segment, so one task numbers it."""
-    from pyspark.sql import Window
+    """The catalog in order of level and key."""
+    return global_row_number(compaction.active(table(spark, d, "sstable_manifest")).select("id", "level", "min_key", "file_name"), ["level", "min_key", "id"], "n").select("n", "id", "level", "file_name")
+
+
+@query("segment_retire", "select id, level, file_name from sstable_manifest where compacted = 0 and level <> 0")
+def segment_retire(spark: SparkSession, d: str) -> DataFrame:
+    """All of level 0 marked as compacted, and compacted segments purged."""
+    m = table(spark, d, "sstable_manifest")
+    return catalog.purge(catalog.retire(m, m.where("level = 0").select("id"))).select("id", "level", "file_name")
 
-    return compaction.active(table(spark, d, "sstable_manifest")).select(F.row_number().over(Window.orderBy("level", "min_key", "id")).alias("n"), "id", "level", "file_name")
+
+@query("level_totals", "select count(*) as segments, sum(file_size)::bigint as bytes, sum(entry_count)::bigint as entries from sstable_manifest where compacted = 0")
+def level_totals(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.active(table(spark, d, "sstable_manifest")).agg(F.count(F.lit(1)).alias("segments"), F.sum("file_size").alias("bytes"), F.sum("entry_count").alias("entries"))
 
 
 @query("level_counts", "select level, count(*) as segments from sstable_manifest where compacted = 0 group by level")
@@ -287,15 +326,11 @@ def level_limits(spark: SparkSession, d: str) -> DataFrame:
 # compaction
 
 
-@query("compact_l0", f"select namespace, {HEX}, ts from {fx.newest(f'(select * from {fx.SEGMENTED} where segment < 4)')}")
+@query("compact_l0", f"select namespace, {HEX}, ts from {fx.newest(fx.EIGHTHS)}")
 def compact_l0(spark: SparkSession, d: str) -> DataFrame:
-    return hexed(compaction.compact(fx.segmented(spark, d).where("segment < 4")), "ts")
-
-
-@query("compact_l0_eighths", f"select namespace, {HEX}, ts from {fx.newest(f'(select * from {fx.EIGHTHS} where segment < 4)')}")
-def compact_l0_eighths(spark: SparkSession, d: str) -> DataFrame:
-    """Level 0 as half of the table at every size; compact_l0's SQL has a fixed prefix, event_id < 5000."""
-    return hexed(compaction.compact(fx.eighths(spark, d).where("segment < 4")), "ts")
+    """Level 0 is the newer half of the table in four runs, level 1 the older half, merged before; both go into a new level 1."""
+    e = fx.eighths(spark, d)
+    return hexed(compaction.compact(e.where("segment >= 4").drop("segment").unionByName(compaction.compact(e.where("segment < 4")))), "ts")
 
 
 @query("compact_keep", f"select namespace, {HEX}, ts from {fx.newest(fx.EVENTS)}")
@@ -335,11 +370,19 @@ def compaction_plan_level(spark: SparkSession, d: str) -> DataFrame:
 # catalog and metrics
 
 
-@query("config_upsert", "select v.* from (values ('bloom_fpp', '0.01', 1), ('memtable_size_mb', '64', 2), ('mode', 'tiered', 3)) v(name, value, seq)")
+@query("config_upsert", "select p_type as name, arg_max(p_name, p_partkey) as value, max(p_partkey) as seq from part group by p_type")
 def config_upsert(spark: SparkSession, d: str) -> DataFrame:
-    now = spark.createDataFrame([("memtable_size_mb", "32", 1), ("bloom_fpp", "0.01", 1)], "name string, value string, seq int")
-    new = spark.createDataFrame([("memtable_size_mb", "64", 2), ("mode", "tiered", 3)], "name string, value string, seq int")
-    return catalog.upsert(now, new, ["name"], "seq")
+    """Settings by kind of part, of which later numbers overwrite earlier ones; some are there, others change or come new."""
+    p = table(spark, d, "part").select(F.col("p_type").alias("name"), F.col("p_name").alias("value"), F.col("p_partkey").alias("seq"))
+    now = catalog.upsert(p.limit(0), p.where("seq % 3 = 0"), ["name"], "seq")
+    return catalog.upsert(now, p.where("seq % 3 <> 0"), ["name"], "seq")
+
+
+@query("config_get", "select p_type as name, arg_max(p_name, p_partkey) as value from part where p_type in (select p_type from part where p_partkey % 100 = 1) group by p_type")
+def config_get(spark: SparkSession, d: str) -> DataFrame:
+    """The settings that are asked for, after all changes."""
+    asked = table(spark, d, "part").where("p_partkey % 100 = 1").select(F.col("p_type").alias("name")).distinct()
+    return config_upsert(spark, d).join(asked, "name", "left_semi").select("name", "value")
 
 
 _MEMBER = "(select node_id, address, lower(trim(state)) as state, incarnation, snapshot_id as seq from node_snapshots where state is not null)"
@@ -381,9 +424,20 @@ def membership_timeout(spark: SparkSession, d: str) -> DataFrame:
     return membership.timeouts(e, 1_900_000_000_000_000, 600_000_000)
 
 
-@query("schema_version", "select 1 as version")
+def _migrations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("version"), F.col("n_name").alias("description"))
+
+
+@query("schema_version", "select max(n_nationkey) + 1 as version from nation where n_regionkey <= 2")
 def schema_version(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.schema_version(spark.createDataFrame([(1, "initial")], "version int, name string"))
+    """Nations as migrations, of which some are applied."""
+    return catalog.schema_version(_migrations(spark, d).join(table(spark, d, "nation").where("n_regionkey <= 2").select((F.col("n_nationkey") + 1).alias("version")), "version", "left_semi"))
+
+
+@query("pending_migrations", "select n_nationkey + 1 as version, n_name as description from nation where n_nationkey >= 17")
+def pending_migrations(spark: SparkSession, d: str) -> DataFrame:
+    m = _migrations(spark, d)
+    return catalog.pending_migrations(m.where("version <= 17"), m)
 
 
 @query("cluster_status", f"select count(*) as total_nodes, count(*) filter (state = 'alive') as alive_nodes, count(*) filter (state = 'alive') < count(*) as degraded from {_MERGED}")
@@ -397,12 +451,18 @@ def node_info(spark: SparkSession, d: str) -> DataFrame:
     return m.select("node_id", "address", catalog.member_state(F.col("state")).alias("node_state"), "incarnation")
 
 
-@query("status_json")
+_STATE = "case state when 'alive' then 'ACTIVE' when 'suspected' then 'SUSPECTED' when 'dead' then 'DEAD' when 'left' then 'LEFT' else 'UNKNOWN' end"
+
+
+@query(
+    "status_json",
+    f"""select to_json({{'total_nodes': count(*), 'alive_nodes': count(*) filter (state = 'alive'), 'nodes': list({{'node_id': node_id, 'address': address, 'state': {_STATE}, 'incarnation': incarnation}} order by node_id)}})::varchar as status from {_MERGED}""",
+)
 def status_json(spark: SparkSession, d: str) -> DataFrame:
     return catalog.status_json(membership.merge_updates(_updates(spark, d)))
 
 
-@query("random_members")
+@query("random_members", f"select node_id, address from {_MERGED} where state = 'alive' and node_id <> 'node-00000' order by md5('42/' || node_id), node_id limit 3")
 def random_members(spark: SparkSession, d: str) -> DataFrame:
     """Three relays for a probe by the first node; the limit is the feature."""
     return membership.random_members(membership.merge_updates(_updates(spark, d)), 3, 42, "node-00000").select("node_id", "address")
@@ -414,6 +474,67 @@ def prometheus_lines(spark: SparkSession, d: str) -> DataFrame:
     return s.select(catalog.prometheus_line("store", F.lit("level_segments"), F.col("segments"), [("level", F.col("level"))]).alias("line"))
 
 
+_COUNTS = f"(select count(*) filter (op = 'put' and ok) as writes_total, count(*) filter (op = 'get') as reads_total, count(*) filter (op = 'delete' and ok) as deletes_total, count(*) filter (op = 'get' and ok) as cache_hits_total, count(*) filter (op = 'get' and not ok) as cache_misses_total from {fx.OPS})"
+_TAIL = "(select count(*) as memtable_entries, coalesce(sum(19 + octet_length(key) + coalesce(octet_length(value), 0) + strlen(namespace) - 2), 0)::bigint as memtable_size_bytes from entries where sstable_id is null)"
+_ENGINE = f"""(with entries as (select sstable_id, key, value, case when coalesce(namespace, '') = '' then 'default' else namespace end as namespace from entry_log where key is not null and octet_length(key) > 0)
+select *, memtable_size_bytes + 8 * memtable_entries as wal_size_bytes, (select count(*) from sstable_manifest where compacted = 0) as sstable_count, (select sum(file_size)::bigint from sstable_manifest where compacted = 0) as disk_bytes_total,
+  coalesce(cache_hits_total / nullif(cache_hits_total + cache_misses_total, 0), 0)::double as cache_hit_rate from {_COUNTS}, {_TAIL})"""
+
+
+@query("engine_metrics", f"select * from {_ENGINE}")
+def engine_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of the operation log, what isn't flushed yet, and the catalog's totals: one row each, set side by side."""
+    ops = fx.op_log(spark, d)
+    gets = ops.where("op = 'get'").agg(F.count_if("ok").alias("cache_hits_total"), F.count_if(~F.col("ok")).alias("cache_misses_total"))
+    counts = writes.op_counters(ops).toDF("writes_total", "reads_total", "deletes_total")
+    tail = entries(spark, d).where("sstable_id is null").agg(F.count(F.lit(1)).alias("memtable_entries"), F.coalesce(F.sum(writes.encoded_size().cast("bigint")), F.lit(0)).alias("memtable_size_bytes"))
+    files = level_totals(spark, d).select(F.col("segments").alias("sstable_count"), F.col("bytes").alias("disk_bytes_total"))
+    one = counts.withColumn("one", F.lit(1))
+    for x in (gets, tail, files):
+        one = one.join(x.withColumn("one", F.lit(1)), "one")
+    wal_bytes = F.col("memtable_size_bytes") + wal.HEADER_BYTES * F.col("memtable_entries")
+    return one.drop("one").withColumns({"wal_size_bytes": wal_bytes, "cache_hit_rate": catalog.hit_rate(F.col("cache_hits_total"), F.col("cache_misses_total"))})
+
+
+def _metric_sql(i: int, name: str, kind: str, text: str) -> str:
+    value = f"printf('%.4f', {name})" if name == "cache_hit_rate" else f"{name}"
+    return f"""select {3 * i} as n, '# HELP store_{name} {text}' as line union all select {3 * i + 1}, '# TYPE store_{name} {kind}' union all select {3 * i + 2}, 'store_{name}{{node="node-1"}} ' || {value} from e"""
+
+
+@query(
+    "metrics_text",
+    f"with e as materialized (select * from {_ENGINE}) "
+    + " union all ".join(_metric_sql(i, *m) for i, m in enumerate(catalog.METRICS) if m[0] not in ("uptime_seconds", "cache_used_bytes"))
+    + f""" union all select {3 * len(catalog.METRICS)} + level, 'store_sstable_level_count{{node="node-1",level="L' || level || '"}} ' || count(*) from sstable_manifest where compacted = 0 group by level""",
+)
+def metrics_text(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics page, but for the clock and the cache's bytes, which no table has."""
+    return catalog.metrics_text(engine_metrics(spark, d), compaction.level_sizes(table(spark, d, "sstable_manifest")), "store", "node-1")
+
+
+def _accesses(spark: SparkSession, d: str) -> DataFrame:
+    op = F.when(F.col("op") == "put", "insert").when(F.col("op") == "delete", "invalidate").otherwise("get")
+    return fx.op_log(spark, d).select((F.col("event_id") % 7).alias("node"), F.col("event_id").alias("access"), F.col("user_id").alias("block"), op.alias("op"), F.lit(4096).alias("size"))
+
+
+@query(
+    "cache_replay",
+    f"""with a as (select event_id % 7 as node, event_id as access, user_id as block, op from {fx.OPS}), w as (select *, last_value(case when op = 'get' then null else op end ignore nulls) over (partition by node, block order by access rows between unbounded preceding and 1 preceding) as was,
+  4096 * case when op = 'put' then 1 when op = 'delete' then -1 else 0 end as change from a)
+select node, access, block, op = 'get' and was is not distinct from 'put' as hit, sum(case when op = 'put' and was is distinct from 'put' then 4096 when op = 'delete' and was is not distinct from 'put' then -4096 else 0 end) over (partition by node order by access)::bigint as used from w""",
+)
+def cache_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Seven nodes' caches, so large that nothing is pushed out."""
+    r = catalog.cache_replay(_accesses(spark, d), "node", "access", "block", "op", "size", 1 << 40)
+    return r.select("node", "access", "block", F.coalesce("hit", F.lit(False)).alias("hit"), "used")
+
+
+@query("cache_evictions")
+def cache_evictions(spark: SparkSession, d: str) -> DataFrame:
+    """The same with room for twenty blocks each. What is pushed out depends on all accesses before, so there is no SQL."""
+    return catalog.cache_stats(catalog.cache_replay(_accesses(spark, d), "node", "access", "block", "op", "size", 20 * 4096), "node", "access")
+
+
 @query(
     "write_rate",
     f"""with h as (select event_id // 100 as sample, count(*) filter (op = 'put' and ok) as w from {fx.OPS} group by 1), c as (select sample * 2000000 as at_us, sum(w) over (order by sample)::bigint as writes from h),
@@ -422,8 +543,6 @@ select at_us, writes, round(rate, 6) as rate, round(avg(rate) over (order by at_
 )
 def write_rate(spark: SparkSession, d: str) -> DataFrame:
     """A poll every two seconds, 100 operations apart."""
-    from stratalog.operators.ordered import running_sum
-
     h = fx.op_log(spark, d).groupBy(F.expr("event_id div 100").alias("sample")).agg(F.count_if((F.col("op") == "put") & F.col("ok")).alias("w"))
     polls = running_sum(h, ["sample"], F.col("w"), "writes").select((F.col("sample") * 2_000_000).alias("at_us"), "writes")
     r = catalog.write_rate(polls, "at_us", "writes")
@@ -517,35 +636,19 @@ def bloom_sizing(spark: SparkSession, d: str) -> DataFrame:
 _BP = "list_transform(range(hashes), lambda i: (('0x' || substr(md5(k), 1, 8))::bigint + i * ('0x' || substr(md5(k), 9, 8))::bigint) % bits)"
 
 
-def _bloom_probe(spark: SparkSession, d: str, segmented: DataFrame) -> DataFrame:
-    log = segmented.select("segment", key_hex().alias("k"))
-    users = table(spark, d, "customer").select((F.col("c_custkey") % 8).alias("segment"), F.lower(F.hex(F.encode(F.format_string("user_%06d", "c_custkey"), "UTF-8"))).alias("k"))
-    asked = log.select((F.col("segment") + 1).alias("segment"), "k").unionByName(users)
-    return placement.bloom_probe(asked, "segment", "k", placement.bloom_build(log, "segment", "k", 0.01)).withColumnRenamed("k", "key_hex")
-
-
 @query(
     "bloom_probe",
-    f"""with k as (select distinct segment, lower(hex(key)) as k from {fx.SEGMENTED}), s as (select segment, n, bits, least(greatest(ceil(bits / n * ln(2.0)), 1), 30)::int as hashes from (select segment, n, {_BITS.format('0.01')} as bits from (select segment, count(*) as n from k group by 1))),
-b as (select distinct segment, unnest({_BP}) as p from k join s using (segment)), q as (select segment + 1 as segment, k from k union select c_custkey % 8, lower(hex(encode(printf('user_%06d', c_custkey)))) from customer),
-a as (select k, segment, unnest({_BP}) as p from q join s using (segment))
-select k as key_hex, segment, bool_and(b.p is not null) as maybe from a left join b using (segment, p) group by 1, 2""",
-)
-def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
-    """Filters of each segment, asked for the keys of the segment before and for customer numbers as users."""
-    return _bloom_probe(spark, d, fx.segmented(spark, d))
-
-
-@query(
-    "bloom_probe_eighths",
     f"""with k as (select distinct segment, lower(hex(key)) as k from {fx.EIGHTHS}), s as (select segment, n, bits, least(greatest(ceil(bits / n * ln(2.0)), 1), 30)::int as hashes from (select segment, n, {_BITS.format('0.01')} as bits from (select segment, count(*) as n from k group by 1))),
 b as (select distinct segment, unnest({_BP}) as p from k join s using (segment)), q as (select segment + 1 as segment, k from k union select c_custkey % 8, lower(hex(encode(printf('user_%06d', c_custkey)))) from customer),
 a as (select k, segment, unnest({_BP}) as p from q join s using (segment))
 select k as key_hex, segment, bool_and(b.p is not null) as maybe from a left join b using (segment, p) group by 1, 2""",
 )
-def bloom_probe_eighths(spark: SparkSession, d: str) -> DataFrame:
-    """bloom_probe over eight segments at every size, so that customers, who are dealt to eight, ask each filter."""
-    return _bloom_probe(spark, d, fx.eighths(spark, d))
+def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Filters of eight segments, asked for the keys of the segment before and for customer numbers as users, who are dealt to all of them."""
+    log = fx.eighths(spark, d).select("segment", key_hex().alias("k"))
+    users = table(spark, d, "customer").select((F.col("c_custkey") % 8).alias("segment"), F.lower(F.hex(F.encode(F.format_string("user_%06d", "c_custkey"), "UTF-8"))).alias("k"))
+    asked = log.select((F.col("segment") + 1).alias("segment"), "k").unionByName(users)
+    return placement.bloom_probe(asked, "segment", "k", placement.bloom_build(log, "segment", "k", 0.01)).withColumnRenamed("k", "key_hex")
 
 
 # repair
@@ -561,7 +664,10 @@ def _hash_rows(df: DataFrame) -> DataFrame:
 
 
 def _leaves(log: str) -> str:
-    return f"(select leaf, sha256(string_agg(h, '' order by k)) as hash, min(k) as min_key, max(k) as max_key, count(*) as cnt from (select k, h, ((row_number() over (order by k) - 1) // (select ceil(count(*) / least(64, count(*)))::bigint from {_hashed(log)}))::int as leaf from {_hashed(log)}) group by leaf)"
+    """A tree of two levels, which holds leaves of up to 4096 ** 2 rows."""
+    placed = f"(select k, h, row_number() over (order by k) - 1 as n0, (select ceil(count(*) / least(64, count(*)))::bigint from {_hashed(log)}) as size from {_hashed(log)})"
+    groups = f"(select leaf, j, sha256(string_agg(h, '' order by k)) as h, min(k) as lo, max(k) as hi, count(*) as n from (select *, (n0 // size)::int as leaf, n0 % size // 4096 as j from {placed}) group by 1, 2)"
+    return f"(select leaf, case when count(*) = 1 then any_value(h) else sha256(string_agg(h, '' order by j)) end as hash, min(lo) as min_key, max(hi) as max_key, sum(n)::bigint as cnt from {groups} group by leaf)"
 
 
 _CHANGED = f"(select namespace, key, case when ts % 37 = 0 then 'x'::blob else value end as value, ts from {fx.EVENTS})"
@@ -587,6 +693,16 @@ def merkle_diff(spark: SparkSession, d: str) -> DataFrame:
     return repair.merkle_diff(*(repair.merkle_leaves(_hash_rows(x), "k", "h") for x in (log, other)))
 
 
+@query(
+    "keyed_leaves",
+    f"""with r as (select k, h, (('0x' || substr(md5(k), 1, 15))::bigint % 1024)::int as leaf from {_hashed(fx.EVENTS)})
+select leaf, sha256(sum(('0x' || substr(md5('1/' || k || '/' || h), 1, 15))::hugeint) || '/' || sum(('0x' || substr(md5('2/' || k || '/' || h), 1, 15))::hugeint)) as hash, min(k) as min_key, max(k) as max_key, count(*) as cnt from r group by leaf""",
+)
+def keyed_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves by hash of the key, which grow with the table but are combined on the map side."""
+    return repair.keyed_leaves(_hash_rows(fx.events_log(spark, d)), "k", "h", 1024)
+
+
 # scalar functions and codecs
 
 
@@ -595,17 +711,20 @@ def password_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", scalars.password_hash(F.concat(F.lit("salt"), F.col("c_custkey").cast("string")), F.col("c_name"), F.lit("context")).alias("hash"))
 
 
-DSNS = ["kv://db.example:7001", "kv://user:pa:ss@db.example:7001", "kv://user@db.example", "kv://a@b:c@host", "http://db.example", "kv://db.example:port", "kv://db.example:99999", "kv://", "kv://u:@h:1"]
+_DSN = """case c_custkey % 8 when 0 then 'kv://' || c_name || ':7001' when 1 then 'kv://' || c_mktsegment || ':pa:' || c_custkey || '@' || c_name || ':' || (1000 + c_custkey % 60000) when 2 then 'kv://' || c_mktsegment || '@' || c_name
+  when 3 then 'kv://a@b:' || c_custkey || '@' || c_name when 4 then 'http://' || c_name when 5 then 'kv://' || c_name || ':port' when 6 then 'kv://' || c_name || ':' || (65536 + c_custkey) else 'kv://' || c_mktsegment || ':@' end"""
 
 
 @query(
     "parse_dsn",
-    """select * from (values ('kv://db.example:7001', null, null, 'db.example', 7001, null), ('kv://user:pa:ss@db.example:7001', 'user', 'pa:ss', 'db.example', 7001, null), ('kv://user@db.example', 'user', null, 'db.example', 9090, null),
-('kv://a@b:c@host', 'a@b', 'c', 'host', 9090, null), ('http://db.example', null, null, null, null, 'unknown scheme'), ('kv://db.example:port', null, null, null, null, 'bad port'), ('kv://db.example:99999', null, null, null, null, 'bad port'),
-('kv://', null, null, null, null, 'no host'), ('kv://u:@h:1', 'u', '', 'h', 1, null)) v(dsn, "user", "password", host, port, error)""",
+    f"""select c_custkey, {_DSN} as dsn, case c_custkey % 8 when 1 then c_mktsegment when 2 then c_mktsegment when 3 then 'a@b' end as "user", case c_custkey % 8 when 1 then 'pa:' || c_custkey when 3 then c_custkey::varchar end as "password",
+case when c_custkey % 8 < 4 then c_name end as host, case c_custkey % 8 when 0 then 7001 when 1 then 1000 + c_custkey % 60000 when 2 then 9090 when 3 then 9090 end::int as port,
+case c_custkey % 8 when 4 then 'unknown scheme' when 5 then 'bad port' when 6 then 'bad port' when 7 then 'no host' end as error from customer""",
 )
 def parse_dsn(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in DSNS], "dsn string").select("dsn", scalars.parse_dsn(F.col("dsn"), "kv").alias("p")).select("dsn", "p.*")
+    """Addresses put together from customers, in eight forms."""
+    c = table(spark, d, "customer").select("c_custkey", F.expr(_DSN).alias("dsn"))
+    return c.select("*", scalars.parse_dsn(F.col("dsn"), "kv").alias("p")).select("c_custkey", "dsn", "p.*")
 
 
 @query("align_up", "select id, (file_size + 4095) // 4096 * 4096 as aligned from sstable_manifest")
@@ -613,10 +732,18 @@ def align_up(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sstable_manifest").select("id", scalars.align_up(F.col("file_size")).alias("aligned"))
 
 
-@query("storage_mode", "select * from (values ('a', 'tiered'), ('b', 'nvme_only'), ('c', 'hdd_only'), ('d', 'ssd_only'), ('e', 'unknown')) v(host, mode)")
+_KIND = "case when s_nationkey % 5 = 0 then 'SSD' when s_nationkey % 5 = 1 then 'hdd' when s_nationkey % 5 = 2 then 'nvme' when s_nationkey % 5 = 3 then null when s_suppkey % 2 = 0 then 'NVMe' else 'HDD' end"
+
+
+@query(
+    "storage_mode",
+    f"""with k as (select s_nationkey as host, count(distinct lower({_KIND})) as n, max(lower({_KIND})) as k from supplier group by 1), m as (select host, case when n > 1 then 'tiered' when n = 0 then 'unknown' else k || '_only' end as mode from k)
+select *, case mode when 'tiered' then 4 when 'hdd_only' then 1 else 8 end as parallelism, case mode when 'tiered' then 2 when 'hdd_only' then 1 else 4 end as compaction_threads from m""",
+)
 def storage_mode(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("a", "nvme"), ("a", "HDD"), ("b", "nvme"), ("b", "NVMe"), ("c", "hdd"), ("d", "ssd"), ("e", None)]
-    return scalars.storage_mode(spark.createDataFrame(rows, "host string, kind string"), "host")
+    """Nations as hosts whose suppliers are their devices."""
+    m = scalars.storage_mode(table(spark, d, "supplier").select(F.col("s_nationkey").alias("host"), F.expr(_KIND).alias("kind")), "host")
+    return m.select("*", scalars.tier_settings(F.col("mode")).alias("t")).select("host", "mode", "t.*")
 
 
 @query("tier_route", "select id, case when level <= 1 then 'hot' when level <= 3 then 'warm' else 'cold' end as tier, id % 10 >= 8 as cold from sstable_manifest")
@@ -624,11 +751,17 @@ def tier_route(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sstable_manifest").select("id", scalars.tier_route(F.col("level"), F.lit("tiered"), F.col("id") % 10 / 10).alias("t")).select("id", "t.*")
 
 
-@query("mount_match", "select * from (values ('/data/hot/x', 'nvme0'), ('/DATA/cold', 'sda'), ('/var/y', 'root'), ('relative', null)) v(path, device)")
+_PATH = "'/' || replace(p_type, ' ', '/') || '/' || p_partkey"
+_MOUNTS = "(select '/' || split_part(p_type, ' ', 1) as mount, min(p_brand) as device from part where p_size > 10 group by 1 union all select lower('/' || replace(p_type, ' ', '/')), min(p_brand) from part where p_size < 4 group by 1)"
+
+
+@query("mount_match", f"select p_partkey, device from (select p_partkey, device, row_number() over (partition by p_partkey order by length(mount) desc, device desc) as r from (select p_partkey, {_PATH} as path from part) p left join {_MOUNTS} m on starts_with(lower(path), lower(mount))) where r = 1")
 def mount_match(spark: SparkSession, d: str) -> DataFrame:
-    paths = spark.createDataFrame([("/data/hot/x",), ("/DATA/cold",), ("/var/y",), ("relative",)], "path string")
-    mounts = spark.createDataFrame([("/", "root"), ("/data", "sda"), ("/data/hot", "nvme0")], "mount string, device string")
-    return scalars.mount_match(paths, "path", mounts, "mount", "device")
+    """Parts as files in folders by type, and some of the folders as mounts."""
+    p = table(spark, d, "part")
+    one = p.where("p_size > 10").groupBy(F.concat(F.lit("/"), F.split_part("p_type", F.lit(" "), F.lit(1))).alias("mount")).agg(F.min("p_brand").alias("device"))
+    two = p.where("p_size < 4").groupBy(F.lower(F.concat(F.lit("/"), F.replace("p_type", F.lit(" "), F.lit("/")))).alias("mount")).agg(F.min("p_brand").alias("device"))
+    return scalars.mount_match(p.select("p_partkey", F.expr(_PATH).alias("path")), "path", one.unionByName(two), "mount", "device").select("p_partkey", "device")
 
 
 @query("entry_roundtrip", f"select namespace, ts, {HEX}, octet_length(key) + coalesce(octet_length(value), 0) + strlen(namespace) + 17 as bytes from {fx.EVENTS}")
@@ -639,10 +772,20 @@ def entry_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return hexed(x, "ts", "bytes")
 
 
-@query("wal_crc")
+_LE = lambda n, size: "printf('{}', {})".format("%02x" * size, ", ".join(f"({n}) // {256**i} % 256" for i in range(size)))
+
+
+@query(
+    "wal_crc",
+    f"""with recursive z as (select range as i, range as c, 0 as n from range(256) union all select i, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, n + 1 from z where n < 8),
+t as (select list(c order by i) as tbl from z where n = 8),
+e as (select ts, {_LE("octet_length(key)", 2)} || lower(hex(key)) || case when value is null then '01' else '00' end || {_LE("coalesce(octet_length(value), 0)", 4)} || coalesce(lower(hex(value)), '') || {_LE("ts", 8)} || {_LE("strlen(namespace)", 2)} || lower(hex(encode(namespace))) as x from {fx.EVENTS}),
+b as (select ts, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint) as bytes from e)
+select ts, xor(list_reduce(bytes, lambda c, y: xor(c // 256, tbl[(xor(c % 256, y) + 1)::int]), 4294967295::bigint), 4294967295) as crc from b, t""",
+)
 def wal_crc(spark: SparkSession, d: str) -> DataFrame:
-    log = fx.events_log(spark, d)
-    return log.select("ts", codecs.log_record_crc(codecs.encode_entry(F.col("key"), F.col("value"), F.col("ts"), F.col("namespace"))).alias("crc"))
+    e = fx.events_log(spark, d)
+    return e.select("ts", codecs.log_record_crc(codecs.encode_entry(F.col("key"), F.col("value"), F.col("ts"), F.col("namespace"))).alias("crc"))
 
 
 @query("aes_roundtrip", f"select ts, {HEX}, octet_length(value) + 28 as bytes, true as wrong_key_fails from {fx.EVENTS} where value is not null")

@@ -6,7 +6,9 @@
 
 Layout: ``log/batch=N`` are appended writes, ``segments/id=N`` immutable sorted segments, ``manifest/version=N`` snapshots of the catalog. A
 manifest is written last and names the log batches that its segments hold, so a reader sees either the log rows or their segment.
-One writer at a time; any number of readers. For bulk data use ``append`` with a DataFrame: a call is a Spark job."""
+Any number of readers. Of two writers at once the slower one gets StorageFailure, as no folder is ever written over; its call can be made again. Writes
+flush the tail when it has memtable_bytes, and then merge what is due; ``auto=False`` leaves both to the caller. For bulk data use ``append`` with a
+DataFrame: a call is a Spark job."""
 
 from __future__ import annotations
 
@@ -14,22 +16,24 @@ import time
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.model import DEFAULT_NAMESPACE, ENTRY_SCHEMA, InvalidArgument, StorageFailure, StoreConfig
-from stratalog.operators import compaction, reads, segments, writes
+from stratalog.operators import compaction, reads, segments, wal, writes
 from stratalog.operators.change_feed import numbers
 from stratalog.scratch import filesystem
 
-MANIFEST = "id int, level int, file_name string, entry_count bigint, file_size bigint, min_key binary, max_key binary, min_timestamp bigint, max_timestamp bigint, compacted int, log_to int"
+MANIFEST = "id int, level int, file_name string, entry_count bigint, file_size bigint, min_key binary, max_key binary, min_timestamp bigint, max_timestamp bigint, compacted int, log_to int, checksum string"
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, config: StoreConfig = StoreConfig()):
-        self.spark, self.path, self.config = spark, path.rstrip("/"), config
+    def __init__(self, spark: SparkSession, path: str, config: StoreConfig = StoreConfig(), auto: bool = True):
+        self.spark, self.path, self.config, self.auto = spark, path.rstrip("/"), config, auto
         self._clock = self._newest_ts()
-        self.reads = 0
+        self._tail = self._tail_size()[1]
+        self.writes = self.reads = self.deletes = 0
 
     # catalog
 
@@ -41,8 +45,23 @@ class Store:
     def _version(self) -> int:
         return max(numbers(self.spark, f"{self.path}/manifest", "version"), default=-1)
 
-    def _publish(self, manifest: DataFrame) -> None:
-        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={self._version() + 1}")
+    def _next(self, kind: str, name: str) -> int:
+        """A number above those of all folders, also of ones that were cut off by a failure."""
+        fs, p = filesystem(self.spark, f"{self.path}/{kind}")
+        taken = [s.getPath().getName().partition("=")[2] for s in fs.listStatus(p)] if fs.exists(p) else []
+        return max([int(n) for n in taken if n.isdigit()], default=-1) + 1
+
+    def _write_new(self, df: DataFrame, path: str) -> None:
+        try:
+            df.write.mode("errorifexists").parquet(path)
+        except AnalysisException as e:
+            raise StorageFailure(f"another writer has written {path}") from e
+
+    def _publish(self, manifest: DataFrame, version: int) -> None:
+        """version: the one that manifest was made from."""
+        if self._version() != version:
+            raise StorageFailure("another writer has changed the catalog")
+        self._write_new(manifest.coalesce(1), f"{self.path}/manifest/version={max(version + 1, self._next('manifest', 'version'))}")
 
     def _flushed_to(self) -> int:
         return self.manifest().agg(F.coalesce(F.max("log_to"), F.lit(-1))).first()[0]
@@ -54,27 +73,39 @@ class Store:
         return n, self._read([f"{self.path}/log/batch={b}" for b in n])
 
     def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(ENTRY_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], ENTRY_SCHEMA)
+        if not paths:
+            return self.spark.createDataFrame([], ENTRY_SCHEMA)
+        try:
+            return self.spark.read.schema(ENTRY_SCHEMA).parquet(*paths)
+        except AnalysisException as e:
+            raise StorageFailure(f"files of the store are missing: {e.getMessageParameters() or e}") from e
 
     def _newest_ts(self) -> int:
         both = self._log()[1].agg(F.max("ts")).first()[0] or 0, self.manifest().agg(F.max("max_timestamp")).first()[0] or 0
         return max(both)
 
+    def _tail_size(self) -> tuple[int, int]:
+        """Entries and bytes that no segment holds yet."""
+        r = self._log()[1].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(writes.encoded_size().cast("bigint")), F.lit(0)).alias("b")).first()
+        return r["n"], r["b"]
+
     def entries(self, *conditions) -> DataFrame:
         """All versions: the log's tail and the active segments that meet the conditions on the catalog. Files that the catalog rules out aren't
         opened."""
         met = reduce(lambda a, b: a & b, conditions, F.lit(True))
-        paths = list(segments.paths_for(self.manifest(), met))
-        fs, _ = filesystem(self.spark, self.path)
-        if lost := [p for p in paths if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p))]:
-            raise StorageFailure(f"segments are missing: {lost}")
-        return self._log()[1].unionByName(self._read(paths))
+        return self._log()[1].unionByName(self._read(list(segments.paths_for(self.manifest(), met))))
 
     # writes
 
     def _append(self, df: DataFrame) -> None:
-        n = max([self._flushed_to(), *numbers(self.spark, f"{self.path}/log", "batch")], default=-1) + 1
-        df.select(*ENTRY_SCHEMA.names).write.mode("overwrite").parquet(f"{self.path}/log/batch={n}")
+        n = max(self._flushed_to() + 1, self._next("log", "batch"))
+        self._write_new(df.select(*ENTRY_SCHEMA.names), f"{self.path}/log/batch={n}")
+
+    def _written(self, size: int) -> None:
+        self._tail += size
+        if self.auto and self._tail >= self.config.memtable_bytes and self.flush():
+            while self.compact():
+                pass
 
     def _stamp(self) -> int:
         self._clock = max(self._clock, time.time_ns() // 1000) + 1
@@ -83,6 +114,9 @@ class Store:
     def _write(self, rows: list[tuple[str, bytes, bytes | None]]) -> list[int]:
         stamps = [self._stamp() for _ in rows]
         self._append(self.spark.createDataFrame([(ns or DEFAULT_NAMESPACE, bytearray(k), None if v is None else bytearray(v), t) for (ns, k, v), t in zip(rows, stamps, strict=True)], ENTRY_SCHEMA))
+        dead = sum(v is None for _, _, v in rows)
+        self.writes, self.deletes = self.writes + len(rows) - dead, self.deletes + dead
+        self._written(sum(17 + len(k) + len(v or b"") + len((ns or DEFAULT_NAMESPACE).encode()) for ns, k, v in rows))
         return stamps
 
     def _refused(self, key: bytes, value: bytes | None, namespace: str) -> str | None:
@@ -130,8 +164,13 @@ class Store:
         error = writes.put_error(self.config)
         base = self._stamp()
         good = writes.accepted(df, error).withColumn("__wall", F.lit(base))
+        before = self._tail_size() if self._tail else (0, 0)
         self._append(writes.assign_ts(good, order, "__wall", base))
         self._clock = self._newest_ts()
+        n, size = self._tail_size()
+        self.writes += n - before[0]
+        self._tail = before[1]
+        self._written(size - before[1])
         return df.withColumn("error", error).where(F.col("error").isNotNull())
 
     # reads
@@ -147,7 +186,8 @@ class Store:
         if not keys:
             return []
         asked = self.spark.createDataFrame([(i, ns, bytearray(k)) for i, (k, ns) in enumerate(keys)], "ordinal int, namespace string, key binary")
-        got = {r["ordinal"]: r["value"] for r in reads.batch_get(self.entries(), asked, self.config).select("ordinal", "value").collect()}  # max_batch rows at most
+        low, high = (reads.lit_bytes(f(k for k, _ in keys)) for f in (min, max))
+        got = {r["ordinal"]: r["value"] for r in reads.batch_get(self.entries(segments.overlaps(low, high)), asked, self.config).select("ordinal", "value").collect()}  # max_batch rows at most
         return [None if got.get(i) is None else bytes(got[i]) for i in range(len(keys))]
 
     def scan(self, start: bytes = b"", end: bytes | None = None, limit: int = 0, namespace: str = "", inclusive: bool = False, reverse: bool = False) -> DataFrame:
@@ -174,14 +214,24 @@ class Store:
         return True
 
     def _add(self, df: DataFrame, level: int, log_to: int | None, retired: list[int]) -> None:
-        m = self.manifest()
-        n = m.agg(F.coalesce(F.max("id"), F.lit(-1)) + 1).first()[0]
+        version, m = self._version(), self.manifest()
+        n = max(m.agg(F.coalesce(F.max("id"), F.lit(-1)) + 1).first()[0], self._next("segments", "id"))
         path = f"{self.path}/segments/id={n}"
         segments.write_segment(df, path)
-        own = segments.segment_stats(self._read([path]).withColumn("id", F.lit(n)), ["id"]).withColumns({"level": F.lit(level), "file_name": F.lit(path), "compacted": F.lit(0), "log_to": F.lit(log_to).cast("int")})
+        held = self._read([path]).withColumn("id", F.lit(n))
+        own = segments.segment_stats(held, ["id"]).join(segments.checksums(held, ["id"]).drop("entry_count"), "id")
+        own = own.withColumns({"level": F.lit(level), "file_name": F.lit(path), "compacted": F.lit(0), "log_to": F.lit(log_to).cast("int")})
         rows = m.withColumn("compacted", F.when(F.col("id").isin(retired), 1).otherwise(F.col("compacted"))) if retired else m
         # a compaction that leaves no entry has no statistics, and so no segment
-        self._publish(rows.unionByName(own.select(*m.columns)))
+        self._publish(rows.unionByName(own.select(*m.columns)), version)
+        if log_to is not None:
+            self._tail = 0
+
+    def verify(self) -> DataFrame:
+        """Each active segment (id, entry_count, found, intact): whether its entries are those that were written."""
+        m = self.manifest().where("compacted = 0 and checksum is not null")
+        held = [self._read([r["file_name"]]).withColumn("id", F.lit(r["id"])) for r in m.select("id", "file_name").toLocalIterator()]  # a read for each segment
+        return segments.verify(m, reduce(DataFrame.unionByName, held) if held else self._read([]).withColumn("id", F.lit(0)), "id")
 
     def compact(self) -> bool:
         """One merge, if one is due. The inputs stay on disk until vacuum, for readers of older snapshots."""
@@ -202,10 +252,15 @@ class Store:
         return sum(bool(fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p), True)) for p in old)
 
     def metrics(self) -> dict:
-        """Counts of the log's tail and of each level, and the reads of this handle."""
-        log = self._log()[1].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(writes.encoded_size()), F.lit(0)).alias("b")).first()
-        levels = {r["level"]: r["segments"] for r in compaction.level_sizes(self.manifest()).collect()}
-        return {"memtable_entries": log["n"], "memtable_bytes": log["b"], "level_counts": levels, "reads": self.reads}
+        """Calls of this handle, the log's tail, and the active segments in all and by level."""
+        n, size = self._tail_size()
+        levels = {r["level"]: r for r in compaction.level_sizes(self.manifest()).collect()}  # one row a level
+        return {
+            "writes_total": self.writes, "reads_total": self.reads, "deletes_total": self.deletes,
+            "memtable_entries": n, "memtable_size_bytes": size, "wal_size_bytes": size + wal.HEADER_BYTES * n,
+            "sstable_count": sum(r["segments"] for r in levels.values()), "total_disk_bytes": sum(r["bytes"] for r in levels.values()),
+            "level_counts": {level: r["segments"] for level, r in levels.items()},
+        }
 
 
 class Namespace:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.model import InvalidArgument, StorageFailure, StoreConfig
+from stratalog.model import ENTRY_SCHEMA, InvalidArgument, StorageFailure, StoreConfig
 from stratalog.store import Store
 
 
@@ -24,6 +24,7 @@ def test_life_of_a_store(spark, tmp_path):
     assert list(s.rows()) == before and s.get(b"k") is None
     assert s.batch_get([(b"b", ""), (b"no", ""), (b"k", "other"), (b"b", "")]) == [b"3", None, b"", b"3"]
     assert s.vacuum() == 7
+    assert [(r.entry_count, r.found, r.intact) for r in s.verify().collect()] == [(5, 5, True)]
     again = Store(spark, f"file://{tmp_path}/s", c)  # reopened
     assert list(again.rows()) == before and again.put(b"z", b"9") > t1
     ns = again.namespace("n")
@@ -47,3 +48,53 @@ def test_bulk_append_and_missing_files(spark, tmp_path):
     shutil.rmtree(tmp_path / "s" / "segments")
     with pytest.raises(StorageFailure):
         s.get(b"0001")
+
+
+def test_damage_is_found(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    for n in range(2):
+        s.batch_put([(b"k%d" % i, b"v%d" % n, "") for i in range(20)])
+        s.flush()
+    assert all(r.intact for r in s.verify().collect())
+    lost = spark.read.parquet(f"file://{tmp_path}/s/segments/id=1").where("key <> cast('k7' as binary)").collect()
+    spark.createDataFrame(lost, ENTRY_SCHEMA).write.mode("overwrite").parquet(f"file://{tmp_path}/s/segments/id=1")
+    assert {r.id: (r.found, r.intact) for r in s.verify().collect()} == {0: (20, True), 1: (19, False)}
+
+
+def test_writes_flush_and_merge_by_themselves(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", StoreConfig(memtable_bytes=200, l0_trigger=2))
+    for n in range(4):
+        s.batch_put([(b"k%d" % i, b"v%d" % n, "") for i in range(10)])
+    m = s.metrics()
+    assert m["memtable_entries"] == 0 and m["level_counts"] == {1: 1} and m["sstable_count"] == 1 and m["total_disk_bytes"] > 0
+    s.delete(b"k1")
+    assert s.get(b"k1") is None and s.get(b"k2") == b"v3"
+    m = s.metrics()
+    assert (m["writes_total"], m["reads_total"], m["deletes_total"], m["memtable_entries"]) == (40, 2, 1, 1) and m["wal_size_bytes"] == m["memtable_size_bytes"] + 8
+
+
+def test_two_writers(spark, tmp_path):
+    a = Store(spark, f"file://{tmp_path}/s")
+    a.put(b"k", b"1")
+    a.flush()
+    stale = a._version() - 1
+    with pytest.raises(StorageFailure):
+        a._publish(a.manifest(), stale)
+    with pytest.raises(StorageFailure):
+        a._write_new(a.entries(), f"file://{tmp_path}/s/log/batch=0")
+    (tmp_path / "s" / "log" / "batch=7").mkdir()  # cut off by a failure
+    a.put(b"k", b"2")
+    assert a.get(b"k") == b"2" and (tmp_path / "s" / "log" / "batch=8").exists()
+
+
+def test_cold_copies(spark, tmp_path):
+    from stratalog.operators import segments
+
+    rows = [("n", b"k%d" % i, None if i % 3 == 0 else b"v", i) for i in range(50)]
+    df = spark.createDataFrame(rows, ENTRY_SCHEMA)
+    hot, cold, back = (f"file://{tmp_path}/{x}" for x in ("hot", "cold", "back"))
+    segments.write_segment(df, hot)
+    assert segments.freeze(spark, hot, cold) > 0
+    segments.thaw(spark, cold, back)
+    assert spark.read.parquet(back).exceptAll(df).count() == 0 == df.exceptAll(spark.read.parquet(back)).count()
+    assert segments.drop_cold(spark, cold) and not segments.drop_cold(spark, cold)

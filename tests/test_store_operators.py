@@ -1,11 +1,16 @@
 """Behaviour of the store's operators on inline entries."""
 
+import bisect
+import hashlib
+import random
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from stratalog.functions import codecs, scalars
 from stratalog.model import InvalidArgument, StoreConfig
-from stratalog.operators import catalog, compaction, membership, ordered, placement, reads, repair, segments, writes
+from stratalog.operators import catalog, compaction, membership, ordered, placement, reads, repair, segments, wal, writes
 from stratalog.operators.resolve import latest, live, merge_runs, versions
 from stratalog.plans import store as store_plans
 
@@ -136,23 +141,43 @@ def test_segments(spark, tmp_path):
     stats = segments.segment_stats(cut, ["segment"]).orderBy("segment").collect()
     assert sum(r.entry_count for r in stats) == 799 and len(stats) > 5 and all(r.file_size < 5200 for r in stats)
     assert all(a.max_timestamp < b.min_timestamp for a, b in zip(stats, stats[1:], strict=False))
-    blocks = segments.block_layout(cut, "segment", StoreConfig(block_bytes=300), key_bytes=2000).collect()
+    blocks = segments.block_layout(cut, "segment", StoreConfig(block_bytes=300)).collect()
     assert sum(b.entries for b in blocks) == 799 and all(b.bytes <= 300 or b.entries == 1 for b in blocks)
 
 
+@pytest.mark.parametrize("limit", [60, 300, 2000, 10**6])
+def test_blocks_of_segments_over_many_partitions(spark, limit):
+    """As one writer packs them, though a segment spans partitions; some entries are larger than a block."""
+    e = log(spark, *(("n", b"k%04d" % i, b"v" * (i * 31 % 70 if i % 50 else 400), i) for i in range(900))).withColumn("s", F.expr("case when ts < 700 then 0 else 1 + ts div 100 end"))
+    want = []
+    for seg in (0, 8, 9):
+        used = limit + 1
+        for r in sorted(e.where(F.col("s") == seg).collect(), key=lambda r: r.key):
+            size = 19 + len(r.key) + len(r.value) + len(r.namespace) - 2
+            if used + size > limit:
+                want.append([seg, bytes(r.key), None, 0, 0])
+                used = 0
+            used += size
+            want[-1][2:] = [bytes(r.key), want[-1][3] + 1, want[-1][4] + size]
+    got = segments.block_layout(e, "s", StoreConfig(block_bytes=limit)).orderBy("segment", "block").collect()
+    assert [[r.segment, bytes(r.first_key), bytes(r.last_key), r.entries, r.bytes] for r in got] == want
+    assert [r.block for r in got] == [sum(w[0] == x[0] for x in want[:i]) for i, w in enumerate(want)]
+    assert segments.block_layout(e.limit(0), "s").count() == 0
+
+
 def test_block_lookup_over_namespaces(spark):
     e = log(spark, *((f"n{i % 3}", b"k%02d" % (i * 7 % 23), b"v" * (i % 50), i) for i in range(400)))
     cut = segments.cut_segments(e, StoreConfig(memtable_bytes=6000)).cache()
-    layout = segments.block_layout(cut, "segment", StoreConfig(block_bytes=300), key_bytes=2000).cache()
-    blocks = [(r.segment, (r.first_namespace, bytes(r.first_key)), r.slice, r.block, (r.last_namespace, bytes(r.last_key))) for r in layout.collect()]
+    layout = segments.block_layout(cut, "segment", StoreConfig(block_bytes=300)).cache()
+    blocks = [(r.segment, (r.first_namespace, bytes(r.first_key)), r.block, (r.last_namespace, bytes(r.last_key))) for r in layout.collect()]
     held = {(r.segment, r.namespace, bytes(r.key)) for r in cut.collect()}
     for ns, key in (("n0", b"k22"), ("n1", b"k00"), ("n1", b"k11"), ("n2", b"k05"), ("n2", b"k99"), ("a", b"k05")):
         want = {}
-        for s, first, slice_, block, last in sorted(blocks):
+        for s, first, block, last in sorted(blocks):
             if first <= (ns, key):
-                want[s] = (slice_, block, last)
-        want = {s: b[:2] for s, b in want.items() if b[2] >= (ns, key)}
-        got = {r.segment: (r.slice, r.block) for r in segments.block_lookup(layout, F.lit(ns), reads.lit_bytes(key)).collect()}
+                want[s] = (block, last)
+        want = {s: b[0] for s, b in want.items() if b[1] >= (ns, key)}
+        got = {r.segment: r.block for r in segments.block_lookup(layout, F.lit(ns), reads.lit_bytes(key)).collect()}
         assert got == want and {s for s, n, k in held if (n, k) == (ns, key)} <= set(got)
 
 
@@ -174,15 +199,15 @@ def wide(spark, tmp_path_factory):
 
 
 def test_compact_l0_grows_with_the_table(spark, wide):
-    assert sorted(r.ts for r in store_plans.R.queries["compact_l0_eighths"](spark, wide).collect()) == list(range(10_000))
+    assert sorted(r.ts for r in store_plans.R.queries["compact_l0"](spark, wide).collect()) == list(range(20_000))
 
 
 def test_l0_best_grows_with_the_table(spark, wide):
-    assert sorted(r.ts for r in store_plans.R.queries["l0_best_eighths"](spark, wide).collect()) == [i for i in range(10_000) if i % 7]
+    assert sorted(r.ts for r in store_plans.R.queries["l0_best"](spark, wide).collect()) == [i for i in range(10_000, 20_000) if i % 7]
 
 
 def test_every_filter_is_asked_for_absent_keys(spark, wide):
-    got = store_plans.R.queries["bloom_probe_eighths"](spark, wide).withColumn("user", F.expr("decode(unhex(key_hex), 'UTF-8')")).cache()
+    got = store_plans.R.queries["bloom_probe"](spark, wide).withColumn("user", F.expr("decode(unhex(key_hex), 'UTF-8')")).cache()
     absent = got.where("user >= 'user_100000'").groupBy("segment").count().collect()
     assert {tuple(r) for r in absent} == {(s, 50) for s in range(8)}
     assert {r.segment for r in got.where("user < 'user_100000'").select("segment").distinct().collect()} == set(range(1, 8))
@@ -270,16 +295,116 @@ def test_merkle(spark):
     assert repair.merkle_diff(a, b).count() == 1  # an insertion shifts no other leaf
 
 
-def test_large_leaves_are_trees(spark, monkeypatch):
+def test_large_leaves_are_trees(spark):
+    """By one definition whatever the fan-out and size."""
     rows = spark.range(1000).select(F.format_string("%04d", "id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
-    flat = repair.merkle_leaves(rows, "k", "h", 3)
-    monkeypatch.setattr(repair, "FAN", 5)
-    tree = repair.merkle_leaves(rows, "k", "h", 3)
-    assert [tuple(r)[2:] for r in tree.orderBy("leaf").collect()] == [tuple(r)[2:] for r in flat.orderBy("leaf").collect()]
-    other = repair.merkle_leaves(rows.withColumn("h", F.when(F.col("k") == "0500", "0").otherwise(F.col("h"))), "k", "h", 3)
+    sha = lambda hs: hashlib.sha256("".join(hs).encode()).hexdigest()
+    want = []
+    for leaf in range(3):
+        level = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(334 * leaf, min(1000, 334 * (leaf + 1)))]
+        for _ in range(4):  # 5 ** 4 are more than 334
+            level = [sha(level[i : i + 5]) for i in range(0, len(level), 5)]
+        want.append(level[0])
+    tree = repair.merkle_leaves(rows, "k", "h", 3, fan=5)
+    assert [r.hash for r in tree.orderBy("leaf").collect()] == want
+    assert [tuple(r)[2:] for r in tree.orderBy("leaf").collect()] == [tuple(r)[2:] for r in repair.merkle_leaves(rows, "k", "h", 3).orderBy("leaf").collect()]
+    other = repair.merkle_leaves(rows.withColumn("h", F.when(F.col("k") == "0500", "0").otherwise(F.col("h"))), "k", "h", 3, fan=5)
     assert [r.leaf for r in repair.merkle_diff(tree, other).collect()] == [1]
 
 
+def test_a_ring_of_many_nodes(spark):
+    """Two thousand nodes of 256 places, against a walk by bisection."""
+    ring = placement.ring(spark.range(2000).select(F.format_string("node-%d", "id").alias("node_id"))).cache()
+    keys = spark.range(300).select(F.format_string("k%d", "id").alias("k"), F.lit(1).alias("cell")).union(spark.createDataFrame([(None, 1)], "k string, cell int"))
+    held = sorted((r.position, r.node_id) for r in ring.collect())
+    assert len(held) > 500_000
+    for r in placement.replicas(keys, "k", ring, 3).collect():
+        if r.k is None:
+            assert r.replicas == []
+            continue
+        i, seen = bisect.bisect_left(held, (int(hashlib.md5(r.k.encode()).hexdigest()[:15], 16), "")), []
+        while len(seen) < 3:
+            if (n := held[i % len(held)][1]) not in seen:
+                seen.append(n)
+            i += 1
+        assert r.replicas == seen
+
+
+def test_cache_replay(spark):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), i, r.randrange(12), r.choice(["get", "get", "insert", "insert", "invalidate", "other"] + ["clear"] * (i % 97 == 0)), r.choice([1, 5, 10, 60, None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "node string, at int, block int, op string, size int")
+    want, caches = {}, {}
+    for node, at, block, op, size in rows:
+        c = caches.setdefault(node, {})  # keeps the order of last use
+        hit, gone = None, 0
+        if op == "get":
+            hit = block in c
+            if hit:
+                c[block] = c.pop(block)
+        elif op == "insert":
+            c.pop(block, None)
+            while c and sum(c.values()) + (size or 0) > 50:
+                del c[next(iter(c))]
+                gone += 1
+            if (size or 0) <= 50:
+                c[block] = size or 0
+        elif op == "invalidate":
+            c.pop(block, None)
+        elif op == "clear":
+            c.clear()
+        want[at] = (hit, gone, sum(c.values()))
+    out = catalog.cache_replay(df.repartition(5), "node", "at", "block", "op", "size", 50)
+    assert {x.at: (x.hit, x.evicted, x.used) for x in out.collect()} == want
+    stats = {x.node: x for x in catalog.cache_stats(out, "node", "at").collect()}
+    assert sum(x.hits for x in stats.values()) == sum(h is True for h, _, _ in want.values()) and sum(x.evictions for x in stats.values()) == sum(g for _, g, _ in want.values())
+
+
+def test_log_replay_of_damaged_files(spark):
+    e = log(spark, *(("n", b"k%d" % i, None if i % 4 == 0 else b"v" * (i % 5), i + 1) for i in range(60)))
+    files = wal.log_files(e, "ts", 400).orderBy("file").collect()
+    assert len(files) > 3 and [f.file for f in files] == list(range(len(files)))
+    back = wal.replay(spark.createDataFrame(files), "file", "content")
+    assert back.where("outcome <> 'entry'").count() == 0
+    assert back.select("namespace", "key", "value", "ts").exceptAll(e).count() == 0 and back.count() == 60
+    whole = bytes(files[0].content)
+    first = 8 + int.from_bytes(whole[:4], "little")
+    bad = [(0, whole[:10] + b"?" + whole[11:]), (1, whole[:-1]), (2, whole + b"\x05"), (3, whole[:first] + bytes(8) + whole[first:]), (4, b""), (5, None), (6, (5).to_bytes(4, "little") + zlib.crc32(b"abcde").to_bytes(4, "little") + b"abcde" + whole)]
+    out = {}
+    for r in wal.replay(spark.createDataFrame(bad, "file int, content binary"), "file", "content").orderBy("file", "at").collect():
+        out.setdefault(r.file, []).append(r.outcome)
+    n = back.where("file = 0").count()
+    assert out == {0: ["bad_crc"] + ["entry"] * (n - 1), 1: ["entry"] * (n - 1) + ["truncated"], 2: ["entry"] * n + ["truncated"], 3: ["entry", "truncated"], 6: ["bad_entry"] + ["entry"] * n}
+
+
+def test_write_rate_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "SLICE", 10)
+    df = spark.range(95).select((F.col("id") * 2_000_000).alias("at"), (F.col("id") * F.col("id") % 70).alias("w"), F.lit(1).alias("slice"))
+    rates = [None] + [max(0, i * i % 70 - (i - 1) ** 2 % 70) / 2 for i in range(1, 95)]
+    for r in catalog.write_rate(df, "at", "w", 24).collect():
+        i = r.at // 2_000_000
+        last = [x for x in rates[max(0, i - 23) : i + 1] if x is not None]
+        assert r.rate == rates[i] and (r.mean_rate is None if not last else abs(r.mean_rate - sum(last) / len(last)) < 1e-9)
+
+
+def test_running_sums_and_leads(spark):
+    rows = [(i, None if i % 7 == 0 else i % 5 - 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, v int").withColumn("part", F.lit("x")).repartition(6)
+    total, top = 0, None
+    want = []
+    for i, v in rows:
+        total += v or 0
+        top = v if top is None else max(top, v if v is not None else top)
+        want.append((i, total, total - (v or 0), top))
+    s = ordered.running_sum(df, ["i"], F.col("v"), "s")
+    s = ordered.running_max(ordered.running_sum(s, ["i"], F.col("v"), "b", before=True), ["i"], F.col("v"), "m")
+    assert sorted((r.i, r.s, r.b, r.m) for r in s.collect()) == want
+    led = {r.i: r.nxt and r.nxt.i for r in ordered.following(df, ["i"], "nxt").collect()}
+    assert led == {i: i + 1 if i < 499 else None for i in range(500)}
+    assert {r.i: r.n for r in ordered.global_row_number(df, ["i"], "n").collect()} == {i: i + 1 for i in range(500)}
+    assert ordered.following(df.limit(0), ["i"], "nxt").count() == 0 == ordered.running_sum(df.limit(0), ["i"], F.col("v"), "s").count()
+
+
 def test_rank_in_group_spans_partitions(spark):
     rows = [("hot", i) for i in range(3000)] + [(None, i) for i in range(50)] + [(f"g{i % 40}", i) for i in range(200)] + [("hot", 5)]
     df = spark.createDataFrame(rows, "g string, v int").withColumn("lo", F.lit(1)).repartition(7)
