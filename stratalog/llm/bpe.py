@@ -42,10 +42,15 @@ class Vocabulary:
         self.of_byte = np.array([vocab[s] for s in byte_signs()], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.left, self.right, self.made = (np.array(x, np.int32) for x in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in pairs), strict=True))
-        #: Bytes of each token.
+        #: Bytes of each token, and where they begin in all of them.
         self.width = np.zeros(self.size, np.int32)
         for t, i in vocab.items():
             self.width[i] = len(t)
+        self.begin = np.cumsum(self.width, dtype=np.int64) - self.width
+        byte_of = {sign: i for i, sign in enumerate(byte_signs())}
+        self.bytes = np.zeros(int(self.width.sum()), np.uint8)
+        for t, i in vocab.items():
+            self.bytes[self.begin[i] : self.begin[i] + len(t)] = [byte_of.get(c, 0x3F) for c in t]
         self.table = class_table()
 
 

@@ -9,7 +9,7 @@ from stratalog.llm.distinct import cube_estimates, estimates, registers
 from stratalog.llm.leak import leaked_spans, leaks, remove_spans
 from stratalog.llm.seen import answer, error_report
 from stratalog.llm.split import split_oversized
-from stratalog.llm.tokenize import encode
+from stratalog.llm.tokenize import decode, encode
 from stratalog.model import has_key, key_hex, normal_namespace
 from stratalog.plans.registry import Registry
 from stratalog.scratch import staged
@@ -151,6 +151,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
 
 
+@R.query("p7_roundtrip", "select doc_id, md5(coalesce(text, '')) as digest from documents")
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the ids of p7_ids stand for."""
+    return decode(p7_ids(spark, d), "ids").select("doc_id", F.md5("text").alias("digest"))
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", "passage")
 
@@ -172,6 +178,29 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return remove_spans(table(spark, d, "documents"), "doc_id", "text", _items(spark, d), "item_id", "passage")
 
 
+@R.query("p8_verbatim", "select doc_id, item_id from documents, eval_items where contains(text, passage)")
+def p8_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """Of the pairs found those where the whole passage stands in the raw message as it is; SQL finds them by comparing all texts."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "passage")
+    return p8_found(spark, d).join(docs, "doc_id").join(items, "item_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
+
+
+@R.query("p8_check", "select true as same_documents, true as coverage_right, true as nothing_left")
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether spans and cleaned parts have the documents of p8_found, coverage is what the spans say and decides what is kept, and no passage stands in what is kept."""
+    found, spans, cleaned = (staged(f(spark, d), "check") for f in (p8_found, p8_spans, p8_cleaned))
+    ids = [x.select("doc_id", F.lit(1 << i).alias("b")).distinct() for i, x in enumerate((found, spans, cleaned))]
+    same = ids[0].unionByName(ids[1]).unionByName(ids[2]).groupBy("doc_id").agg(F.sum("b").alias("b")).agg(F.count_if(F.col("b") != 7).alias("odd"))
+    per = spans.groupBy("doc_id", "part").agg(F.sum("words").alias("w"))
+    joined = cleaned.join(per, ["doc_id", "part"], "left")
+    right = F.col("leaked_words").eqNullSafe(F.col("w")) & (F.col("coverage") == F.col("leaked_words") / F.col("words")) & ((F.col("coverage") > 0.5) == F.col("kept_text").isNull())
+    wrong = joined.agg(F.count_if(~F.coalesce(right, F.lit(False))).alias("wrong"))
+    # a line end in front makes it text without a header
+    left = leaks(cleaned.select("doc_id", F.concat(F.lit("\n"), "kept_text").alias("t")), "doc_id", "t", _items(spark, d), "item_id", "passage").agg(F.count(F.lit(1)).alias("left"))
+    one = [x.withColumn("one", F.lit(1)) for x in (same, wrong, left)]
+    return one[0].join(one[1], "one").join(one[2], "one").select((F.col("odd") == 0).alias("same_documents"), (F.col("wrong") == 0).alias("coverage_right"), (F.col("left") == 0).alias("nothing_left"))
+
+
 @R.query("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_pieces(spark, d).where("piece = 0").select("doc_id")
@@ -180,3 +209,20 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @R.query("p9_pieces")
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), "doc_id", "text")
+
+
+@R.query("p9_check", "select true as within, true as covering, true as overlapping, true as counted")
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each piece has at most 2,048 tokens, pieces begin and end with their text, each shares 128 tokens with the one before, and they are of the texts that have more
+    tokens by p7_ids."""
+    p = staged(p9_pieces(spark, d), "check")
+    after = p.select("doc_id", (F.col("piece") + 1).alias("piece"), (F.col("first_token") + F.col("n_tokens") - 128).alias("begin"))
+    # texts with one doc_id are told apart by nothing, and there are none here
+    j = p.join(after, ["doc_id", "piece"], "left")
+    ends = p.groupBy("doc_id").agg(F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.max("doc_tokens").alias("size"))
+    n = p7_ids(spark, d).select("doc_id", F.size("ids").alias("n")).where("n > 2048")
+    counted = n.join(ends, "doc_id", "full").agg(F.count_if(~F.col("n").eqNullSafe(F.col("size"))).alias("odd"), F.count_if(~F.col("end").eqNullSafe(F.col("n"))).alias("short"))
+    begins = F.when(F.col("piece") == 0, F.col("first_token") == 0).otherwise(F.col("begin").eqNullSafe(F.col("first_token")))
+    own = j.agg(F.count_if(F.col("n_tokens") > 2048).alias("large"), F.count_if(~begins).alias("apart"))
+    both = own.withColumn("one", F.lit(1)).join(counted.withColumn("one", F.lit(1)), "one")
+    return both.select((F.col("large") == 0).alias("within"), (F.col("short") == 0).alias("covering"), (F.col("apart") == 0).alias("overlapping"), (F.col("odd") == 0).alias("counted"))

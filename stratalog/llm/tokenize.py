@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from stratalog.llm.bpe import PairIndexBPE, Vocabulary
+from stratalog.llm.scan import gather
 from stratalog.model import fresh
 
 #: Where the vocabulary files are found unless a path is given.
@@ -60,3 +62,26 @@ def encode(df: DataFrame, text: str, out: str = "ids", vocabulary: str = BYTE_BP
                 at += len(ids)
 
     return kept.mapInArrow(run, schema)
+
+
+def decode(df: DataFrame, ids: str, out: str = "text", vocabulary: str = BYTE_BPE_50K) -> DataFrame:
+    """df with ``out``: the bytes (binary) that the token ids of a row stand for, empty for a null or empty list. An id that the vocabulary doesn't have
+    raises. A column named like out is replaced. No row moves."""
+    if ids == out:
+        (held,) = fresh(df, "ids")
+        return decode(df.withColumnRenamed(ids, held), held, out, vocabulary).drop(held)
+    b = shared_vocabulary(df.sparkSession, vocabulary)
+    kept = df.drop(out)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = b.value
+        for batch in batches:
+            lists = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            data, off = gather(v.bytes, v.begin[flat], v.width[flat].astype(np.int64))
+            ends = off[np.r_[0, np.cumsum(sizes)]]
+            yield with_column(batch, 0, batch.num_rows, out, pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary()))
+
+    return kept.mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from stratalog.llm import bpe, scan
 from stratalog.llm.bpe import PairIndexBPE, Vocabulary
-from stratalog.llm.tokenize import BYTE_BPE_50K, encode
+from stratalog.llm.tokenize import decode, BYTE_BPE_50K, encode
 
 tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
@@ -116,3 +116,13 @@ def test_one_very_long_text(coder, reference):
     r = random.Random(2)
     t = "".join(r.choice(["word ", "Ünï ", "12 ", "\n\n", "x" * 50, "...", "'ll "]) for _ in range(300_000))
     assert ids(coder, [t]) == [reference.encode_ordinary(t)]
+
+
+def test_decoding_gives_the_text_back(spark):
+    texts = ["plain words, 1234", "", None, "日本語 \U0001f600 İ\u0301", "\r\n\t  x", "a" * 5000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, t string, text string")
+    back = decode(encode(df, "t"), "ids")
+    assert back.columns == ["id", "t", "ids", "text"]
+    assert {r.id: bytes(r.text).decode() for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert [bytes(r.ids) for r in decode(encode(df.where("id = 0"), "t"), "ids", "ids").collect()] == [b"plain words, 1234"]
+    assert decode(encode(df.limit(0), "t"), "ids").count() == 0
