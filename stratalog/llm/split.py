@@ -16,7 +16,8 @@ from stratalog.llm.tokenize import BYTE_BPE_50K, encoder, shared_vocabulary
 #: Strength of the boundary in front of a line or sentence; a node of the tree is what lies between two boundaries of its strength.
 PART, BLOCK, PARAGRAPH, LINE, SENTENCE, WORD = 6, 5, 4, 3, 2, 1
 
-_LINE = re.compile(rb"[^\r\n]*(?:\r\n|\n|\r|$)")
+#: First signs of quoted lines, of lines that may open a block, and of lines over a quotation that don't end in a colon.
+_MARKS, _OPENERS, _FROM = (frozenset(s[i : i + 1] for i in range(len(s))) for s in (b">|", b"#=-*_+0123456789<", b"fF"))
 _DEPTH = re.compile(rb"[ \t]*((?:[>|][ \t]?)*)")
 #: Starts of lines that open a block: headings, list items, block tags, rules, the lines over a quotation.
 _OPENS = re.compile(rb"(?:#{1,6} |={3,}|-{3,}|\*{3,}|_{3,}|[-*+] |\d{1,3}[.)] |</?(?:p|div|table|tr|ul|ol|li|h[1-6]|hr|body|blockquote|section|article|pre)\b|-----)", re.I)
@@ -32,39 +33,42 @@ def boundaries(raw: bytes) -> list[tuple[int, int]]:
     marks = {b"--" + (m[1] if m[1] is not None else m[2]).rstrip() for m in _BOUNDARY.finditer(raw)}
     out: list[tuple[int, int]] = []
     blank, depth, head, first, led = False, 0, True, True, False
-    at, n = 0, len(raw)
-    while at < n:
-        m = _LINE.match(raw, at)
-        line = m[0]
+    at = 0
+    # most lines are plain: the patterns are only asked about lines that begin or end like those they match
+    for line in raw.splitlines(keepends=True):
         bare = line.strip()
-        q = _DEPTH.match(line)
-        now = q[1].count(b">") + q[1].count(b"|")
-        inner = line[q.end() :].lstrip()
-        s = LINE
+        inner, text, now = line.lstrip(), bare, 0
+        if bare[:1] in _MARKS:
+            q = _DEPTH.match(line)
+            now = q[1].count(b">") + q[1].count(b"|")
+            inner = line[q.end() :].lstrip()
+            text = inner.rstrip()
+        leads = not head and (text[-1:] == b":" or text[:1] in _FROM) and bool(_LEADS.match(text))
         if marks and bare.startswith(b"--") and (bare in marks or bare[:-2] in marks):
-            s, head = PART, True  # the part's own header block follows
+            s, head, leads = PART, True, False  # the part's own header block follows
         elif not bare:
             s = LINE
             if head:
                 head, s = False, BLOCK
         elif led:
             s = LINE
-        elif now != depth or not head and _LEADS.match(inner.rstrip()):
+        elif now != depth or leads:
             s = BLOCK
-        elif _OPENS.match(inner):
+        elif inner[:1] in _OPENERS and _OPENS.match(inner):
             s = BLOCK if blank or inner[:1] == b"<" else PARAGRAPH
-        elif blank:
-            s = PARAGRAPH
+        else:
+            s = PARAGRAPH if blank else LINE
         if not first:
             out.append((at, s))
         first = False
-        if not head:
-            out += [(x.end(), SENTENCE) for x in _SENTENCE.finditer(raw, at, m.end()) if at < x.end() < m.end()]
+        if not head and (b"." in line or b"!" in line or b"?" in line or b"\xe3\x80\x82" in line):
+            end = at + len(line)
+            out += [(x.end(), SENTENCE) for x in _SENTENCE.finditer(raw, at, end) if at < x.end() < end]
         if bare:
             depth = now
-        led = not head and bool(bare) and bool(_LEADS.match(inner.rstrip()))
-        blank = not bare or bare.strip(b">| \t") == b""
-        at = m.end()
+        led = leads
+        blank = not bare or bare[:1] in _MARKS and not bare.strip(b">| \t")
+        at += len(line)
     return out
 
 
