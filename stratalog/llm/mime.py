@@ -72,6 +72,25 @@ def _split(s: str) -> tuple[str, str]:
     return head, s[m.end() :] if m else s
 
 
+def _cut(body: str, mark: str) -> list[str]:
+    """What lies between the lines of a boundary, with "--" after each line that closes it, else "", in between."""
+    out, last, at, n = [], 0, 0, len(body)
+    while (i := body.find(mark, at)) >= 0:
+        at = i + 1
+        if i and body[i - 1] not in "\r\n":
+            continue
+        k = i + len(mark)
+        end = "--" if body.startswith("--", k) else ""
+        k += len(end)
+        while k < n and body[k] in " \t":
+            k += 1
+        if k < n and body[k] not in "\r\n":
+            continue
+        out += [body[last:i], end]
+        last = at = min(n, k + 1 + body.startswith("\r\n", k))
+    return [*out, body[last:]]
+
+
 def text_parts(s: str | None) -> Iterator[str]:
     """Each text part of a message (plain, HTML, an attached text file), decoded, as plain text. Multiparts, also unclosed and nested
     ones, and attached messages are entered however deep they lie; the body of a multipart that names no boundary is text."""
@@ -87,7 +106,7 @@ def text_parts(s: str | None) -> Iterator[str]:
         kind, rest = (t[1].lower(), t[2]) if t else ("text/plain", "")
         if kind.startswith("multipart/") and (b := _BOUNDARY.search(rest)):
             mark = "--" + (b[1] if b[1] is not None else b[2]).rstrip()
-            pieces = re.split(rf"(?:^|(?<=[\r\n])){re.escape(mark)}(--)?[ \t]*(?:\r\n|\n|\r|$)", body)
+            pieces = _cut(body, mark)
             inner = [(pieces[0], False)] if pieces[0].strip() else []
             closed = False
             for end, piece in zip(pieces[1::2], pieces[2::2], strict=True):
