@@ -76,3 +76,48 @@ def encrypt_block(data: Column, key: Column) -> Column:
 def decrypt_block(data: Column, key: Column) -> Column:
     """The plain bytes, null if the data or the key is wrong."""
     return F.try_aes_decrypt(data, key, F.lit("GCM"))
+
+
+def xxh3_64(data: Column) -> Column:
+    """The 64-bit XXH3 hash of binary data, seed 0, as 16 hexadecimal digits; null of null. Spark's own xxhash64 is the older XXH64."""
+
+    @F.pandas_udf(T.StringType())
+    def digest(x: pd.Series) -> pd.Series:
+        import xxhash
+
+        return x.map(lambda b: None if b is None else xxhash.xxh3_64_hexdigest(bytes(b)))
+
+    return digest(data)
+
+
+def compress_block(data: Column, level: int = 3) -> Column:
+    """data as a zstd frame; null of null."""
+
+    @F.pandas_udf(T.BinaryType())
+    def packed(x: pd.Series) -> pd.Series:
+        import zstandard
+
+        c = zstandard.ZstdCompressor(level=level)
+        return x.map(lambda b: None if b is None else c.compress(bytes(b)))
+
+    return packed(data)
+
+
+def decompress_block(data: Column) -> Column:
+    """The bytes of a zstd frame; null of null and of what isn't a whole frame."""
+
+    @F.pandas_udf(T.BinaryType())
+    def plain(x: pd.Series) -> pd.Series:
+        import zstandard
+
+        d = zstandard.ZstdDecompressor()
+
+        def one(b: bytes | None) -> bytes | None:
+            try:
+                return None if b is None else d.decompress(bytes(b))
+            except zstandard.ZstdError:
+                return None
+
+        return x.map(one)
+
+    return plain(data)

@@ -13,6 +13,7 @@ from stratalog.operators.resolve import latest, live, merge_runs, versions
 from stratalog.plans import fixtures as fx
 from stratalog.plans.problems import KEYED, entries
 from stratalog.plans.registry import Registry
+from stratalog.scratch import new_path
 from stratalog.sources.tables import table
 
 R = Registry()
@@ -288,6 +289,24 @@ def segment_verify(spark: SparkSession, d: str) -> DataFrame:
     return segments.verify(segments.checksums(e, ["segment"]), e.withColumn("value", value).where("ts % 2003 <> 5 and segment <> 2"), "segment")
 
 
+@query("segment_blocks", f"select segment, count(*) as blocks, sum(entries)::bigint as entry_count, max(bytes) as largest from {_BLOCKS} group by 1")
+def segment_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Block counts of the segments."""
+    b = segments.block_layout(fx.segmented(spark, d), "segment")
+    return b.groupBy("segment").agg(F.count(F.lit(1)).alias("blocks"), F.sum("entries").alias("entry_count"), F.max("bytes").alias("largest"))
+
+
+@query("cold_roundtrip", f"select namespace, {HEX}, ts from {fx.EVENTS}")
+def cold_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A segment frozen, deleted and brought back from its cold copy."""
+    hot, cold, back = (new_path(spark, x) for x in ("hot", "cold", "back"))
+    segments.write_segment(fx.events_log(spark, d), hot)
+    segments.freeze(spark, hot, cold)
+    segments.drop_cold(spark, hot)
+    segments.thaw(spark, cold, back)
+    return hexed(spark.read.parquet(back), "ts")
+
+
 @query("active_segments", "select row_number() over (order by level, min_key, id) as n, id, level, file_name from sstable_manifest where compacted = 0")
 def active_segments(spark: SparkSession, d: str) -> DataFrame:
     """The catalog in order of level and key."""
@@ -424,6 +443,25 @@ def membership_timeout(spark: SparkSession, d: str) -> DataFrame:
     return membership.timeouts(e, 1_900_000_000_000_000, 600_000_000)
 
 
+_KINDS = "case snapshot_id % 10 when 0 then 'join' when 1 then 'leave' when 2 then 'ack' when 3 then 'ack' else 'update' end"
+
+
+@query(
+    "member_events",
+    f"""with recursive e as (select node_id, row_number() over (partition by node_id order by snapshot_id) as n, {_KINDS} as kind, lower(trim(state)) as state, incarnation as inc, address from node_snapshots where node_id is not null),
+f as (select distinct node_id, 0::bigint as n, null::varchar as address, null::varchar as state, null::bigint as inc, 0::bigint as changes from e
+  union all select f.node_id, e.n, case when j then e.address when u0 then e.address else f.address end, case when j then 'alive' when l then 'left' when a then 'alive' when u0 or u1 then e.state else f.state end,
+    case when j then 0 when a or u0 or u1 then e.inc else f.inc end, f.changes + (j or l or a or u0 or u1)::bigint
+  from f join e on f.node_id = e.node_id and e.n = f.n + 1, lateral (select kind = 'join' as j, kind = 'leave' and f.state is not null as l, coalesce(kind = 'ack' and f.state = 'suspected', false) as a,
+    kind = 'update' and e.inc is not null and e.state is not null and f.state is null and e.address is not null as u0, coalesce(kind = 'update' and e.state is not null and f.state is not null and e.inc >= coalesce(f.inc, 0), false) as u1))
+select node_id, address, state, inc as incarnation, changes from f where state is not null qualify row_number() over (partition by node_id order by n desc) = 1""",
+)
+def member_events(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots read as events of all four kinds."""
+    s = table(spark, d, "node_snapshots")
+    return membership.replay_events(s.select("node_id", F.col("snapshot_id").alias("seq"), F.expr(_KINDS).alias("kind"), F.lower(F.trim("state")).alias("state"), "incarnation", "address"))
+
+
 def _migrations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("version"), F.col("n_name").alias("description"))
 
@@ -796,6 +834,22 @@ def aes_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return e.select("ts", key_hex().alias("key_hex"), F.lower(F.hex(codecs.decrypt_block(F.col("c"), F.col("k")))).alias("value_hex"), F.octet_length("c").alias("bytes"), codecs.decrypt_block(F.col("c"), F.col("x")).isNull().alias("wrong_key_fails"))
 
 
+@query("zstd_roundtrip", f"select ts, {HEX}, true as smaller, true as damage_found from {fx.EVENTS} where value is not null")
+def zstd_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Values, forty times over, compressed as blocks and read again, also without the last byte."""
+    e = fx.events_log(spark, d).where("value is not null").withColumn("block", F.repeat(F.decode("value", "UTF-8"), F.lit(40)).cast("binary"))
+    c = e.withColumn("z", codecs.compress_block(F.col("block"))).withColumn("cut", F.col("z").substr(F.lit(1), F.octet_length("z") - 1))
+    back = c.withColumn("p", codecs.decompress_block(F.col("z"))).withColumn("broken", codecs.decompress_block(F.col("cut")))
+    value = F.lower(F.hex(F.col("p").substr(F.lit(1), F.octet_length("value"))))
+    return back.select("ts", key_hex().alias("key_hex"), F.when(F.col("p") == F.col("block"), value).alias("value_hex"), (F.octet_length("z") < F.octet_length("block")).alias("smaller"), F.col("broken").isNull().alias("damage_found"))
+
+
+@query("xxh3_keys")
+def xxh3_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The hash that filters and rings of the original are built on; the SQL engine doesn't have it."""
+    return table(spark, d, "customer").select("c_name", codecs.xxh3_64(F.col("c_name").cast("binary")).alias("hash"))
+
+
 @query("bench_load", "select 'bench' as namespace, printf('bench_key_%010d', range) as key_text, repeat('ab', 256) as value_hex, range + 1 as ts from range(100000)")
 def bench_load(spark: SparkSession, d: str) -> DataFrame:
     """100,000 keys with constant values of 256 bytes."""

@@ -446,3 +446,19 @@ def test_scalars(spark):
     assert one.select(scalars.align_up(F.lit(0)), scalars.align_up(F.lit(1)), scalars.align_up(F.lit(4096)), scalars.align_up(F.lit(4097))).first()[:] == (0, 4096, 4096, 8192)
     h = scalars.password_hash(F.lit("s"), F.lit("p"), F.lit("c"))
     assert one.select(scalars.verify_password(F.lit("s"), F.lit("p"), F.lit("c"), h), scalars.verify_password(F.lit("s"), F.lit("q"), F.lit("c"), h)).first()[:] == (True, False)
+
+
+def test_block_codecs(spark):
+    import xxhash
+
+    df = spark.createDataFrame([(1, b"abc" * 50), (2, b""), (3, None)], "id int, b binary")
+    z = df.withColumn("z", codecs.compress_block(F.col("b"))).withColumn("h", codecs.xxh3_64(F.col("b")))
+    out = {r.id: (r.p and bytes(r.p), r.h, r.bad) for r in z.select("id", codecs.decompress_block(F.col("z")).alias("p"), "h", codecs.decompress_block(F.col("b")).alias("bad")).collect()}
+    assert out == {1: (b"abc" * 50, xxhash.xxh3_64_hexdigest(b"abc" * 50), None), 2: (b"", xxhash.xxh3_64_hexdigest(b""), None), 3: (None, None, None)}
+
+
+def test_member_events(spark):
+    ev = [("a", 1, "update", "alive", 3, None), ("a", 2, "update", "alive", 3, "h"), ("a", 3, "update", "dead", 2, "x"), ("a", 4, "update", "suspected", 4, "x"), ("a", 5, "ack", None, 6, None), ("a", 6, "ack", None, 9, None), ("a", 7, "leave", None, None, None)]
+    ev += [("b", 1, "leave", None, None, None), ("b", 2, "ack", None, 1, None), ("c", 5, "join", None, 7, "c"), ("c", 4, "update", "dead", 8, "d"), (None, 1, "join", None, 1, "z"), ("d", 1, "join", None, None, None), ("d", 2, "other", "dead", 9, "q")]
+    got = {tuple(r) for r in membership.replay_events(spark.createDataFrame(ev, "node_id string, seq int, kind string, state string, incarnation int, address string")).collect()}
+    assert got == {("a", "h", "left", 6, 4), ("c", "c", "alive", 0, 2), ("d", None, "alive", 0, 1)}
