@@ -31,8 +31,8 @@ from stratalog.scratch import filesystem, staged
 
 #: Words of 64 positions up to which a version's bitmaps are broadcast: about 160 bytes each as a hash table, so 42 MB for 16 million rows.
 BROADCAST_WORDS = 1 << 18
-#: Rows up to which a batch counts as small, and its keys are broadcast.
-SMALL_BATCH = 100_000
+#: Rows up to which a batch counts as small, and the hashes of its keys are broadcast: about 60 bytes each as a hash table, so 30 MB.
+SMALL_BATCH = 500_000
 
 
 def numbers(spark: SparkSession, path: str, name: str) -> list[int]:
@@ -145,10 +145,10 @@ class DeleteVectorTable:
         if not old:
             both = new.groupBy("h", "k").agg(newest[0]).withColumn("was", F.lit(None).cast(new.schema["e"].dataType))
         elif data[0].count() <= SMALL_BATCH:
-            # of the index only rows of this batch's keys go on: those of its buckets, by a broadcast of at most SMALL_BATCH keys
+            # of the index only rows of this batch's keys go on: those of its buckets, by a broadcast of at most SMALL_BATCH hashes
             new = staged(new.groupBy("h", "k").agg(newest[0]), "batch")
             bucket = [r[0] for r in new.select(self._bucket().alias("b")).distinct().collect()]  # at most self.buckets rows
-            mine = self._index(old, new, bucket).join(F.broadcast(new.select("h", "k")), ["h", "k"], "left_semi").groupBy("h", "k").agg(F.max("e").alias("was"))
+            mine = self._index(old, new, bucket).join(F.broadcast(new.select("h")), "h", "left_semi").groupBy("h", "k").agg(F.max("e").alias("was"))
             both = new.join(mine, ["h", "k"], "left")
         else:
             # a batch that touches most buckets meets the index in one aggregation, combined on the map side
