@@ -42,18 +42,25 @@ class Vocabulary:
         self.of_byte = np.array([vocab[s] for s in byte_signs()], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.left, self.right, self.made = (np.array(x, np.int32) for x in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in pairs), strict=True))
-        #: Bytes of each token, and where they begin in all of them.
+        #: Bytes of each token.
         self.width = np.zeros(self.size, np.int32)
         for t, i in vocab.items():
             self.width[i] = len(t)
-        self.begin = np.cumsum(self.width, dtype=np.int64) - self.width
-        byte_of = {sign: i for i, sign in enumerate(byte_signs())}
-        self.bytes = np.zeros(int(self.width.sum()), np.uint8)
-        for t, i in vocab.items():
-            self.bytes[self.begin[i] : self.begin[i] + len(t)] = [byte_of.get(c, 0x3F) for c in t]
         self.table = class_table()
 
 
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the bytes of each token of a vocabulary begin, how many they are, and the bytes of all tokens."""
+    with open(path, "rb") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    byte_of = {sign: i for i, sign in enumerate(byte_signs())}
+    texts = [b""] * (max(vocab.values()) + 1)
+    for t, i in vocab.items():
+        texts[i] = bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
+    width = np.array([len(t) for t in texts], np.int64)
+    return np.cumsum(width) - width, width, np.frombuffer(b"".join(texts), np.uint8)
+
+
 class PairIndexBPE:
     """Encodes texts. Words (pieces of the split) are told apart by identity, so each distinct word of a chunk is merged once.
 

@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from stratalog.llm.bpe import PairIndexBPE, Vocabulary
+from stratalog.llm.bpe import PairIndexBPE, Vocabulary, token_bytes
 from stratalog.llm.scan import gather
 from stratalog.model import fresh
 
@@ -70,17 +70,17 @@ def decode(df: DataFrame, ids: str, out: str = "text", vocabulary: str = BYTE_BP
     if ids == out:
         (held,) = fresh(df, "ids")
         return decode(df.withColumnRenamed(ids, held), held, out, vocabulary).drop(held)
-    b = shared_vocabulary(df.sparkSession, vocabulary)
+    b = df.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))  # half a megabyte, whatever the corpus
     kept = df.drop(out)
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = b.value
+        begin, width, tokens = b.value
         for batch in batches:
             lists = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            data, off = gather(v.bytes, v.begin[flat], v.width[flat].astype(np.int64))
+            data, off = gather(tokens, begin[flat], width[flat])
             ends = off[np.r_[0, np.cumsum(sizes)]]
             yield with_column(batch, 0, batch.num_rows, out, pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary()))
 
