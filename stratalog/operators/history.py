@@ -55,3 +55,23 @@ def history(observed: DataFrame, key: str, at: str, attrs: list[str], prefer: li
     after = firsts.select("slice", F.lead("first").over(Window.orderBy("slice")).alias("after"))  # at most 4 rows a shuffle partition
     led = events.withColumn("next", F.lead(event).over(Window.partitionBy("slice").orderBy(event))).where("change <> 'deleted'").join(F.broadcast(after), "slice")
     return led.select(F.col("k").alias(key), *(F.col("a")[a].alias(a) for a in attrs), F.col("at").alias("valid_from"), F.coalesce("next", "after")["at"].alias("valid_to"))
+
+
+def snapshot_history(snapshots: DataFrame, taken: str, key: str, attrs: list[str]) -> DataFrame:
+    """Periods of unchanged attributes from periodic snapshots, each a full list of the keys that exist then: key, attrs, valid_from, valid_to.
+
+    taken: when a row's snapshot was taken; all rows of one snapshot share it. A key that is missing from the next snapshot is deleted then, which ends its period, and inserted
+    if it comes again; a period that lasts is null at its end. Of rows of one snapshot and key the greatest attrs count. Rows with a null key or time are dropped.
+
+    Consecutive snapshots, all at once, go through snapshot_diff on (number of the snapshot, key); the changes, united, end each other by lead. A
+    key stands once in a snapshot, so a window over a key has as many rows at most as there are snapshots. Their times are numbered over range partitions and
+    met in a join."""
+    rows = snapshots.where(F.col(key).isNotNull() & F.col(taken).isNotNull()).groupBy(F.col(taken).alias("at"), F.col(key).alias("k")).agg(F.max(F.struct(*attrs)).alias("a"))
+    rows = staged(rows, "snapshots")
+    times = staged(global_row_number(rows.select("at").distinct(), ["at"], "n"), "times")
+    snaps = rows.join(times, "at").select("n", "k", "a")
+    # the next snapshot's time is known also where a key is missing from it; nothing follows the last one
+    diff = snapshot_diff(snaps.select((F.col("n") + 1).alias("n"), "k", "a"), snaps, ["n", "k"], ["a"])
+    events = diff.select("n", "k", "change", F.col("after.a").alias("a")).join(times, "n")
+    led = events.withColumn("until", F.lead("at").over(Window.partitionBy("k").orderBy("n"))).where("change <> 'deleted'")
+    return led.select(F.col("k").alias(key), *(F.col("a")[a].alias(a) for a in attrs), F.col("at").alias("valid_from"), F.col("until").alias("valid_to"))

@@ -9,7 +9,7 @@ from stratalog.model import has_key, key_hex, normal_namespace
 from stratalog.operators.balance import balanced_aggregate, balanced_join, plan
 from stratalog.operators.change_feed import DeleteVectorTable
 from stratalog.operators.copy_diff import copy_diff
-from stratalog.operators.history import history
+from stratalog.operators.history import history, snapshot_history
 from stratalog.operators.range_lookup import range_lookup
 from stratalog.plans.registry import Registry
 from stratalog.scratch import new_path
@@ -72,6 +72,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return h.select("node_id", "state", "incarnation", F.col("valid_from").alias("valid_from_us"), F.coalesce("valid_to", F.lit(-1)).alias("valid_to_us"))
 
 
+@R.query(
+    "p2_snapshots",
+    """with o as (select snapshot_at::date as day, node_id, max({'state': lower(trim(state, ' \t\r\n')), 'incarnation': incarnation}) as a from node_snapshots where snapshot_at is not null and node_id is not null
+  and trim(state, ' \t\r\n') <> '' and incarnation is not null group by 1, 2),
+t as (select day, row_number() over (order by day) as n from (select distinct day from o)), s as (select n, node_id, a from o join t using (day)),
+j as (select coalesce(c.n, p.n + 1) as n, coalesce(c.node_id, p.node_id) as node_id, c.a as now, p.a as was from s c full join s p on c.node_id = p.node_id and c.n = p.n + 1 where c.a is distinct from p.a),
+e as (select j.*, day, lead(day) over (partition by node_id order by j.n) as until from j join t using (n))
+select node_id, now.state as state, now.incarnation as incarnation, day::varchar as valid_from, until::varchar as valid_to from e where now is not null""",
+)
+def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The history as daily snapshots tell it: a node that nobody saw on a day is deleted then."""
+    s = table(spark, d, "node_snapshots").withColumn("state", F.lower(F.trim(F.col("state"), F.lit(" \t\r\n")))).where("state <> '' and incarnation is not null")
+    h = snapshot_history(s.withColumn("day", F.to_date("snapshot_at")), "day", "node_id", ["state", "incarnation"])
+    return h.withColumns({c: F.col(c).cast("string") for c in ("valid_from", "valid_to")})
+
+
 @R.query(
     "p3_found",
     """with n as (select 0 as side, * from replica_local union all select 1, * from replica_remote),

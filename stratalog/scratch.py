@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise StorageFailure(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-        named = "file://" + tempfile.mkdtemp(prefix="stratalog-")
+        local = tempfile.mkdtemp(prefix="stratalog-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        named = f"file://{local}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 

@@ -12,7 +12,7 @@ from stratalog.operators import change_feed
 from stratalog.operators.balance import LEAST_BUCKETS, balanced_aggregate, balanced_join, fragment, plan
 from stratalog.operators.change_feed import DeleteVectorTable
 from stratalog.operators.copy_diff import copy_diff
-from stratalog.operators.history import history, snapshot_diff
+from stratalog.operators.history import history, snapshot_diff, snapshot_history
 from stratalog.operators.range_lookup import range_lookup
 from stratalog.plans import problems
 from stratalog.scratch import new_path
@@ -176,6 +176,13 @@ def test_snapshot_diff(spark):
     assert snapshot_diff(a.limit(0), a.limit(0), ["id"], ["s"]).count() == 0
 
 
+def test_snapshot_history(spark):
+    rows = [(1, "a", "x"), (1, "b", "y"), (3, "a", "x"), (3, "a", "x"), (3, "c", None), (7, "b", "y"), (7, "c", None), (7, "a", "z"), (9, "c", "n"), (None, "a", "q"), (9, None, "q")]
+    out = snapshot_history(spark.createDataFrame([(*r, 1) for r in rows], "t int, id string, n string, k int"), "t", "id", ["n"])
+    assert {tuple(r) for r in out.collect()} == {("a", "x", 1, 7), ("a", "z", 7, 9), ("b", "y", 1, 3), ("b", "y", 7, 9), ("c", None, 3, 9), ("c", "n", 9, None)}
+    assert snapshot_history(spark.createDataFrame([], "t int, id string, n string"), "t", "id", ["n"]).count() == 0
+
+
 @pytest.mark.parametrize("every", [1, 4, 1000])
 def test_copy_diff(spark, every):
     r = random.Random(7)
