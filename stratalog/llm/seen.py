@@ -17,7 +17,7 @@ BITS = 2 * WORDS
 BITS_PER_KEY = 12
 #: Blocks up to which a filter is broadcast: 60 bytes each as a hash table, so 64 MB, enough for 22 million keys. A larger filter is met by an equi-join.
 BROADCAST_BLOCKS = 1 << 20
-#: Keys up to which those that are looked up are broadcast to the keys on disk, some 20 MB; more are met by an equi-join.
+#: Keys up to which the hashes of those that are looked up are broadcast to the keys on disk, about 12 MB as a hash table; more are met by an equi-join.
 BROADCAST_KEYS = 200_000
 #: Of the keys that the filter rejects one in so many, by hash, is looked up all the same, to measure false negatives.
 CHECKED_ONE_IN = 64
@@ -132,7 +132,7 @@ class SeenIndex:
         if self.parts > 1:
             full = full.groupBy("h", "k").agg(F.bool_or("filtered").alias("filtered"))
         if asked.count() <= BROADCAST_KEYS:  # then the keys on disk aren't moved
-            full = full.join(F.broadcast(asked.select("h", "k")), ["h", "k"], "left_semi")
+            full = full.join(F.broadcast(asked.select("h")), "h", "left_semi")
         return asked.join(full, ["h", "k"], "left").withColumn("known", F.col("filtered").isNotNull())
 
 

@@ -60,6 +60,7 @@ def test_filter_error_and_merge(spark):
 def test_index_of_parts(spark, tmp_path, monkeypatch, blocks):
     """Keys added in parts, some twice, an index opened again, and filters met by a join or a broadcast."""
     monkeypatch.setattr(seen, "BROADCAST_BLOCKS", blocks)
+    monkeypatch.setattr(seen, "BROADCAST_KEYS", blocks)
     i = SeenIndex(spark, f"file://{tmp_path}/i", ["a", "b"])
     rows = spark.range(3000).select((F.col("id") % 1500).cast("int").alias("a"), F.when(F.col("id") % 5 != 0, F.col("id").cast("string")).alias("b"), (F.col("id") % 2 == 0).alias("f"))
     i.add(rows.where("a < 700"), F.col("f"), expected=3000)
