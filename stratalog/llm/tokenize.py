@@ -18,6 +18,9 @@ from stratalog.model import fresh
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_50K = f"{TOKENIZERS}/byte_bpe_50k.json"
 
+#: Tokens that are decoded at once; a longer list by itself.
+DECODED = 1 << 18
+
 _held: list[PairIndexBPE] = []
 
 
@@ -77,11 +80,16 @@ def decode(df: DataFrame, ids: str, out: str = "text", vocabulary: str = BYTE_BP
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, width, tokens = b.value
         for batch in batches:
-            lists = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            data, off = gather(tokens, begin[flat], width[flat])
-            ends = off[np.r_[0, np.cumsum(sizes)]]
-            yield with_column(batch, 0, batch.num_rows, out, pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary()))
+            column = batch.column(ids)
+            lists = column.fill_null([]) if column.null_count else column
+            ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + DECODED, "right")) - 1)
+                flat = lists.slice(i, j - i).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                data, off = gather(tokens, begin[flat], width[flat])
+                texts = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(off[ends[i : j + 1] - ends[i]]), pa.py_buffer(data)])
+                yield with_column(batch, i, j, out, texts.cast(pa.binary()))
+                i = j
 
     return kept.mapInArrow(run, schema)

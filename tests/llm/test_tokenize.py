@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratalog.llm import bpe, scan
+from stratalog.llm import bpe, scan, tokenize
 from stratalog.llm.bpe import PairIndexBPE, Vocabulary
 from stratalog.llm.tokenize import decode, BYTE_BPE_50K, encode
 
@@ -118,7 +118,9 @@ def test_one_very_long_text(coder, reference):
     assert ids(coder, [t]) == [reference.encode_ordinary(t)]
 
 
-def test_decoding_gives_the_text_back(spark):
+@pytest.mark.parametrize("at_once", [1, 4, 1 << 18])
+def test_decoding_gives_the_text_back(spark, monkeypatch, at_once):
+    monkeypatch.setattr(tokenize, "DECODED", at_once)
     texts = ["plain words, 1234", "", None, "日本語 \U0001f600 İ\u0301", "\r\n\t  x", "a" * 5000]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, t string, text string")
     back = decode(encode(df, "t"), "ids")
