@@ -16,7 +16,7 @@ positions. Everything is read and written through Spark, on whatever file system
 broadcast up to BROADCAST_WORDS words; beyond, rows and bitmaps meet in an equi-join of (file, word), 64 rows a key.
 
 Order is by ts, not by arrival: late, repeated and out-of-order changes leave the same state. At equal ts an insert beats a delete, then the
-row with the greatest hash of its columns wins, so the state doesn't depend on how the feed was cut into batches. Null keys are keys; a null ts
+row with the greatest hash of its columns wins, so the state doesn't depend on how the feed was cut into batches. One writer at a time, any number of readers. Null keys are keys; a null ts
 loses to every other.
 """
 
