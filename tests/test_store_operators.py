@@ -8,8 +8,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.functions import codecs, scalars
-from stratalog.model import InvalidArgument, StoreConfig
+from stratalog.functions import codecs, keys, scalars
+from stratalog.model import InvalidArgument, StorageFailure, StoreConfig
 from stratalog.operators import catalog, compaction, membership, ordered, placement, reads, repair, segments, wal, writes
 from stratalog.operators.resolve import latest, live, merge_runs, versions
 from stratalog.plans import store as store_plans
@@ -462,3 +462,15 @@ def test_member_events(spark):
     ev += [("b", 1, "leave", None, None, None), ("b", 2, "ack", None, 1, None), ("c", 5, "join", None, 7, "c"), ("c", 4, "update", "dead", 8, "d"), (None, 1, "join", None, 1, "z"), ("d", 1, "join", None, None, None), ("d", 2, "other", "dead", 9, "q")]
     got = {tuple(r) for r in membership.replay_events(spark.createDataFrame(ev, "node_id string, seq int, kind string, state string, incarnation int, address string")).collect()}
     assert got == {("a", "h", "left", 6, 4), ("c", "c", "alive", 0, 2), ("d", None, "alive", 0, 1)}
+
+
+def test_master_key_file(spark, tmp_path):
+    path = f"file://{tmp_path}/keys/master"
+    key = keys.master_key(spark, path)
+    assert len(key) == 32 and keys.master_key(spark, path) == key and (tmp_path / "keys" / "master").stat().st_mode & 0o77 == 0
+    assert keys.master_key(spark, f"{path}2") != key
+    (tmp_path / "keys" / "short").write_bytes(b"x" * 31)
+    with pytest.raises(StorageFailure):
+        keys.master_key(spark, f"file://{tmp_path}/keys/short")
+    e = spark.createDataFrame([(b"id", b"data")], "id binary, b binary").withColumn("k", codecs.block_key(key, b"info")(F.col("id")))
+    assert bytes(e.select(codecs.decrypt_block(codecs.encrypt_block(F.col("b"), F.col("k")), F.col("k")).alias("p")).first().p) == b"data"
