@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from stratalog.model import StorageFailure, fresh
 from stratalog.scratch import filesystem, staged
 
-#: Words of 64 positions up to which a version's bitmaps are broadcast: about 160 bytes each as a hash table, so 42 MB for 16 million rows.
+#: Words of 64 positions up to which a version's bitmaps are broadcast: about 100 bytes each as a hash table, so 26 MB for 16 million rows.
 BROADCAST_WORDS = 1 << 18
 #: Rows up to which a batch counts as small, and the hashes of its keys are broadcast: about 60 bytes each as a hash table, so 30 MB.
 SMALL_BATCH = 500_000
@@ -191,11 +191,17 @@ class DeleteVectorTable:
         """The rows that count as of a version, with the names as in _data."""
         batches, words, _ = self._log(version)
         df, order, fid, pos = self._data(batches)
-        mask, of, word = fresh(df, "mask", "of", "word")
+        mask, of, word, j = fresh(df, "mask", "of", "word", "j")
         bits = self._bitmaps(batches).select(F.col("fid").alias(of), F.col("word").alias(word), F.col("mask").alias(mask))
-        bits = F.broadcast(bits) if words <= BROADCAST_WORDS else bits
-        hit = df.join(bits, (F.col(fid) == F.col(of)) & (F.shiftright(pos, 6) == F.col(word))).where(F.col(mask).bitwiseAND(_bit(pos)) != 0)
-        return hit.drop(of, word, mask), order, fid, pos
+        if words <= BROADCAST_WORDS:
+            # one bigint as the key makes the hash table small; what it stands for is compared as well
+            bits = F.broadcast(bits.withColumn(j, F.xxhash64(of, word)))
+            same = F.col(fid).bitwiseXOR(F.col(of)).bitwiseOR(F.shiftright(pos, 6).bitwiseXOR(F.col(word))) == 0
+            on = (F.xxhash64(F.col(fid), F.shiftright(pos, 6)) == F.col(j)) & same
+        else:
+            on = (F.col(fid) == F.col(of)) & (F.shiftright(pos, 6) == F.col(word))
+        hit = df.join(bits, on).where(F.col(mask).bitwiseAND(_bit(pos)) != 0)
+        return hit.drop(of, word, mask, j), order, fid, pos
 
     def read(self, *columns: str, version: int | None = None) -> DataFrame:
         """The live rows as of a version, the newest by default: columns, or all columns of the table."""
